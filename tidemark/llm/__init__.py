@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["line_dedup"]
+MODULES = ["line_dedup", "mixing", "sharding"]
 
 
 def queries() -> dict:
