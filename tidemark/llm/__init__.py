@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["line_dedup", "mixing", "sharding"]
+MODULES = ["line_dedup", "mixing", "near_dedup", "chat", "sharding"]
 
 
 def queries() -> dict:
