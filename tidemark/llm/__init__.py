@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["line_dedup", "mixing", "quality", "near_dedup", "chat", "sharding", "decontam", "language_id"]
+MODULES = ["url_filter", "line_dedup", "mixing", "quality", "near_dedup", "pii", "chat", "sharding", "decontam", "language_id"]
 
 
 def queries() -> dict:
