@@ -87,12 +87,13 @@ def best_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     leaves = ends.join(inner, F.col("e.tree").eqNullSafe(F.col("p.tree")) & (F.col("e.node") == F.col("p.node")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc(), "node"))
     marked = leaves.select("tree", F.col("node").alias("leaf"), "node", (F.col("steps") - 1).alias("depth"), rank.alias("rank")).where(F.col("rank") <= per_tree)
+    marked = materialise(marked, "chat-leaves")
     # All ancestors within 2^k - 1 steps are marked; one jump of 2^k doubles that.
     for j in jumps[:-1]:
         a, b = marked.alias("a"), j.where(F.col("up").isNotNull()).alias("b")
         on = F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.node") == F.col("b.node"))
         above = a.join(b, on).select("a.tree", "a.leaf", F.col("b.up").alias("node"), (F.col("a.depth") - F.col("b.steps")).alias("depth"), "a.rank")
-        marked = marked.unionByName(above)
+        marked = materialise(marked.unionByName(above), "chat-paths")
     return marked
 
 
