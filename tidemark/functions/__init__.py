@@ -1 +1 @@
-
+"""Scalar expressions and accessors."""

@@ -1 +1 @@
-
+"""Relational, statistical and ordered operators on frames."""
