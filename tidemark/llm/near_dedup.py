@@ -2,10 +2,10 @@
 
 1. Every text gets its fingerprint(s), in Arrow batches; equal fingerprints
    become one node, so copies cost nothing further.
-2. Fingerprints within ``RADIUS`` bits agree on one of RADIUS + 1 blocks of
-   bits, so each is sent to one group per block. A group of over ``GROUP``
+2. Fingerprints within ``radius`` bits agree on one of radius + 1 blocks of
+   bits, so each is sent to one group per block. A group of over ``group``
    fingerprints is parted again by blocks of its remaining bits, which loses no
-   pair; with at most 12 bits left a group is small by itself.
+   pair; with at most FREE bits left a group is small by itself.
 3. Within a group the fingerprints form a binary trie, joined with itself: node
    pairs are traversed together level by level, differing bits accumulate, and a
    pair is pruned once the budget is exceeded. Of the links found, a group hands
@@ -16,9 +16,11 @@ Scale: steps 2 to 4 move fingerprints and ids, never texts. Groups of any size
 end up in tasks of at most ``GROUP`` rows; nothing is collected.
 
 With ``sketches`` over 1, independent fingerprints link if any one of them does.
-At five-word shingles, similarity 0.95 is found with probability 0.95 (8
-sketches), 0.9 with 0.57 and a pair of 0.7 with less than 0.01; unrelated
-texts practically never link (2e-15 a pair and sketch).
+``keep_one`` uses 8 sketches and a radius of 5 on five-word shingles: a pair of
+similarity 0.95 is found with probability above 0.99, 0.9 with 0.97, 0.85 with
+0.73 and 0.8 with 0.4 (near copies of several copies are found through others);
+0.7 with 0.08 and 0.6 with 0.01. Unrelated texts practically never link (4e-12 a
+pair).
 
 Defined results: a null or wordless text has fingerprint zero and links like any
 other. Rows with a null id link but lend no id; the component is null if nothing
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._base import materialise, table
@@ -40,6 +42,8 @@ from .components import components
 from .simhash import fingerprints
 
 RADIUS, GROUP = 3, 2048
+#: Bits: a group with no more of them free has 2^FREE fingerprints at most and isn't parted.
+FREE = 12
 #: Groups are joined together as long as the squares of their sizes sum to this.
 PAIRS = 1 << 22
 
@@ -56,10 +60,9 @@ def fingerprint_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp array<long>")
 
 
-def _part(rows: DataFrame, bits: str, rest: str, key) -> DataFrame:
+def _part(rows: DataFrame, bits: str, rest: str, blocks: int, key) -> DataFrame:
     """Each row once per block: (key, bits left, rest of bits, fp, node). The
     ``bits`` low bits of ``rest`` are rotated to bring the block to the top."""
-    blocks = RADIUS + 1
     at = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     start, end = F.expr(f"j * {bits} div {blocks}").cast("int"), F.expr(f"(j + 1) * {bits} div {blocks}").cast("int")
     at = at.withColumns({"lo": start, "w": end - start})
@@ -71,22 +74,22 @@ def _part(rows: DataFrame, bits: str, rest: str, key) -> DataFrame:
     return at.select(key(F.col("j"), value).alias("key"), left.alias("bits"), F.expr(f"turned & (shiftleft(1L, {bits} - w) - 1L)").alias("rest"), "fp", "node")
 
 
-def route(nodes: DataFrame, group: int = GROUP) -> DataFrame:
-    """(key, fp, node) of groups of at most ``group`` rows (or of 12 free bits)
-    such that any two fingerprints of a sketch within RADIUS meet in one."""
+def route(nodes: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
+    """(key, fp, node) of groups of at most ``group`` rows (or of FREE free bits)
+    such that any two fingerprints of a sketch within ``radius`` meet in one."""
     first = nodes.select("sketch", F.lit(64).alias("b"), F.col("fp").alias("r"), "fp", "node")
-    whole = _part(first, "b", "r", lambda j, v: F.xxhash64(F.col("sketch"), j, v))
+    whole = _part(first, "b", "r", radius + 1, lambda j, v: F.xxhash64(F.col("sketch"), j, v))
     parts = []
     while True:
         whole = materialise(whole, "routes")
-        full = whole.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("bits").alias("b")).where((F.col("n") > group) & (F.col("b") > 12)).select("key")
+        full = whole.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("bits").alias("b")).where((F.col("n") > group) & (F.col("b") > FREE)).select("key")
         full = materialise(full, "full-groups")
         if full.isEmpty():
             parts.append(whole.select("key", "fp", "node"))
             break
         parts.append(whole.join(full, "key", "left_anti").select("key", "fp", "node"))
         again = whole.join(full, "key", "left_semi").select("key", F.col("bits").alias("b"), F.col("rest").alias("r"), "fp", "node")
-        whole = _part(again, "b", "r", lambda j, v: F.xxhash64(F.col("key"), j, v))
+        whole = _part(again, "b", "r", radius + 1, lambda j, v: F.xxhash64(F.col("key"), j, v))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -136,7 +139,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def join_groups(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def join_groups(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forests (node, node) of the links in each run of equal keys."""
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([first, [len(key)]]))
@@ -145,7 +148,7 @@ def join_groups(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[np.n
     work = np.cumsum(size.astype(np.int64) ** 2) // PAIRS
     for w in np.unique(work):
         lo, hi = first[work == w], (first + size)[work == w]
-        a, b = trie_pairs(fp, lo, hi)
+        a, b = trie_pairs(fp, lo, hi, radius)
         if len(a):
             seen, at = np.unique(np.concatenate([a, b]), return_inverse=True)
             label = forest(len(seen), at[: len(a)], at[len(a) :])
@@ -156,14 +159,14 @@ def join_groups(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[np.n
     return np.concatenate([empty, *out_a]), np.concatenate([empty, *out_b])
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
     """Edges (a, b) that connect all nodes linked. ``nodes``: (sketch, fp, node), fp distinct in a sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)]
 
         def emit(rows):
-            a, b = join_groups(*rows)
+            a, b = join_groups(*rows, radius)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -180,18 +183,18 @@ def links(nodes: DataFrame) -> DataFrame:
             yield emit(held)
 
     # Unsigned order of fp, so that a trie node is a range.
-    rows = route(nodes).repartition("key").sortWithinPartitions("key", F.expr("fp ^ (-9223372036854775808L)"))
+    rows = route(nodes, radius, group).repartition("key").sortWithinPartitions("key", F.expr("fp ^ (-9223372036854775808L)"))
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_dups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 3, sketches: int = 1) -> DataFrame:
+def near_dups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 3, sketches: int = 1, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
     """(id, fp, component): one row per row of ``docs``; fp is an array of longs."""
     rows = materialise(fingerprint_rows(docs, id_col, text_col, shingle, sketches), "fingerprints")
     same = materialise(rows.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
     told = same.where("node IS NOT NULL")
     each = told.select("node", F.posexplode("fp").alias("sketch", "f"))
     nodes = materialise(each.groupBy("sketch", F.col("f").alias("fp")).agg(F.min("node").alias("node")), "sketches")
-    edges = links(nodes)
+    edges = links(nodes, radius, group)
     if sketches > 1:
         shared = each.join(nodes.select("sketch", F.col("fp").alias("f"), F.col("node").alias("least")), ["sketch", "f"])
         edges = edges.unionByName(shared.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")))
@@ -200,6 +203,25 @@ def near_dups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int =
     return rows.join(classes, "fp").select("id", "fp", "component")
 
 
+def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 5, sketches: int = 8, radius: int = 5, group: int = 512) -> DataFrame:
+    """``docs`` with one row of each component: of the least id. A row without an
+    id stays only if no row with one is in its component; of rows that repeat an
+    id (or lack one and have equal texts) the first by text stays."""
+    # Rows without an id get one above all others, from their text.
+    sid = F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.xxhash64(text_col).bitwiseAND((1 << 62) - 1))
+    named = docs.withColumn("__sid", sid)
+    found = materialise(near_dups(named, "__sid", text_col, shingle, sketches, radius, group).select("id", "component"), "components")
+    gone = found.where("id != component").select(F.col("id").alias("__sid")).distinct()
+    kept = named.join(gone, "__sid", "left_anti")
+    again = found.where("id = component").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__sid"))
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    again = materialise(again, "repeated-ids")
+    first = Window.partitionBy("__sid").orderBy(F.col(text_col).asc_nulls_last())
+    one = kept.join(again, "__sid", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    return kept.join(again, "__sid", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
