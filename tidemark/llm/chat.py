@@ -16,9 +16,10 @@ and, in roles only, ``:`` is ``\\c``. No escaped text holds ``#`` or ``<``, so t
 control strings can't occur in one and the reading back is exact.
 
 Scale: the rounds move (tree, node, ancestor, depth, score), never texts, and
-the joins are equi-joins on (tree, node). A round costs one shuffle of narrow
-rows; a tree's depth adds only its logarithm in rounds. Texts move once, to the
-tree's formatted row. Each round is written to the shared folder.
+the joins are equi-joins on (tree, node). A tree's depth adds only its logarithm
+in rounds, and a round works on the trees alone that are deeper still. Texts move
+to the tree's formatted row at the end. Each round is written to the shared
+folder.
 
 Defined results: null texts and roles count as empty. A message whose parent is
 missing (or is itself) starts a tree path of its own, i.e. is a root; messages on
@@ -71,32 +72,43 @@ def best_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     known = m.select(F.col("tree").alias("t"), F.col("node").alias("known")).distinct()
     m = m.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("known")), "left").select("tree", "node", F.col("known").alias("up"), "score")
     # score: of the messages from the node up to, but without, its ancestor ``up``.
-    jumps = [materialise(m.select("tree", "node", "up", F.lit(1).cast("long").alias("steps"), "score"), "chat-jump")]
-    parents = jumps[0]
+    state = materialise(m.select("tree", "node", "up", F.lit(1).cast("long").alias("steps"), "score"), "chat-state")
+    parents, jumps, ends = state, [], []
     for _ in range(ROUNDS):
-        j = jumps[-1]
-        if j.where(F.col("up").isNotNull()).isEmpty():
+        active = state.where(F.col("up").isNotNull())
+        if active.isEmpty():
             break
-        a, b = j.alias("a"), j.alias("b")
+        jumps.append(active)
+        # Trees all of whose messages have found their root are done; the others go on.
+        live = active.select("tree").distinct()
+        ends.append(_where_tree(state, live, "left_anti"))
+        state = _where_tree(state, live, "left_semi")
+        a, b = state.where(F.col("up").isNotNull()).alias("a"), state.alias("b")
         on = F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node"))
-        jumps.append(materialise(a.join(b, on, "left").select(
-            "a.tree", "a.node", "b.up", (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"), (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"),
-        ), "chat-jump"))
-    ends = jumps[-1].where(F.col("up").isNull()).alias("e")
+        further = a.join(b, on).select("a.tree", "a.node", "b.up", (F.col("a.steps") + F.col("b.steps")).alias("steps"), (F.col("a.score") + F.col("b.score")).alias("score"))
+        state = materialise(further.unionByName(state.where(F.col("up").isNull())), "chat-state")
+    for e in ends:
+        state = state.unionByName(e)
     inner = parents.where(F.col("up").isNotNull()).select("tree", F.col("up").alias("node")).distinct().alias("p")
-    leaves = ends.join(inner, F.col("e.tree").eqNullSafe(F.col("p.tree")) & (F.col("e.node") == F.col("p.node")), "left_anti")
+    roots = state.where(F.col("up").isNull()).alias("e")
+    leaves = roots.join(inner, F.col("e.tree").eqNullSafe(F.col("p.tree")) & (F.col("e.node") == F.col("p.node")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc(), "node"))
     marked = leaves.select("tree", F.col("node").alias("leaf"), "node", (F.col("steps") - 1).alias("depth"), rank.alias("rank")).where(F.col("rank") <= per_tree)
     marked = materialise(marked, "chat-leaves")
     # All ancestors within 2^k - 1 steps are marked; one jump of 2^k doubles that.
-    for j in jumps[:-1]:
-        a, b = marked.alias("a"), j.where(F.col("up").isNotNull()).alias("b")
+    for j in jumps:
+        a, b = marked.alias("a"), j.alias("b")
         on = F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.node") == F.col("b.node"))
         above = a.join(b, on).select("a.tree", "a.leaf", F.col("b.up").alias("node"), (F.col("a.depth") - F.col("b.steps")).alias("depth"), "a.rank")
-        marked = materialise(marked.unionByName(above), "chat-paths")
+        marked = marked.unionByName(materialise(above, "chat-paths"))
     return marked
 
 
+def _where_tree(rows: DataFrame, trees: DataFrame, how: str) -> DataFrame:
+    r, t = rows.alias("r"), trees.alias("t")
+    return r.join(t, F.col("r.tree").eqNullSafe(F.col("t.tree")), how)
+
+
 def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
     """One row per chosen path: formatted text, and the spans (start, length in
     code points, from 0) of it that carry loss: assistants' escaped texts."""
