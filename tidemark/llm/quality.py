@@ -42,16 +42,20 @@ def features(texts: pa.Array) -> np.ndarray:
     return np.concatenate([hellinger(word_features(texts, BITS, range(1, 3))), hellinger(char_features(texts, BITS, range(1, 4)))], axis=1) / np.float32(np.sqrt(2))
 
 
-def train(labelled: DataFrame, key="doc_id", text="text", label="quality", per_class: int = PER_CLASS):
+def train(docs: DataFrame, labels: DataFrame, key="doc_id", text="text", label="quality", per_class: int = PER_CLASS):
     """(weights, slope, offset) of the probability of label 0, or None."""
-    usable = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
-    counts = usable.groupBy("label").count()
-    seen = {r[0]: r[1] for r in counts.collect()}
+    usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    seen = {r[0]: r[1] for r in usable.groupBy("label").count().collect()}
     if len(seen) < 2:
         return None
+    # The sample is drawn from the labels and bounded, so it is broadcast: no text is shuffled.
+    drawn = F.broadcast(stratified(usable, "label", "key", per_class))
+    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(drawn, "key").select("text", "label")
 
     def fit(rows: pa.Table):
         y = (rows.column("label").to_numpy() == 0).astype(np.float32)
+        if len({*y}) < 2:
+            return None
         x = np.concatenate([features(b.column("text")) for b in rows.to_batches(ROWS)])
         fold = np.arange(len(y)) % 5 == 0
         if len({*y[fold]}) < 2 or len({*y[~fold]}) < 2:
@@ -64,7 +68,6 @@ def train(labelled: DataFrame, key="doc_id", text="text", label="quality", per_c
         share = np.where(y[fold] == 1, seen[0] / max(y[fold].sum(), 1), seen[1] / max((1 - y[fold]).sum(), 1))
         return w[:, 0], *_platt(z.astype(float), y[fold], share)
 
-    sample = stratified(usable, "label", "key", per_class).select("text", "label")
     return fit_in_a_task(sample.orderBy(F.xxhash64("text")), fit)
 
 
@@ -165,7 +168,7 @@ def judge(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
+    model = train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return judge(docs, model)
 
 
