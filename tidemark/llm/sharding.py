@@ -106,6 +106,7 @@ def shard(docs: DataFrame, id_col="doc_id", text_col="text", shards: int = SHARD
     for r, s, n in sums:
         starts.append((r, byte, row))
         byte, row = byte + s, row + n
+    # A row per range, so this broadcast is bounded as MAX_RANGES is.
     offsets = F.broadcast(keys.sparkSession.createDataFrame(starts, "__r int, __b0 long, __n0 long"))
     bounds = _boundaries(_ranged(keys, splitters), offsets, starts, total, shards)
     heads = keys.agg(*[F.count_if(~_at_or_after(k)) for k in bounds]).first() if bounds else []
@@ -138,6 +139,8 @@ def choose_splitters(keys: DataFrame, total: int, rows: int) -> list[tuple[int,
 def _boundaries(ranged: DataFrame, offsets: DataFrame, starts: list, total: int, shards: int) -> list[tuple[int, int]]:
     """For shard s = 1, 2, ...: the first (hash, id) whose middle byte is at s
     quantiles or later. Only the ranges in which a quantile falls are sorted."""
+    if not starts:
+        return []
     ends = [*[b for _, b, _ in starts[1:]], total]
     wanted = [r for (r, b, _), e in zip(starts, ends, strict=True) if any(2 * b * shards <= 2 * s * total <= 2 * e * shards for s in range(1, shards))]
     # The row at the quantile may also be the first of the next range.
