@@ -28,12 +28,10 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> Frame:
     names = _header(spark, path, sep)
     if len(set(names)) < len(names):
         raise ValueError(f"a column name repeats in {names}")
-    bad = "__bad"
-    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in names], T.StructField(bad, T.StringType())])
-    sdf = spark.read.schema(schema).options(header=True, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord=bad, multiLine=False, escape='"', enforceSchema=True).csv(path)
-    # Column pruning would make the parser skip the cells that show a row to be ragged.
-    sdf = sdf.withColumn("__ok", F.col(bad).isNull() & F.coalesce(*[F.col(f"`{c}`").isNotNull() for c in names], F.lit(True)).isNotNull())
-    sdf = sdf.where("__ok").select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names], F.monotonically_increasing_id().alias(POS))
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    # With pruned columns the parser wouldn't look at the cells that show a row to be ragged.
+    sdf = spark.read.schema(schema).options(header=True, sep=sep, mode="DROPMALFORMED", columnPruning=False, escape='"').csv(path)
+    sdf = sdf.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names], F.monotonically_increasing_id().alias(POS))
     return Frame(sdf, [POS])
 
 
