@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import ascii_lower, strip, table
+from ._base import ascii_lower, materialise, strip, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -44,6 +44,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("__h1", "__h2").agg(F.count_distinct("__id").alias("__n"), F.max("__id").alias("__last"))
         .where(F.col("__n") >= min_docs).select("__h1", "__h2", "__last")
     )
+    common = materialise(common, "common-lines")  # so that the join below can be split where a line is hot
     gone = (
         lines.join(common, ["__h1", "__h2"]).where(F.col("__id") < F.col("__last"))
         .groupBy("__id", "__th").agg(F.collect_set("__pos").alias("__gone"))
