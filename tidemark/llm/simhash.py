@@ -34,8 +34,15 @@ def fingerprints(texts: pa.Array, shingle: int = 3, sketches: int = 1) -> np.nda
 
 
 def _count(ones: np.ndarray, doc: np.ndarray, h: np.ndarray) -> None:
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    """Adds up the set bits per document. A hash is unpacked to 64 bytes, and runs
+    of up to 255 hashes are summed as packed bytes, eight to a machine word."""
+    new = np.concatenate([[True], doc[1:] != doc[:-1]])
+    first = np.flatnonzero(new)
+    at = np.arange(len(h)) - np.repeat(first, np.diff(np.concatenate([first, [len(h)]])))
+    runs = np.flatnonzero(at % 255 == 0)
+    head = np.flatnonzero(new[runs])
     for k in range(ones.shape[1]):
-        own = mix64(h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) if k else h
-        bits = np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones[doc[first], k] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+        own = mix64(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) if k else h
+        bits = np.unpackbits(own.astype(">u8").view(np.uint8)).view(np.uint64).reshape(-1, 8)
+        sums = np.add.reduceat(bits, runs, axis=0).view(np.uint8).reshape(-1, 64)
+        ones[doc[first], k] += np.add.reduceat(sums, head, axis=0, dtype=np.int64)
