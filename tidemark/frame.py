@@ -309,7 +309,7 @@ class Frame:
             out = fn(dict(zip(columns, values, strict=True)))
             return None if out is None else fix(out)
 
-        return F.udf(run, kind)(*[F.col(f"`{c}`") for c in columns])
+        return F.udf(run, kind, useArrow=True)(*[F.col(f"`{c}`") for c in columns])
 
     # ------------------------------------------------ arithmetic, comparison
 
@@ -442,7 +442,7 @@ class Frame:
             return tuple(out.get(c) for c in names)
 
         f = self._own_order()
-        row = f.sdf.withColumn("__row", F.udf(run, kinds)(*[F.col(f"`{c}`") for c in columns]))
+        row = f.sdf.withColumn("__row", F.udf(run, kinds, useArrow=True)(*[F.col(f"`{c}`") for c in columns]))
         return f._with(row.select(*f._hidden(), *[F.col(f"__row.`{c}`").alias(c) for c in names]), True)
 
     def astype(self, column: str, kind) -> Frame:
