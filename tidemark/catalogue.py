@@ -671,3 +671,30 @@ def sql_views(t):
     f = t("orders")
     f.to_spark().createOrReplaceTempView("tidemark_orders")
     return readers.read_sql(f.sdf.sparkSession, "SELECT o_orderstatus, count(*) AS n FROM tidemark_orders GROUP BY 1")
+
+
+# ------------------------------------------------------------ cells and display
+
+
+@_query(f"SELECT 'event_id' AS name, 'int64' AS dtype, count(event_id) AS known FROM ({_GAPS}) UNION ALL SELECT 'kind', 'string', count(kind) FROM ({_GAPS}) UNION ALL SELECT 'v', 'float64', count(v) FROM ({_GAPS}) UNION ALL SELECT 'u', 'int64', count(u) FROM ({_GAPS})")
+def info(t):
+    f = _gaps(t)
+    n, lost, kinds = len(f), f.null_count(), f.dtypes()
+    return Frame.from_columns(f.sdf.sparkSession, {"name": f.columns, "dtype": [kinds[c] for c in f.columns], "known": [n - lost[c] for c in f.columns]})
+
+
+@_query("SELECT (SELECT n_name FROM nation WHERE n_nationkey = 7) AS by_label, (SELECT n_regionkey FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation) WHERE r = 5)::BIGINT AS by_position, false AS missing")
+def cell_access(t):
+    f = t("nation")
+    values = {"by_label": [f.set_index("n_nationkey").loc.at("7", "n_name")], "by_position": [f.iloc.at(4, 2)], "missing": [f.iloc.is_null_at(0, 1)]}
+    return Frame.from_columns(f.sdf.sparkSession, values)
+
+
+@_query("SELECT rn, CASE rn WHEN 2 THEN 'two' WHEN 3 THEN NULL ELSE n_name END AS n_name FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS rn, n_name FROM nation) UNION ALL SELECT count(*), 'last' FROM nation")
+def series_writes(t):
+    return _rn(t("nation").series("n_name").set(2, "two").set_null(3).append("last").frame)
+
+
+@_query("SELECT row_number() OVER (ORDER BY n_nationkey) - 6 AS rn, n_name FROM nation QUALIFY row_number() OVER (ORDER BY n_nationkey) BETWEEN 6 AND 9")
+def series_slice(t):
+    return _rn(t("nation").series("n_name").slice(5, 9).frame)
