@@ -203,7 +203,7 @@ def near_dups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int =
     return rows.join(classes, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 5, sketches: int = 8, radius: int = 5, group: int = 512) -> DataFrame:
+def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 5, sketches: int = 8, radius: int = 5, group: int = GROUP) -> DataFrame:
     """``docs`` with one row of each component: of the least id. A row without an
     id stays only if no row with one is in its component; of rows that repeat an
     id (or lack one and have equal texts) the first by text stays."""
