@@ -39,6 +39,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     narrow = narrow.withColumn("__key", ascii_lower(F.col("__key")))
     # Two seeds of one 64-bit hash: 128 bits, so that 10^12 lines don't collide.
     lines = narrow.select("__id", "__th", "__pos", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit(1), F.col("__key")).alias("__h2"))
+    lines = materialise(lines, "lines")  # read twice: for the counts, and for the places to drop
     common = (
         lines.where(F.col("__id").isNotNull())
         .groupBy("__h1", "__h2").agg(F.count_distinct("__id").alias("__n"), F.max("__id").alias("__last"))
