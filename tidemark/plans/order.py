@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a bucket; buckets and sampled keys per bucket at most.
 BUCKET_ROWS, MAX_BUCKETS, SAMPLE = 1_000_000, 4096, 32
+#: Splitters that are searched by generated code.
+CASES = 64
 POS, BUCKET = "__pos", "__bucket"
 
 
@@ -31,15 +33,19 @@ def splitters(df: DataFrame, keys: list[str], bucket_rows: int = BUCKET_ROWS) ->
 
 
 def bucket_of(df: DataFrame, keys: list[str], cuts: list[tuple]) -> Column:
-    """Number of splitters at or before the row's keys: a binary search of nested
-    cases. Nulls come last, as in ``splitters``."""
+    """Number of splitters at or before the row's keys (nulls last, as in
+    ``splitters``), by binary search: nested cases for a few splitters, a loop
+    over a constant array for many, as generated code has its limits."""
     if not cuts:
         return F.lit(0)
+    kinds = [df.schema[k].dataType for k in keys]
+    if len(cuts) > CASES:
+        return _searched(keys, kinds, cuts)
 
     def at_or_after(cut: tuple) -> Column:
         out = F.lit(True)
-        for k, v in reversed(list(zip(keys, cut, strict=True))):
-            c, kind = F.col(k), df.schema[k].dataType
+        for k, v, kind in reversed(list(zip(keys, cut, kinds, strict=True))):
+            c = F.col(k)
             if v is None:
                 out = c.isNull() & out
             else:
@@ -55,6 +61,20 @@ def bucket_of(df: DataFrame, keys: list[str], cuts: list[tuple]) -> Column:
     return search(0, len(cuts))
 
 
+def _searched(keys: list[str], kinds: list, cuts: list[tuple]) -> Column:
+    # A key is (is null, value), so that structs compare with nulls last.
+    place = F.struct(*[x.alias(f"{n}{i}") for i, k in enumerate(keys) for n, x in (("n", F.col(k).isNull()), ("v", F.col(k)))])
+    table = F.array(*[F.struct(*[x.alias(f"{n}{i}") for i, (v, kind) in enumerate(zip(cut, kinds, strict=True)) for n, x in (("n", F.lit(v is None)), ("v", F.lit(v).cast(kind)))]) for cut in cuts])
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        after, open_ = place >= F.get(table, mid), s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & after, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~after, mid).otherwise(s["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, step, lambda s: s["lo"])
+
+
 def _order(keys: list[str], backwards: bool = False):
     return [F.col(k).desc_nulls_first() if backwards else F.col(k).asc_nulls_last() for k in keys]
 
