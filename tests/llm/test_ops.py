@@ -100,8 +100,8 @@ def test_mixing_targets(spark):
 
 def test_mixed_rows(docs):
     plan = {(r.doc_id, r.text): r for r in mixing.mix(docs).collect()}
-    out = mixing.mixed_rows(docs)
-    assert out.columns == docs.columns
+    out = mixing.mixed_rows(clash(docs))
+    assert out.columns == clash(docs).columns and {r["size"] for r in out.collect()} == {"x"}
     assert sum(len(brute.words(r.text)) for r in out.collect()) == sum(r.taken for r in mixing.mix(docs).collect())
     for r in out.collect():
         if (r.doc_id, r.text) not in plan:  # the copy at a cut is the beginning of its text

@@ -67,9 +67,9 @@ def _descend(ranges: DataFrame, level: str) -> DataFrame:
     )
 
 
-def mixing_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, seed="mix") -> DataFrame:
+def mixing_plan(docs: DataFrame, size: Column, id_col="doc_id", source_col="source", weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, seed="mix") -> DataFrame:
     """One row per source: target, epochs, and the cut (key, id, words, rows)."""
-    narrow = materialise(docs.select(F.col(source_col).alias("src"), F.col(id_col).alias("id"), random_key(F.col(id_col), seed).alias("key"), word_count(F.col(text_col)).alias("size")), "mix")
+    narrow = materialise(docs.select(F.col(source_col).alias("src"), F.col(id_col).alias("id"), random_key(F.col(id_col), seed).alias("key"), size.alias("size")), "mix")
     hi, lo = F.shiftright("key", 52).cast("int"), F.shiftright("key", 44).cast("int")
     top = narrow.groupBy("src", hi.alias("hi")).agg(F.sum("size").alias("words"))
     targets = source_targets(top.groupBy("src").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
@@ -90,11 +90,14 @@ def mixing_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     return targets.alias("a").join(cut.alias("b"), same("a", "b"), "left").select("a.src", "source_size", "target", "epochs", "at", "cut_words", "cut_size")
 
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, seed="mix") -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target``, ``epochs`` (whole copies) and ``taken`` (words)."""
-    plan = materialise(mixing_plan(docs, id_col, text_col, source_col, weights, share, max_epochs, seed), "mix-plan")
+def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, seed="mix", size: Column | None = None) -> DataFrame:
+    """``docs`` with ``size``, ``source_size``, ``target``, ``epochs`` (whole copies)
+    and ``taken`` (words). ``size`` is the number of words where it is known
+    already; else the texts' words are counted, in both passes."""
+    size = word_count(F.col(text_col)) if size is None else size
+    plan = materialise(mixing_plan(docs, size, id_col, source_col, weights, share, max_epochs, seed), "mix-plan")
     base = docs.select(*[c for c in docs.columns if c not in OUTPUT])
-    sized = base.withColumns({"__size": word_count(F.col(text_col)), "__key": random_key(F.col(id_col), seed)})
+    sized = base.withColumns({"__size": size, "__key": random_key(F.col(id_col), seed)})
     out = sized.alias("d").join(plan.alias("p"), F.col(f"d.{source_col}").eqNullSafe(F.col("p.src")))
     here, cut = F.struct(F.col("__key").alias("key"), F.col(f"d.{id_col}").alias("id")), F.col("p.at")
     size = F.col("__size")
@@ -113,17 +116,21 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
 def mixed_rows(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
     """The mix itself: each document once per epoch that takes it; the copy at
     the cut ends with the last word taken. Columns are those of ``docs``."""
-    m = mix(docs, id_col, text_col, source_col, **options)
+    # All columns ride in a struct, whatever their names.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *dict.fromkeys([id_col, text_col, source_col]))
+    m = mix(rows, id_col, text_col, source_col, **options)
     rest = F.col("taken") - F.col("epochs") * F.col("size")
     copies = m.withColumn("__words", F.explode(F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
     # The text up to its word number __words: as many repeats of (gap, word).
-    words = F.slice(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), 1, F.greatest(F.col("__words").cast("int"), F.lit(0)))
+    words = F.slice(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.greatest(F.col("__words").cast("int"), F.lit(0)))
     text = F.when(F.col("__words") >= F.col("size"), F.col(text_col)).otherwise(F.array_join(words, ""))
-    return copies.withColumn(text_col, text).select(*docs.columns)
+    return copies.select(*[text.alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents")
+    counted = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), "mix-words")
+    return mix(counted, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""
