@@ -7,6 +7,7 @@ import sys
 import zlib
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,6 +317,15 @@ def test_decontamination(spark, rows, empty):
     assert decontam.contaminated(empty, bench).collect() == [] and decontam.decontaminate(empty, bench).collect() == []
 
 
+def test_decontamination_of_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "_STEP", 50)
+    items = [(i, prose(9000 + i, 12 + i)) for i in range(4)]
+    parts = [items[i % 4][1] if i % 3 else prose(i, 15) for i in range(200)]
+    docs = [(1, " ".join(parts)), (2, " ".join(items[1][1].split()[:-1] + ["x"] + parts[:9])), (3, prose(77, 4000))]
+    got = decontam.Items(items).search(pa.array([t for _, t in docs]))
+    assert {(docs[d][0], i): (round(s, 9), a) for d, i, a, _, s in got} == brute.contaminated(docs, items)
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "ITEMS", 3)
     items = [(i, prose(9000 + i, 20)) for i in range(10)]

@@ -100,13 +100,14 @@ def fit_in_a_task(sample: DataFrame, fit: Callable[[pa.Table], object]) -> objec
     return pickle.loads(bytes(rows[0][0])) if rows else None
 
 
-def stratified(labelled: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
-    """About ``per_class`` rows of each class (1.5 times as many at most), or all
-    if there are fewer, drawn by a hash of ``key``; reruns agree. One narrow pass
-    counts the classes."""
+def stratified(labelled: DataFrame, label: str, key: str, per_class: int, total: int = 6400) -> DataFrame:
+    """About ``per_class`` rows of each class, and ``total`` in all (1.5 times as
+    many at most), or all if there are fewer, drawn by a hash of ``key``; reruns
+    agree. One narrow pass counts the classes."""
     rates = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
     if not rates:
         return labelled
+    per_class = max(1, min(per_class, total // len(rates)))
     rate = F.element_at(F.create_map(*[F.lit(x) for c, n in rates.items() for x in (c, min(1.0, per_class / n))]), F.col(label))
     u = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return labelled.where(u < rate).limit(int(1.5 * per_class * len(rates)) + 100)

@@ -156,8 +156,8 @@ class Items:
         w = np.concatenate(windows)
         lo, size = w[:, 0], w[:, 1]
         hi = np.minimum(lo + size, end) - SHINGLE + 1
-        for a, b in _runs(lo, hi):
-            sel = np.flatnonzero((lo >= a) & (hi <= b))
+        for sel in _stretches(lo, hi):
+            a, b = int(lo[sel].min()), int(hi[sel].max())
             sign = _signs(h[a:b], weight[a:b], lo[sel] - a, hi[sel] - a)
             for x, i in zip(*self.candidates(sign, size[sel]), strict=True):
                 x, i = sel[x], int(i)
@@ -166,12 +166,14 @@ class Items:
                     best[d, i] = (s, int(lo[x]) - start, int(min(size[x], end - lo[x])))
 
 
-def _runs(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
-    """The stretches that the windows cover together."""
+def _stretches(lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """The windows in groups that lie close together: a group covers a stretch
+    without gaps, and its windows begin within _STEP words."""
     order = np.argsort(lo, kind="stable")
-    lo, reach = lo[order], np.maximum.accumulate(hi[order])
-    new = np.flatnonzero(np.concatenate([[True], lo[1:] > reach[:-1]]))
-    return [(int(lo[a]), int(reach[b - 1])) for a, b in zip(new, [*new[1:], len(lo)], strict=True)]
+    start, reach = lo[order], np.maximum.accumulate(hi[order])
+    gap = np.cumsum(np.concatenate([[False], start[1:] > reach[:-1]]))
+    key = np.stack([gap, (start - start[0]) // _STEP])
+    return np.split(order, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1)
 
 
 def _bag(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
