@@ -103,6 +103,22 @@ def test_labels(people):
     assert [r[0] for r in f.sort_index(False).collect()] == ["David", "Bob", "Alice", "Charlie"]
 
 
+def test_labels_follow_their_rows(spark):
+    f = make(spark, v=[5, 3, None, 4, 3], w=list("abcde"))
+    assert f.filter("v", ">", 3).index() == ["0", "3"] and f.filter("v", ">", 3).select("w").filter("w", "!=", "a").index() == ["3"]
+    assert f.dropna().sort_values("v").index() == ["1", "4", "3", "0"] and f.sort_values("v", False).head(2).index() == ["0", "3"]
+    assert f.tail(2).index() == ["3", "4"] and f.slice([4, 0, 4]).index() == ["4", "0", "4"] and f.iloc.range(1, 3).index() == ["1", "2"]
+    assert f.drop_duplicates(["v"], "last").index() == ["0", "2", "3", "4"] and f.sort_values("v").tail(2).rename({"v": "x"}).loc.at("2", "w") == "c"
+    assert sorted(f.sample(5, 3).index()) == list("01234") and f.sample(2, 3).index() == f.sample(5, 3).head(2).index()
+    assert f.filter("v", ">", 3).reset_index().index() == ["0", "1"] and f.sort_values("v").sort_index().collect() == f.collect() and f.sort_values("w", False).sort_values("v").index() == ["4", "1", "3", "0", "2"]
+    assert f.shift(1).filter("w", "==", "a").index() == ["1"] and f.filter("v", ">", 3).cumsum().index() == ["0", "3"] and f.filter("v", ">", 3).rolling(1).sum().drop(index=["0"]).collect() == [(4.0, "d")]
+    t = Frame.from_table(spark.createDataFrame([(30, "c"), (10, "a"), (20, "b")], "k int, w string"), ["k"])
+    assert t.where("w != 'a'").select("w").index() == ["1", "2"] and t.sort_values("w", False).slice([0]).index() == ["2"] and t.tail(1).tail(1).index() == ["2"]
+    from tidemark.operators.concat import concat
+
+    assert concat([f.head(2), f.head(3)]).index() == ["0", "1", "0", "1", "2"] and concat([f.head(2), f.tail(1)]).index() == ["0", "1", "4"] and concat([f.head(1), f.head(1)]).filter("v", ">", 0).index() == ["0", "0"]
+
+
 def test_multi_index(spark):
     f = make(spark, Country=["USA", "USA", None], City=["NYC", "LA", "London"], Pop=[1, 2, 3]).set_multi_index(["Country", "City"])
     assert f.index() == ["USA_NYC", "USA_LA", "null_London"]

@@ -27,10 +27,15 @@ OPS = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a
 
 
 class Frame:
-    def __init__(self, sdf: DataFrame, order: list[str] | None = None, labels: bool = False, positioned: str | None = None):
+    def __init__(self, sdf: DataFrame, order: list[str] | None = None, labels: bool = False, positioned: str | None = None, origin: tuple[Frame, list[str]] | None = None, parts: str | None = None):
         self.sdf, self.order, self._labels = sdf, list(order or []), labels
         #: A column that holds contiguous positions from 0, if one is known.
         self._positioned = positioned
+        #: Where rows were dropped or moved: the frame whose labels they bear, and
+        #: the columns here that hold its order keys. Labels are joined on demand.
+        self._origin = None if labels else origin
+        #: A column by whose values default labels start anew.
+        self._parts = parts
 
     # ---------------------------------------------------------------- making
 
@@ -89,7 +94,19 @@ class Frame:
         return self.sdf.select(*[F.col(f"`{c}`") for c in self.columns])
 
     def _with(self, sdf: DataFrame, rows_kept: bool = False) -> Frame:
-        return Frame(sdf, self.order, self._labels, self._positioned if rows_kept else None)
+        origin = self._origin or (None if rows_kept or not self.order else (self, self.order))
+        return Frame(sdf, self.order, self._labels, self._positioned if rows_kept else None, origin, self._parts)
+
+    def _moved(self, key: str, sdf: DataFrame) -> Frame:
+        """``sdf``, made of this frame's rows, in the new order ``key``; old hidden
+        keys stay only as far as labels need them."""
+        origin = self._origin or ((self, self.order) if self.order else None)
+        if self._labels or origin is None:
+            return Frame(sdf.drop(*[k for k in self.order if k.startswith("__")]), [key], self._labels)
+        names = [f"__l{i}" for i in range(len(origin[1]))]
+        old = {*origin[1], *names, *[k for k in self.order if k.startswith("__")], POS}
+        kept = [F.col(f"`{c}`") for c in sdf.columns if c not in old or not c.startswith("__")]
+        return Frame(sdf.select(*kept, *[F.col(f"`{k}`").alias(n) for k, n in zip(origin[1], names, strict=True)]), [key], origin=(origin[0], names))
 
     def _need(self, *columns: str) -> None:
         if missing := [c for c in columns if c not in self.columns]:
@@ -116,15 +133,36 @@ class Frame:
         if self._positioned:
             return self, self._positioned
         self._order_columns()
-        sdf = plans.with_position(self.sdf.drop(POS) if POS not in self.order else self.sdf.withColumnRenamed(POS, "__old"), [k if k != POS else "__old" for k in self.order]).drop("__old")
-        return Frame(sdf, [POS], self._labels, POS), POS
+        keys = [f"__old{i}" for i in range(len(self.order))]
+        sdf = self.sdf.select("*", *[F.col(f"`{k}`").alias(o) for k, o in zip(self.order, keys, strict=True)])
+        origin = self._origin
+        if POS in sdf.columns:
+            if origin and POS in origin[1]:  # keeps under another name what labels are joined by
+                sdf, origin = sdf.withColumnRenamed(POS, "__l_pos"), (origin[0], ["__l_pos" if k == POS else k for k in origin[1]])
+            else:
+                sdf = sdf.drop(POS)
+        return Frame(plans.with_position(sdf, keys).drop(*keys), [POS], self._labels, POS, origin, self._parts), POS
 
     def with_labels(self) -> Frame:
         """The frame with its labels as the column __index."""
         if self._labels:
             return self
+        if self._origin:
+            base, keys = self._origin
+            names = [f"__b{i}" for i in range(len(keys))]
+            place = base.sdf.select("*", *[F.col(f"`{k}`").alias(n) for k, n in zip(base.order, names, strict=True)])
+            named = Frame(place, base.order, base._labels, base._positioned, base._origin, base._parts).with_labels().sdf.select(*names, INDEX)
+            on = [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+            return Frame(self.sdf.join(named, on).drop(*names), self.order, True)
         f, pos = self.with_positions()
-        return Frame(f.sdf.withColumn(INDEX, F.col(pos).cast("string")), f.order, True, f._positioned)
+        label = F.col(pos)
+        sdf = f.sdf
+        if self._parts:
+            # One row per part: as many as frames were put together.
+            first = sdf.groupBy(F.col(self._parts).alias("__p")).agg(F.min(pos).alias("__first"))
+            sdf = sdf.join(F.broadcast(first), F.col(self._parts) == F.col("__p"))
+            label = label - F.col("__first")
+        return Frame(sdf.withColumn(INDEX, label.cast("string")).drop("__p", "__first"), f.order, True, f._positioned)
 
     def _own_order(self) -> Frame:
         """Order keys that are data columns survive a projection as hidden ones."""
@@ -132,8 +170,9 @@ class Frame:
         if not shown:
             return self
         new = {k: f"__k{i}" for i, k in enumerate(self.order) if k in shown}
-        sdf = self.sdf.select("*", *[F.col(f"`{k}`").alias(n) for k, n in new.items()])
-        return Frame(sdf, [new.get(k, k) for k in self.order], self._labels, new.get(self._positioned, self._positioned))
+        sdf = self.sdf.drop(*new.values()).select("*", *[F.col(f"`{k}`").alias(n) for k, n in new.items()])
+        origin = self._origin and (self._origin[0], [new.get(k, k) for k in self._origin[1]])
+        return Frame(sdf, [new.get(k, k) for k in self.order], self._labels, new.get(self._positioned, self._positioned), origin, self._parts)
 
     # ------------------------------------------------- projection, columns
 
@@ -231,9 +270,9 @@ class Frame:
     def _gather(self, key: str, wanted: list, kind: str) -> Frame:
         # The list comes from the caller's memory: its broadcast is as large as that.
         asked = self.sdf.sparkSession.createDataFrame([(i, v) for i, v in enumerate(wanted)], f"__ord long, __want {kind}")
-        out = self.sdf.join(F.broadcast(asked), F.col(f"`{key}`") == F.col("__want")).drop("__want")
-        out = out.drop(*[k for k in self.order if k.startswith("__")])
-        return Frame(out, ["__ord"], self._labels, "__ord")
+        own = self._own_order()
+        out = own._moved("__ord", own.sdf.drop("__ord").join(F.broadcast(asked), F.col(f"`{key}`") == F.col("__want")).drop("__want"))
+        return Frame(out.sdf, out.order, out._labels, "__ord", out._origin)
 
     def set_index(self, labels: list[str] | str) -> Frame:
         """Labels from a column, or from a list as long as the frame."""
@@ -248,7 +287,7 @@ class Frame:
         return Frame(sdf, f.order, True, f._positioned)
 
     def reset_index(self) -> Frame:
-        return Frame(self.sdf.drop(INDEX), self.order, False, self._positioned)
+        return Frame(self.sdf.drop(INDEX), self.order, False, self._positioned)  # no origin: labels start anew
 
     def set_multi_index(self, columns: list[str], sep: str = "_") -> Frame:
         """Labels of several columns' values joined; null reads ``null``."""
@@ -589,8 +628,8 @@ class Frame:
             raise ValueError(f"{n} of {len(self)} rows")
         self._order_columns()
         f = self._own_order()
-        drawn = f.sdf.withColumn("__draw", F.xxhash64(F.lit(seed), *[F.col(k) for k in f.order]))
-        return Frame(drawn.orderBy("__draw", *f.order).limit(n), ["__draw", *f.order], f._labels)
+        drawn = f.sdf.withColumn("__draw", F.struct(F.xxhash64(F.lit(seed), *[F.col(k) for k in f.order]), *[F.col(k) for k in f.order]))
+        return f._moved("__draw", drawn.orderBy("__draw").limit(n))
 
     # ------------------------------------------------------------ duplicates
 
@@ -677,7 +716,7 @@ class Frame:
             raise ValueError("na_position must be first or last")
         up = up * len(by) if len(up) == 1 else up
         keys = []
-        f = self._own_order() if ignore_index or self._labels else self._own_order().with_labels()
+        f = self._own_order()
         for c, a in zip(by, up, strict=True):
             x = F.col(f"`{c}`")
             keys.append((x.asc_nulls_last() if na_position == "last" else x.asc_nulls_first()) if a else (x.desc_nulls_last() if na_position == "last" else x.desc_nulls_first()))
@@ -686,9 +725,9 @@ class Frame:
     def _sorted(self, keys: list[Column], labels: bool) -> Frame:
         """Sorted globally (a range exchange); the order is kept as per-partition
         ids, which follow it, when the frame is used further."""
-        out = self.sdf.orderBy(*keys, *self._order_columns())
-        out = out.drop(*[k for k in self.order if k.startswith("__")], *([] if labels else [INDEX]))
-        return Frame(out.withColumn("__sorted", F.monotonically_increasing_id()), ["__sorted"], labels and self._labels)
+        out = self.sdf.orderBy(*keys, *self._order_columns()).withColumn("__sorted_by", F.monotonically_increasing_id())
+        moved = self._moved("__sorted", out.drop("__sorted").withColumnRenamed("__sorted_by", "__sorted")) if "__sorted" not in self.order else self._moved("__sorted2", out.drop("__sorted2").withColumnRenamed("__sorted_by", "__sorted2"))
+        return moved if labels else Frame(moved.sdf.drop(INDEX), moved.order)
 
     def sort_index(self, ascending: bool = True) -> Frame:
         f = self._own_order().with_labels()

@@ -31,7 +31,8 @@ def _rows(frames: list, join: str, ignore_index: bool, sort: bool, verify_integr
             raise ValueError("no common column")
     names = sorted(names) if sort else names
     kind = {c: common([f.schema[c].dataType for f in frames if c in f.columns]) for c in names}
-    labels = not ignore_index and (verify_integrity or any(f._labels for f in frames))
+    # Default labels are numbered by part on demand; only others are carried.
+    labels = not ignore_index and (verify_integrity or any(f._labels or f._origin for f in frames))
     parts = []
     for i, f in enumerate(frames):
         f, rank = _ranked((f.with_labels() if labels else f)._own_order())
@@ -44,7 +45,7 @@ def _rows(frames: list, join: str, ignore_index: bool, sort: bool, verify_integr
         out = out.unionByName(p)
     if verify_integrity and labels and not out.groupBy(INDEX).count().where("count > 1").isEmpty():
         raise ValueError("labels repeat")
-    return Frame(out, ["__part", "__rank"], labels)
+    return Frame(out, ["__part", "__rank"], labels, parts=None if ignore_index else "__part")
 
 
 def _ranked(frame):
