@@ -7,11 +7,16 @@ else, and case folding touches ``A-Z`` only.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import json
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -42,9 +47,48 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def sweep() -> None:
+    """Deletes what ``materialise`` wrote. Results are lazy and read it, so this
+    is for when they have been used; it runs when the driver ends."""
+    sc = SparkContext._active_spark_context
+    if sc is None or sc._jsc is None:
+        return
+    while _written:
+        path = sc._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        sweep()
+
+
+def lean_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session hands texts to Python a thousand at a time,
+    unless it was told another number than Spark's default: batches of long texts
+    would fill the memory beside the heap, on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, "1000")
+    return df
+
+
+def local_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A few rows from the driver's memory, as one literal that the JVM reads:
+    no Python worker takes part."""
+    names = [f.name for f in T._parse_datatype_string(schema)]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), T.ArrayType(T._parse_datatype_string(schema)))))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z, other characters untouched. ``lower`` is exact when every
     non-ASCII character is one of U+00DF..U+00FF (no upper case among them), and

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._base import lean_batches
 from ._text import ids_of, rolling, words, xxh64
 
 #: Texts whose dense features are held at once.
@@ -96,7 +97,7 @@ def fit_in_a_task(sample: DataFrame, fit: Callable[[pa.Table], object]) -> objec
         if got:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(got)))], pa.binary())], ["model"])
 
-    rows = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    rows = lean_batches(sample).repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(bytes(rows[0][0])) if rows else None
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES, BLOCK = 4 << 20, 400_000
+PIECE_BYTES, BLOCK = 2 << 20, 100_000
 
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:

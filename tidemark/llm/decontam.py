@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import table
+from ._base import lean_batches, table
 from ._text import ids_of, mix64, pieces, rolling, words, xxh64
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 31
@@ -214,7 +214,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
                     ["id", "item", "start_word", "n_words", "similarity"],
                 )
 
-        part = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, item long, start_word long, n_words long, similarity double")
+        part = lean_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, item long, start_word long, n_words long, similarity double")
         found = part if found is None else found.unionByName(part)
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "start_word", "n_words", "similarity")
 
@@ -231,7 +231,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col="text", item_col="
                 clean[[x[0] for x in index.search(piece.column(text_col))]] = False
                 yield piece.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = lean_batches(docs).mapInArrow(run, docs.schema)
     return docs
 
 

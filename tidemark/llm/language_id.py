@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import table
+from ._base import lean_batches, table
 from ._learn import ROWS, char_features, fit_in_a_task, hellinger, logistic, stratified
 from ._text import pieces
 
@@ -104,7 +104,7 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
         for piece in pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([piece.column("id").cast(pa.int64()), *_predict(model, piece.column("text"))], ["id", "lang_pred", "score", "ambiguous"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = lean_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, lang_pred string, score double, ambiguous boolean").withColumnRenamed("id", id_col)
 
 
@@ -116,7 +116,7 @@ def keep_identified(docs: DataFrame, model, text_col: str = "text") -> DataFrame
         for piece in pieces(batches, text_col):
             yield piece.filter(pc.not_equal(_predict(model, piece.column(text_col))[0], UNKNOWN))
 
-    return docs.mapInArrow(run, docs.schema)
+    return lean_batches(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(key: Column) -> Column:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import materialise, table
+from ._base import lean_batches, materialise, table
 from ._text import pieces
 from .components import components
 from .simhash import fingerprints
@@ -57,7 +57,7 @@ def fingerprint_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int,
             offsets = pa.array(np.arange(len(fp) + 1, dtype=np.int32) * sketches)
             yield pa.RecordBatch.from_arrays([piece.column("id").cast(pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(fp.ravel()))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp array<long>")
+    return lean_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp array<long>")
 
 
 def _part(rows: DataFrame, bits: str, rest: str, blocks: int, key) -> DataFrame:

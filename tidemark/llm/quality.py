@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import table
+from ._base import lean_batches, table
 from ._learn import ROWS, char_features, fit_in_a_task, hellinger, logistic, stratified, word_features
 from ._text import ids_of, pieces, words
 
@@ -162,7 +162,7 @@ def judge(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
                 ["id", *_STATS, "base_failed", "p_low", "kept"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = lean_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id long, {', '.join(f'{k} long' for k in _STATS)}, base_failed boolean, p_low double, kept boolean").withColumnRenamed("id", id_col)
 
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import ascii_lower, table
+from ._base import ascii_lower, lean_batches, table
 from ._learn import fit_in_a_task
 
 
@@ -190,7 +190,7 @@ def judge(pages: DataFrame, model, url_col: str = "url", rules=RULES, block: flo
     base = pages.select(*[c for c in pages.columns if c not in OUTPUT])
     url = F.col(url_col)
     host = host_of(url)
-    cut = base.select("*", host.alias("host"), path_of(url).alias("path"))
+    cut = lean_batches(base).select("*", host.alias("host"), path_of(url).alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     if model is None:
         p = F.lit(None).cast("double")
