@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import materialise, table
+from ._base import local_rows, materialise, table
 
 SHARDS = 8
 #: Splitter sample and ranges: both bounds, whatever the input. A range is meant to hold ROWS rows.
@@ -59,12 +59,12 @@ def _ranged(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
     spark, n = rows.sparkSession, 0
     starts = []
     for c in sorted(inner):
-        starts.append((c, n, inner[c]))
+        starts.append((c, n, [{"k": k, "i": i} for k, i in inner[c]]))
         n += len(inner[c])
-    own = spark.createDataFrame(starts, "__c int, __before int, __own array<struct<k:long,i:long>>")
+    own = local_rows(spark, starts, "__c int, __before int, __own array<struct<k:bigint,i:bigint>>")
     # Prefixes without a splitter of their own take the count before the next one.
     ends = [(-1, 0), *[(c, b + len(o)) for c, b, o in starts]]
-    steps = spark.createDataFrame([(a, b, n) for (a, n), b in zip(ends, [*[c for c, _ in ends[1:]], 1 << 16], strict=True)], "a int, b int, n int")
+    steps = local_rows(spark, [(a, b, n) for (a, n), b in zip(ends, [*[c for c, _ in ends[1:]], 1 << 16], strict=True)], "a int, b int, n int")
     steps = steps.where("b - a > 1").select(F.explode(F.sequence(F.col("a") + 1, F.col("b") - 1)).alias("__c"), F.col("n").alias("__before"), F.array().cast("array<struct<k:bigint,i:bigint>>").alias("__own"))
     here = F.struct(F.col("__k").alias("k"), F.col("__i").alias("i"))
     found = rows.withColumn("__c", F.shiftright("__k", _COARSE).cast("int")).join(F.broadcast(own.unionByName(steps)), "__c")
@@ -107,7 +107,7 @@ def shard(docs: DataFrame, id_col="doc_id", text_col="text", shards: int = SHARD
         starts.append((r, byte, row))
         byte, row = byte + s, row + n
     # A row per range, so this broadcast is bounded as MAX_RANGES is.
-    offsets = F.broadcast(keys.sparkSession.createDataFrame(starts, "__r int, __b0 long, __n0 long"))
+    offsets = F.broadcast(local_rows(keys.sparkSession, starts, "__r int, __b0 bigint, __n0 bigint"))
     bounds = _boundaries(_ranged(keys, splitters), offsets, starts, total, shards)
     heads = keys.agg(*[F.count_if(~_at_or_after(k)) for k in bounds]).first() if bounds else []
     shard_of = sum((_at_or_after(k).cast("int") for k in bounds), F.lit(0))
