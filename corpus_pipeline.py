@@ -3,7 +3,8 @@ and read again as the next one's input.
 
 1. language ID: documents of no identifiable language (null text, no letter) go;
 2. SimHash near-dedup: one document of each group stays, the one of least id
-   (five-word shingles, eight sketches of 64 bits, 5 bits apart at most);
+   (five-word shingles, Jaccard similarity 0.8 or more, verified; candidates by
+   24 sketches of 64 bits);
 3. benchmark decontamination: documents with a benchmark passage go;
 4. mixing: documents are repeated or left out so that sources meet their targets,
    the one at a source's cut ending with the last word taken;
@@ -25,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_one(docs, shingle=5, sketches=8, radius=5)
+    return near_dedup.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

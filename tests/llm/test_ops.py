@@ -405,3 +405,55 @@ def test_url_trees(spark):
     assert url_filter.train(spark.createDataFrame([("http://a.b/", 0)], "url string, label int")) is None
     noise = url_filter.train(spark.createDataFrame([(f"http://h{i}.com/{i}", rng.randint(0, 9) // 9) for i in range(600)], "url string, label int"))
     assert all(r.p_block < 0.5 for r in url_filter.judge(spark.createDataFrame([(f"http://h{i}.com/{i}",) for i in range(700, 760)], "url string"), noise).collect())
+
+
+def test_keep_one_verifies_lone_pairs(spark):
+    """Pairs of similarity 0.8 go, of 0.75 stay, though no third copy links them."""
+    rng = random.Random(9)
+    docs, lone, unlike = [], [], []
+    for i in range(120):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(185 if i < 60 else 184)]
+        changed = list(w)
+        for at in (20, 60, 100, 140) if i < 60 else (20, 50, 80, 110, 140):  # each changes five shingles
+            changed[at] += "x"
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(changed))]
+        (lone if i < 60 else unlike).append(2 * i + 1)  # 161/201 = 0.801, 155/205 = 0.756
+    kept = {r.doc_id for r in near_dedup.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {2 * i for i in range(120)} | set(unlike) <= kept and len(kept & set(lone)) <= 2
+
+
+def test_keep_one_large_groups(spark):
+    """A family of near copies in thinned groups and in tiles, against all pairs."""
+    rng = random.Random(10)
+    base, docs = [f"w{i}" for i in range(200)], []
+    for i in range(150):
+        w = list(base)
+        for at in rng.sample(range(200), rng.randint(0, 7)):
+            w[at] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for _, t in docs]
+    label = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    want = {min(i for i in range(150) if label[i] == x) for x in set(label)}
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert len(want) > 1
+    for group in (2048, 16):
+        assert {r.doc_id for r in near_dedup.keep_one(table, group=group).collect()} == want
+
+
+def test_keep_one_decides_per_row(spark):
+    """Unrelated texts under one id are two documents."""
+    docs = [(1, prose(1)), (1, prose(2)), (2, prose(2)), (None, prose(1)), (None, prose(3)), (3, prose(3)), (3, prose(3))]
+    kept = near_dedup.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted([(1, prose(1)), (1, prose(2)), (3, prose(3))])
+
+
+def test_distinct_shingles_of_a_long_text():
+    from tidemark.llm.simhash import fingerprints
+
+    text = " ".join(f"w{i}" for i in range(230_000))  # over two blocks, without repeats
+    a, b = (fingerprints(pa.array([text, "one two"]), 5, 2, distinct=d) for d in (True, False))
+    assert (a == b).all()

@@ -16,11 +16,16 @@ Scale: steps 2 to 4 move fingerprints and ids, never texts. Groups of any size
 end up in tasks of at most ``GROUP`` rows; nothing is collected.
 
 With ``sketches`` over 1, independent fingerprints link if any one of them does.
-``keep_one`` uses 8 sketches and a radius of 5 on five-word shingles: a pair of
-similarity 0.95 is found with probability above 0.99, 0.9 with 0.97, 0.85 with
-0.73 and 0.8 with 0.4 (near copies of several copies are found through others);
-0.7 with 0.08 and 0.6 with 0.01. Unrelated texts practically never link (4e-12 a
-pair).
+
+``keep_one`` decides by the texts: rows are copies if their sets of five-word
+shingles (as 64-bit hashes) have a Jaccard similarity of 0.8 or more, or if such
+pairs connect them. Candidates share one of the four blocks of one of 24 sketches of distinct
+shingles, and the trie join of a group finds those within 12 bits. Each candidate
+is verified; groups with very many pairs (families of near copies) first give
+each node's nearest pairs, and then all pairs still unconnected. Simulated, a lone
+pair of similarity 0.8 is a candidate with probability above 0.99 (0.96 where texts
+have four or five shingles), of 0.85 with practically 1. Texts equal in all 24
+sketches are one node.
 
 Defined results: a null or wordless text has fingerprint zero and links like any
 other. Rows with a null id link but lend no id; the component is null if nothing
@@ -39,13 +44,20 @@ from pyspark.sql import functions as F
 from ._base import lean_batches, materialise, table
 from ._text import pieces
 from .components import components
-from .simhash import fingerprints
+from .simhash import fingerprints, shingle_sets
 
 RADIUS, GROUP = 3, 2048
 #: Bits: a group with no more of them free has 2^FREE fingerprints at most and isn't parted.
 FREE = 12
 #: Groups are joined together as long as the squares of their sizes sum to this.
 PAIRS = 1 << 22
+#: The same for candidates, of which the wide radius prunes few; and the rows taken at once.
+CANDIDATES, ROWS = 1 << 18, 1 << 15
+#: Of ``keep_one``: sketches, blocks of each, bits apart in a sketch of candidates, share of
+#: bits apart in all sketches beyond which texts can't be similar, and the similarity of copies.
+SKETCHES, BLOCKS, NEAR, FAR, SIMILAR = 24, 4, 12, 0.25, 0.8
+#: A group with more pairs a row than this is looked at again once its nearest pairs are joined.
+MANY = 8
 
 
 def fingerprint_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, sketches: int) -> DataFrame:
@@ -203,23 +215,190 @@ def near_dups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int =
     return rows.join(classes, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 5, sketches: int = 8, radius: int = 5, group: int = GROUP) -> DataFrame:
-    """``docs`` with one row of each component: of the least id. A row without an
-    id stays only if no row with one is in its component; of rows that repeat an
-    id (or lack one and have equal texts) the first by text stays."""
-    # Rows without an id get one above all others, from their text.
-    sid = F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.xxhash64(text_col).bitwiseAND((1 << 62) - 1))
-    named = docs.withColumn("__sid", sid)
-    found = materialise(near_dups(named, "__sid", text_col, shingle, sketches, radius, group).select("id", "component"), "components")
-    gone = found.where("id != component").select(F.col("id").alias("__sid")).distinct()
-    kept = named.join(gone, "__sid", "left_anti")
-    again = found.where("id = component").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__sid"))
+def _sketches(docs: DataFrame, shingle: int, sketches: int) -> DataFrame:
+    """(id, th, fp array<long>) of (id, th, text), of distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            fp = fingerprints(piece.column("text"), shingle, sketches, distinct=True).view(np.int64)
+            offsets = pa.array(np.arange(len(fp) + 1, dtype=np.int32) * sketches)
+            yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("th"), pa.ListArray.from_arrays(offsets, pa.array(fp.ravel()))], ["id", "th", "fp"])
+
+    return docs.mapInArrow(run, "id long, th long, fp array<long>")
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles array<long>) of (node, text): sorted hashes of the distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            doc, h = shingle_sets(piece.column("text"), shingle)
+            offsets = np.searchsorted(doc, np.arange(piece.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([piece.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], ["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles array<long>")
+
+
+def _meet(nodes: DataFrame) -> DataFrame:
+    """(key, fp, node, label), once per sketch and block: fingerprints with equal
+    blocks meet under one key."""
+    each = nodes.select("node", "label", F.posexplode("fp").alias("sketch", "fp"))
+    each = each.withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(BLOCKS)])))
+    value = F.expr(f"shiftrightunsigned(fp, j * {64 // BLOCKS}) & {(1 << 64 // BLOCKS) - 1}L")
+    return each.select(F.xxhash64("sketch", "j", value).alias("key"), "fp", "node", "label")
+
+
+def full_groups(nodes: DataFrame, group: int) -> DataFrame:
+    """(key, t): keys of more than about ``group`` rows, by a sample where there
+    are many, and the number of tiles to cut them into. This deals out work only."""
+    one_in = max(1, min(16, group // 128))
+    n = _meet(nodes.where(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0)).groupBy("key").agg((F.count(F.lit(1)) * one_in).alias("n"))
+    return materialise(n.where(F.col("n") > group).select("key", F.ceil(F.col("n") / (group / 2)).cast("int").alias("t")), "full-groups")
+
+
+def tiles(nodes: DataFrame, full: DataFrame) -> DataFrame:
+    """``_meet``, each full group cut into tiles by node, and a key for every two
+    tiles: any two rows of a group still meet, and no key gets many rows."""
+    rows = _meet(nodes).join(full, "key", "left").withColumn("own", F.expr("CAST(pmod(xxhash64(node), t) AS INT)"))
+    keys = F.expr("CASE WHEN t IS NULL THEN array(key) ELSE transform(sequence(0, t - 1), x -> xxhash64(key, least(own, x), greatest(own, x))) END")
+    return rows.select(F.explode(keys).alias("key"), "fp", "node", "label")
+
+
+def group_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.ndarray, radius: int, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b), nodes of unlike label within ``radius`` bits in a run of equal keys,
+    and the keys of groups with over MANY pairs a row: unless ``whole``, these give
+    for each node its nearest and its first in order only."""
+    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])]))  # equal fingerprints
+    n = np.diff(np.concatenate([start, [len(key)]]))
+    k, f = key[start], fp[start]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    last = np.concatenate([first[1:], [len(k)]])
+    rows = np.add.reduceat(n, first)
+    first, last, rows = first[rows > 1], last[rows > 1], rows[rows > 1]
+    work = np.cumsum(rows.astype(np.int64) ** 2) // CANDIDATES
+    for w in np.unique(work):
+        lo, hi = first[work == w], last[work == w]
+        a, b = trie_pairs(f, lo, hi, radius)
+        equal = np.concatenate([np.arange(x, y) for x, y in zip(lo, hi, strict=True)])
+        equal = equal[n[equal] > 1]
+        a, b = np.concatenate([a, equal]), np.concatenate([b, equal])
+        m = n[a] * n[b]  # rows of equal fingerprints, all with all
+        pair = np.repeat(np.arange(len(a)), m)
+        at = np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)
+        x, y = start[a][pair] + at // n[b][pair], start[b][pair] + at % n[b][pair]
+        told = (label[x] != label[y]) & ((a != b)[pair] | (x < y))
+        x, y = np.minimum(x[told], y[told]), np.maximum(x[told], y[told])
+        if not len(x):
+            continue
+        group = np.searchsorted(start[lo], x, side="right") - 1
+        many = np.bincount(group, minlength=len(lo)) > MANY * rows[work == w]
+        if whole or not many.any():
+            yield node[x], node[y], key[:0]
+            continue
+        thin = many[group]
+        p, q = x[thin], y[thin]
+        p, q = np.concatenate([p, q]), np.concatenate([q, p])
+        near = np.bitwise_count(fp[p] ^ fp[q])
+        kept = []
+        for order in (np.lexsort((near, p)), np.lexsort((q, p))):
+            head = np.concatenate([[True], p[order][1:] != p[order][:-1]])
+            kept.append(order[head])
+        at = np.concatenate(kept)
+        yield node[np.concatenate([x[~thin], p[at]])], node[np.concatenate([y[~thin], q[at]])], key[start[lo]][many]
+
+
+def candidates(rows: DataFrame, whole: bool, radius: int = NEAR) -> DataFrame:
+    """(a, b, key): ``group_pairs`` of the groups; the key alone of a thinned one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole_rows(parts):
+            key, fp, node, label = (np.concatenate(x) for x in zip(*parts, strict=True))
+            return [key, fp.view(np.uint64), node, label]
+
+        def emit(held):
+            for a, b, thinned in group_pairs(*held, radius, whole):
+                none = pa.nulls(len(thinned), pa.int64())
+                a, b = (pa.concat_arrays([pa.array(x), none]) for x in (np.minimum(a, b), np.maximum(a, b)))
+                yield pa.RecordBatch.from_arrays([a, b, pa.concat_arrays([pa.nulls(len(a) - len(thinned), pa.int64()), pa.array(thinned)])], ["a", "b", "key"])
+
+        parts, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts.append([batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("key", "fp", "node", "label")])
+            n += batch.num_rows
+            if n < ROWS:
+                continue
+            held = whole_rows(parts)
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
+            if cut:
+                yield from emit([x[:cut] for x in held])
+            parts = [[x[cut:].view(np.int64).copy() for x in held]]
+            n = len(held[0]) - cut
+        if parts and n:
+            yield from emit(whole_rows(parts))
+
+    rows = rows.repartition("key").sortWithinPartitions("key", F.expr("fp ^ (-9223372036854775808L)"))
+    return rows.mapInArrow(run, "a long, b long, key long")
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, sketches: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are as similar as that."""
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}"))
+    apart = F.expr(" + ".join(f"bit_count(fp_a[{i}] ^ fp_b[{i}])" for i in range(sketches)))
+    near = pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(apart <= FAR * 64 * sketches).select("a", "b")
+    near = materialise(near, "candidates")
+    need = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    asked = nodes.join(need, "node").select("node", F.col("least.id").alias("i"), F.col("least.th").alias("t"))
+    texts = docs.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("node", "text").dropDuplicates(["node"])
+    sets = materialise(_sets(texts, shingle), "shingles")
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
+    both = near.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.size("s_a").alias("x"), F.size("s_b").alias("y"), F.size(F.array_intersect("s_a", "s_b")).alias("n"))
+    return materialise(both.where(F.col("n") / (F.col("x") + F.col("y") - F.col("n")) >= similarity).select("a", "b"), "similar")
+
+
+def copies(docs: DataFrame, shingle: int, sketches: int, similarity: float, group: int) -> tuple[DataFrame, DataFrame]:
+    """For ``docs`` (id, th, text): (id, th, node) of its rows, and (node, id, th)
+    with the least row that the node reaches by similar pairs."""
+    rows = materialise(_sketches(docs, shingle, sketches).withColumn("node", F.xxhash64("fp")), "fingerprints")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("least")
+    nodes = materialise(rows.groupBy("node", "fp").agg(least), "nodes")
+    alone = nodes.withColumn("label", F.col("node"))
+    full = full_groups(alone, group)
+    told = materialise(candidates(tiles(alone, full), False), "pairs")
+    edges = similar(told.where("key IS NULL").select("a", "b"), nodes, docs, shingle, sketches, similarity)
+    found = materialise(components(edges), "components")
+    thinned = materialise(told.where("key IS NOT NULL").select("key").distinct(), "thinned")
+    if not thinned.isEmpty():
+        # What is joined by now needs no further look.
+        parts = nodes.join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
+        rest = candidates(tiles(parts, full).join(thinned, "key", "left_semi"), True).select("a", "b")
+        more = similar(rest, nodes, docs, shingle, sketches, similarity)
+        found = materialise(components(edges.unionByName(more)), "components")
+    classes = nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    heads = classes.groupBy("component").agg(F.min("least").alias("head"))
+    return rows.select("id", "th", "node"), classes.join(heads, "component").select("node", F.col("head.id").alias("head_id"), F.col("head.th").alias("head_th"))
+
+
+def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 5, sketches: int = SKETCHES, similarity: float = SIMILAR, group: int = GROUP) -> DataFrame:
+    """``docs`` with one row of each component: of the least id, and of rows that
+    repeat an id the least by a hash of the text. A row without an id stays only
+    if no row with one is in its component; of rows equal in both one stays."""
+    named = docs.withColumns({"__id": F.col(id_col).cast("long"), "__th": F.xxhash64(text_col)})
+    texts = lean_batches(named).select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col(text_col).alias("text"))
+    rows, heads = copies(texts, shingle, sketches, similarity, group)
+    told = rows.join(heads, "node").withColumn("kept", F.col("id").eqNullSafe(F.col("head_id")) & (F.col("th") == F.col("head_th")))
+    told = materialise(told.groupBy("id", "th", "kept").agg(F.count(F.lit(1)).alias("n")), "told")
+    on = lambda x: named["__id"].eqNullSafe(x["id"]) & (named["__th"] == x["th"])
+    gone = told.where("NOT kept").select("id", "th")
+    again = told.where("kept AND n > 1").select("id", "th")
     if again.isEmpty():
-        return kept.select(*docs.columns)
-    again = materialise(again, "repeated-ids")
-    first = Window.partitionBy("__sid").orderBy(F.col(text_col).asc_nulls_last())
-    one = kept.join(again, "__sid", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return kept.join(again, "__sid", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+        return named.join(gone, on(gone), "left_anti").select(*docs.columns)
+    again = materialise(again, "repeated-rows")
+    first = Window.partitionBy("__id", "__th").orderBy(F.col(text_col).asc_nulls_last())
+    one = named.join(again, on(again), "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    drop = gone.unionByName(again)
+    return named.join(drop, on(drop), "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,14 +11,10 @@ import pyarrow.compute as pc
 from ._text import BLOCK, mix64, words, xxh64
 
 
-def fingerprints(texts: pa.Array, shingle: int = 3, sketches: int = 1) -> np.ndarray:
-    """(texts, sketches) fingerprints of 64 bits: a bit is set if it is in over
-    half of the hashes of the text's shingles, repeats included. The first
-    sketch uses XXH64 with seed 42, the others mix that hash anew. A text of
-    fewer words has one shingle, all of it; one without words has zeros."""
-    flat, bounds = words(texts, lower=True)
+def _shingles(flat: pa.Array, bounds: np.ndarray, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, hash) of the shingles, in order of texts but for those of fewer
+    words than a shingle, which have one, all of them, and come last."""
     n = np.diff(bounds)
-    ones, total = np.zeros((len(n), sketches, 64), np.int64), np.maximum(n - shingle + 1, np.minimum(n, 1))
     doc = np.repeat(np.arange(len(n)), n)
     last = len(flat) - shingle + 1
     for lo in range(0, max(last, 0), BLOCK):
@@ -24,11 +22,37 @@ def fingerprints(texts: pa.Array, shingle: int = 3, sketches: int = 1) -> np.nda
         at = at[doc[at] == doc[at + shingle - 1]]
         if len(at):
             part = pc.binary_join_element_wise(*[flat.take(pa.array(at + k)) for k in range(shingle)], pa.scalar(" ", flat.type))
-            _count(ones, doc[at], xxh64(part))
+            yield doc[at], xxh64(part)
     short = np.flatnonzero((n > 0) & (n < shingle))
     if len(short):
-        joined = pa.array([" ".join(flat.slice(bounds[i], n[i]).to_pylist()) for i in short])
-        _count(ones, short, xxh64(joined))
+        yield short, xxh64(pa.array([" ".join(flat.slice(bounds[i], n[i]).to_pylist()) for i in short]))
+
+
+def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash), sorted and without repeats."""
+    parts = list(_shingles(*words(texts, lower=True), shingle))
+    doc, h = (np.concatenate(x) for x in zip((np.empty(0, np.int64), np.empty(0, np.uint64)), *parts, strict=True))
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])[: len(h)]
+    return doc[new], h[new]
+
+
+def fingerprints(texts: pa.Array, shingle: int = 3, sketches: int = 1, distinct: bool = False) -> np.ndarray:
+    """(texts, sketches) fingerprints of 64 bits: a bit is set if it is in over
+    half of the hashes of the text's shingles, repeats included unless only
+    ``distinct`` ones count. The first sketch uses XXH64 with seed 42, the others
+    mix that hash anew. A text of fewer words has one shingle, all of it; one
+    without words has zeros."""
+    ones, total = np.zeros((len(texts), sketches, 64), np.int64), np.zeros(len(texts), np.int64)
+    if distinct:
+        every, own = shingle_sets(texts, shingle)
+        parts = ((every[lo : lo + BLOCK], own[lo : lo + BLOCK]) for lo in range(0, len(own), BLOCK))
+    else:
+        parts = _shingles(*words(texts, lower=True), shingle)
+    for doc, h in parts:
+        _count(ones, doc, h)
+        total += np.bincount(doc, minlength=len(texts))
     bits = ones * 2 > total[:, None, None]
     return np.packbits(bits, axis=2).view(">u8").astype(np.uint64)[:, :, 0]
 
