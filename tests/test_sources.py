@@ -113,3 +113,14 @@ def test_stream(spark, tmp_path):
     f = f.assign("w", f.add_scalar("v", 1))
     write_stream(f.select("id", "w"), out, str(tmp_path / "ck")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == [(7, 15.0), (8, 17.0), (9, 19.0)]
+
+
+def test_csv_line_breaks(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    p.write_text('id,"long\nname"\n1,"a\nb"\n2,c\n3,"x\ny, z"\n4\n5,"d\r\n\n""e"""\n', newline="")
+    f = readers.read_csv(spark, str(p))
+    assert f.columns == ["id", "long\nname"] and f.collect() == [("1", "a\nb"), ("2", "c"), ("3", "x\ny, z"), ("5", 'd\r\n\n"e"')]
+    assert readers.read_csv_typed(spark, str(p), {"id": "int"}).collect()[2] == (3, "x\ny, z")
+    g = Frame.from_columns(spark, {"id": ["1", "2", "3"], "text": ["a\nb", "c\r\nd", '\n"e",\n']})
+    g.to_csv(str(tmp_path / "out"))
+    assert sorted(readers.read_csv(spark, str(tmp_path / "out")).collect()) == g.collect()

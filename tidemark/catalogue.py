@@ -529,7 +529,6 @@ for _how, _kind in (("outer", "FULL JOIN"), ("inner", "JOIN")):
 
     _query(f"SELECT label, n_nationkey, n_regionkey, twice FROM (SELECT n_name AS label, n_nationkey, n_regionkey FROM nation WHERE n_nationkey < 15) {_kind} (SELECT n_name AS label, n_nationkey * 2 AS twice FROM nation WHERE n_nationkey > 8) USING (label)", f"concat_columns_{_how}")(_concat_columns)
 
-
 # --------------------------------------------------------------------- reshape
 
 for _fn, _sql in (("sum", "sum"), ("mean", "avg"), ("count", "count"), ("min", "min"), ("max", "max")):
@@ -637,6 +636,20 @@ def csv_typed_roundtrip(t):
     return _round(readers.read_csv_typed(f.sdf.sparkSession, path, {"c_custkey": "int", "bal": "float", "even": "bool"}), 6)
 
 
+@_query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text, coalesce(source, '') || chr(10) || ', \"x\"' AS source FROM documents")
+def csv_roundtrip_lines(t):
+    f = t("documents").select("doc_id", "text", "source").assign("source", F.concat(F.expr("coalesce(source, '')"), F.lit('\n, "x"')))
+    f.to_csv(path := _shared(f, "csv"))
+    return readers.read_csv(f.sdf.sparkSession, path)
+
+
+@_query("SELECT c_custkey, c_name || chr(10) || 'a, b' AS c_name, round(c_acctbal, 6) AS bal FROM customer")
+def csv_typed_roundtrip_lines(t):
+    f = t("customer").select("c_custkey", "c_name", "c_acctbal").rename({"c_acctbal": "bal"}).assign("c_name", F.concat("c_name", F.lit("\na, b")))
+    f.to_csv(path := _shared(f, "csv"))
+    return _round(readers.read_csv_typed(f.sdf.sparkSession, path, {"c_custkey": "int", "bal": "float"}), 6)
+
+
 @_query("SELECT round(c_acctbal, 6) AS c_acctbal, CAST(c_custkey AS DOUBLE) AS c_custkey, CASE WHEN c_custkey % 5 > 0 THEN c_name END AS c_name FROM customer")
 def json_roundtrip(t):
     f = t("customer").assign("c_name", F.expr("CASE WHEN c_custkey % 5 > 0 THEN c_name END")).select("c_custkey", "c_acctbal", "c_name")

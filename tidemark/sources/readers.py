@@ -14,23 +14,23 @@ from . import xlsx
 
 
 def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
-    import csv
-
-    first = spark.read.text(path).limit(1).collect()
-    if not first or not first[0][0]:
+    rows = spark.read.options(sep=sep, multiLine=True, escape='"').csv(path)
+    first = rows.limit(1).collect() if rows.columns else []
+    if not first:
         raise ValueError(f"{path} is empty")
-    return next(csv.reader([first[0][0].lstrip("﻿")], delimiter=sep))
+    return [(c or "").lstrip("\ufeff") if i == 0 else c or "" for i, c in enumerate(first[0])]
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> Frame:
     """Header and strings; an empty cell is an empty string, never null. Rows
-    with another number of cells than the header are dropped."""
+    with another number of cells than the header are dropped. A quoted cell may
+    hold line breaks, so a file is read whole by one task; several files split."""
     names = _header(spark, path, sep)
     if len(set(names)) < len(names):
         raise ValueError(f"a column name repeats in {names}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     # With pruned columns the parser wouldn't look at the cells that show a row to be ragged.
-    sdf = spark.read.schema(schema).options(header=True, sep=sep, mode="DROPMALFORMED", columnPruning=False, escape='"').csv(path)
+    sdf = spark.read.schema(schema).options(header=True, sep=sep, mode="DROPMALFORMED", columnPruning=False, multiLine=True, escape='"').csv(path)
     sdf = sdf.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names], F.monotonically_increasing_id().alias(POS))
     return Frame(sdf, [POS])
 

@@ -21,7 +21,7 @@ def _ordered(frame):
 def to_csv(frame, path: str = "", sep: str = ",") -> str | None:
     """Header and rows, cells quoted where needed, null as an empty cell."""
     if path:
-        frame._data().write.mode("overwrite").options(header=True, sep=sep, nullValue="", emptyValue="", escape='"').csv(path)
+        frame._data().write.mode("overwrite").options(header=True, sep=sep, nullValue="", emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
         return None
     out = io.StringIO()
     writer = csv.writer(out, delimiter=sep, lineterminator="\n")
