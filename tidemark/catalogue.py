@@ -339,6 +339,20 @@ def merge_null_keys(t):
     return out.withColumn("k", F.when(F.col("o_orderkey").isNotNull(), F.col("k")))
 
 
+# The same joins over whole tables: keys are shifted or nulled on one side, and no row is left out.
+
+_NULLED_ORDERS = "SELECT CASE WHEN o_orderkey % 50 > 0 THEN o_custkey END AS k, o_orderkey FROM orders"
+_NULLED_SUMS = "SELECT CASE WHEN c % 7 > 0 THEN c END AS k, c AS cust, n FROM (SELECT o_custkey AS c, count(o_orderkey) AS n FROM orders GROUP BY 1)"
+
+
+@_query(f"SELECT a.k, a.o_orderkey, b.cust, b.n FROM ({_NULLED_ORDERS}) a LEFT JOIN ({_NULLED_SUMS}) b ON a.k = b.k UNION ALL SELECT b.k, NULL, b.cust, b.n FROM ({_NULLED_SUMS}) b WHERE b.k IS NULL OR b.k NOT IN (SELECT k FROM ({_NULLED_ORDERS}) WHERE k IS NOT NULL)")
+def merge_null_keys_whole(t):
+    f = t("orders")
+    left = f.assign("k", F.expr("CASE WHEN o_orderkey % 50 > 0 THEN o_custkey END")).select("k", "o_orderkey")
+    sums = f.group_by("o_custkey").agg({"o_orderkey": "count"}).rename({"o_custkey": "cust", "o_orderkey_count": "n"})
+    return left.merge(sums.assign("k", F.expr("CASE WHEN cust % 7 > 0 THEN cust END")).select("k", "cust", "n"), "k", "full")
+
+
 # ----------------------------------------------------------------- aggregation
 
 for _fn, _sql in (("mean", "avg"), ("sum", "sum"), ("min", "min"), ("max", "max")):
