@@ -558,6 +558,16 @@ def pivot_fill(t):
     return _round(t("customer").where("c_custkey % 9 = 0").pivot_table("c_nationkey", "c_mktsegment", "c_acctbal", "sum", 0.0, ["MACHINERY", "BUILDING"]), 2)
 
 
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@_query("SELECT CAST(n AS VARCHAR) AS c_nationkey, " + ", ".join(f"coalesce(round(sum(b) FILTER (WHERE s = '{s}'), 2), 0) AS \"{s}\"" for s in (*_SEGMENTS, "NONE")) + " FROM (SELECT c_nationkey AS n, c_acctbal AS b, CASE WHEN c_nationkey % 5 = 0 AND c_mktsegment <> 'BUILDING' THEN 'NONE' ELSE c_mktsegment END AS s FROM customer) GROUP BY n")
+def pivot_fill_whole(t):
+    """Every customer and segment; nations divisible by 5 lack most levels, the others NONE."""
+    f = t("customer").assign("level", F.expr("CASE WHEN c_nationkey % 5 = 0 AND c_mktsegment <> 'BUILDING' THEN 'NONE' ELSE c_mktsegment END"))
+    return _round(f.pivot_table("c_nationkey", "level", "c_acctbal", "sum", 0.0, ["NONE", *_SEGMENTS]), 2)
+
+
 @_query("SELECT l_returnflag, " + ", ".join(f"round(avg({v}) FILTER (WHERE l_linestatus = '{s}'), 4) AS {v}_{s}" for v in ("l_quantity", "l_tax") for s in "FO") + " FROM lineitem GROUP BY 1")
 def pivot_multi_values(t):
     return _round(t("lineitem").pivot_table(["l_returnflag"], "l_linestatus", ["l_quantity", "l_tax"]), 4)
