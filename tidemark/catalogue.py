@@ -353,6 +353,25 @@ def merge_null_keys_whole(t):
     return left.merge(sums.assign("k", F.expr("CASE WHEN cust % 7 > 0 THEN cust END")).select("k", "cust", "n"), "k", "full")
 
 
+for _how, _kind in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
+
+    def _merge_whole(t, how=_how):
+        left = t("nation").assign("key", F.expr("n_nationkey + 5")).select("key", "n_name")
+        return left.merge(t("supplier").rename({"s_nationkey": "key"}).select("key", "s_name"), "key", how)
+
+    def _merge_on_whole(t, how=_how):
+        f = t("lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_tax")
+        left = f.group_by(["l_partkey", "l_suppkey"]).agg({"l_quantity": "sum"})
+        right = f.assign("l_partkey", F.expr("l_partkey + CASE WHEN l_suppkey % 3 = 0 THEN 1000000000 ELSE 0 END")).group_by(["l_partkey", "l_suppkey"]).agg({"l_tax": "count"})
+        return left.merge_on(right, ["l_partkey", "l_suppkey"], how)
+
+    _query(f"SELECT key, n_name, s_name FROM (SELECT n_nationkey + 5 AS key, n_name FROM nation) {_kind} (SELECT s_nationkey AS key, s_name FROM supplier) USING (key)", f"merge_{_how}_whole")(_merge_whole)
+    _query(
+        f"SELECT l_partkey, l_suppkey, l_quantity_sum, l_tax_count FROM (SELECT l_partkey, l_suppkey, sum(l_quantity) AS l_quantity_sum FROM lineitem GROUP BY ALL) {_kind} (SELECT l_partkey + CASE WHEN l_suppkey % 3 = 0 THEN 1000000000 ELSE 0 END AS l_partkey, l_suppkey, count(l_tax) AS l_tax_count FROM lineitem GROUP BY ALL) USING (l_partkey, l_suppkey)",
+        f"merge_on_{_how}_whole",
+    )(_merge_on_whole)
+
+
 # ----------------------------------------------------------------- aggregation
 
 for _fn, _sql in (("mean", "avg"), ("sum", "sum"), ("min", "min"), ("max", "max")):
@@ -543,6 +562,15 @@ for _how, _kind in (("outer", "FULL JOIN"), ("inner", "JOIN")):
 
     _query(f"SELECT label, n_nationkey, n_regionkey, twice FROM (SELECT n_name AS label, n_nationkey, n_regionkey FROM nation WHERE n_nationkey < 15) {_kind} (SELECT n_name AS label, n_nationkey * 2 AS twice FROM nation WHERE n_nationkey > 8) USING (label)", f"concat_columns_{_how}")(_concat_columns)
 
+    def _concat_columns_whole(t, how=_how):
+        a = t("nation").set_index("n_name").select("n_nationkey", "n_regionkey")
+        b = t("nation").assign("twice", F.expr("n_nationkey * 2")).assign("n_name", F.expr("CASE WHEN n_nationkey % 3 > 0 THEN n_name ELSE concat(n_name, ' 2') END")).set_index("n_name").select("twice")
+        f = concat([a, b], axis=1, join=how)
+        return f.sdf.select(F.col("__index").alias("label"), *f.columns)
+
+    _query(f"SELECT label, n_nationkey, n_regionkey, twice FROM (SELECT n_name AS label, n_nationkey, n_regionkey FROM nation) {_kind} (SELECT CASE WHEN n_nationkey % 3 > 0 THEN n_name ELSE n_name || ' 2' END AS label, n_nationkey * 2 AS twice FROM nation) USING (label)", f"concat_columns_{_how}_whole")(_concat_columns_whole)
+
+
 # --------------------------------------------------------------------- reshape
 
 for _fn, _sql in (("sum", "sum"), ("mean", "avg"), ("count", "count"), ("min", "min"), ("max", "max")):
