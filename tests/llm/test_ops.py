@@ -457,3 +457,25 @@ def test_distinct_shingles_of_a_long_text():
     text = " ".join(f"w{i}" for i in range(230_000))  # over two blocks, without repeats
     a, b = (fingerprints(pa.array([text, "one two"]), 5, 2, distinct=d) for d in (True, False))
     assert (a == b).all()
+
+
+def test_near_dups_of_null_and_repeated_ids(spark):
+    """A chain over a row without an id, and one id of two unrelated texts."""
+    rng, words = random.Random(12), prose(800, 300).split()
+    fp = lambda w: brute.simhash(" ".join(w))
+    apart = lambda x, y: (fp(x) ^ fp(y)).bit_count()
+
+    def change(w):
+        w = list(w)
+        for _ in range(3):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        return w
+
+    middle = next(w for w in (change(words) for _ in range(5000)) if 1 <= apart(w, words) <= 3)
+    end = next(w for w in (change(middle) for _ in range(5000)) if 1 <= apart(w, middle) <= 3 < apart(w, words))
+    docs = [(5, " ".join(words)), (None, " ".join(middle)), (2, " ".join(end))]
+    docs += [(900, " ".join(change(words) * 1)), (900, prose(801, 300)), (None, prose(802, 300))]
+    _, component = brute.near_components(docs)
+    got = {(r.id, r.fp[0] % 2**64): r.component for r in near_dedup.near_dups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(d, brute.simhash(t)): c for (d, t), c in zip(docs, component, strict=True)}
+    assert component[:3] == [2, 2, 2] and component[4:] == [900, None]

@@ -202,16 +202,18 @@ def links(nodes: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFra
 def near_dups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 3, sketches: int = 1, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
     """(id, fp, component): one row per row of ``docs``; fp is an array of longs."""
     rows = materialise(fingerprint_rows(docs, id_col, text_col, shingle, sketches), "fingerprints")
-    same = materialise(rows.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-    told = same.where("node IS NOT NULL")
-    each = told.select("node", F.posexplode("fp").alias("sketch", "f"))
+    # A node is a fingerprint, named by its hash: ids may be null or repeat.
+    same = materialise(rows.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.xxhash64("fp")), "nodes")
+    each = same.select("node", F.posexplode("fp").alias("sketch", "f"))
     nodes = materialise(each.groupBy("sketch", F.col("f").alias("fp")).agg(F.min("node").alias("node")), "sketches")
     edges = links(nodes, radius, group)
     if sketches > 1:
         shared = each.join(nodes.select("sketch", F.col("fp").alias("f"), F.col("node").alias("least")), ["sketch", "f"])
         edges = edges.unionByName(shared.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")))
     found = components(edges)
-    classes = same.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    classes = same.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("class"))
+    named = classes.groupBy("class").agg(F.min("least").alias("component"))
+    classes = classes.join(named, "class").select("fp", "component")
     return rows.join(classes, "fp").select("id", "fp", "component")
 
 
