@@ -479,3 +479,14 @@ def test_near_dups_of_null_and_repeated_ids(spark):
     got = {(r.id, r.fp[0] % 2**64): r.component for r in near_dedup.near_dups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {(d, brute.simhash(t)): c for (d, t), c in zip(docs, component, strict=True)}
     assert component[:3] == [2, 2, 2] and component[4:] == [900, None]
+
+
+def test_decontamination_by_short_items(spark):
+    items = [(1, "Alpha beta"), (2, "one two three four"), (3, prose(9100, 20)), (4, ""), (5, "solo")]
+    docs = [(10, "x alpha BETA alpha beta"), (11, "alpha gamma beta"), (12, "one two three four"), (13, "one two three"), (14, "y alpha"), (15, "beta z"), (16, "a solo " + items[2][1])]
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.similarity) for r in decontam.contaminated(table, bench).collect()}
+    assert got == {(10, 1): (1, 2, 1.0), (12, 2): (0, 4, 1.0), (16, 3): (2, 20, 1.0), (16, 5): (1, 1, 1.0)}
+    assert {r.doc_id for r in decontam.decontaminate(table, bench).collect()} == {11, 13, 14, 15}
+    short = spark.createDataFrame(items[:2], "item_id long, text string")
+    assert {r.doc_id for r in decontam.decontaminate(table, short).collect()} == {11, 13, 14, 15, 16}

@@ -20,9 +20,9 @@ Scale: documents are scanned once per block of ``ITEMS`` items, map-side only,
 without any shuffle; each block is broadcast and bounded by ``ITEMS`` and
 ``BLOCK_BYTES``. Very common passages cost their windows and nothing else.
 
-Defined results: null and empty texts match nothing; items of fewer than five
-words have no shingle and match nothing; a document shorter than the item is one
-window. Rows that repeat an id are judged each by itself. Other columns pass
+Defined results: null and empty texts match nothing; an item of one
+to four words is one shingle, all of it, and matches where a document has just
+these words in a row; a document shorter than the item is one window. Rows that repeat an id are judged each by itself. Other columns pass
 through. Ties of windows go to the first.
 """
 
@@ -60,6 +60,13 @@ def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bounds, h, weight
 
 
+def _runs(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the texts in words; hash of the run of n words from each word."""
+    flat, bounds = words(texts, lower=True)
+    ids, distinct = ids_of(flat)
+    return bounds, rolling(xxh64(distinct)[ids], n)
+
+
 def _bits(h: np.ndarray) -> np.ndarray:
     pair = np.stack([h, mix64(h + np.uint64(0x9E3779B97F4A7C15))], axis=1).astype(">u8")
     return np.unpackbits(pair.view(np.uint8).reshape(-1, 16), axis=1)
@@ -84,7 +91,15 @@ class Items:
         bounds, h, weight = _shingles(texts)
         size = np.diff(bounds)
         self.items = [i for i in range(len(rows)) if size[i] >= SHINGLE]
-        self.id = [rows[i][0] for i in self.items]
+        short = [i for i in range(len(rows)) if 0 < size[i] < SHINGLE]
+        self.id = [rows[i][0] for i in self.items + short]
+        #: Of the items shorter than a shingle: {words: {hash of all: [item]}}.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for n in range(1, SHINGLE):
+            runs = _runs(texts, n)[1] if n in size[short] else ()
+            for k, i in enumerate(short):
+                if size[i] == n:
+                    self.short.setdefault(n, {}).setdefault(int(runs[bounds[i]]), []).append(len(self.items) + k)
         self.words = size[self.items]
         spans = [(bounds[i], bounds[i + 1] - SHINGLE + 1) for i in self.items]
         self.bags = [_bag(h[a:b], weight[a:b]) for a, b in spans]
@@ -122,8 +137,20 @@ class Items:
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int, float]]:
         """(text, item, first word, words, similarity): the best window of each pair."""
-        if not self.items:
-            return []
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for n, items in self.short.items():
+            bounds, h = _runs(texts, n)
+            pos = np.flatnonzero(np.isin(h, np.array(list(items), np.uint64)))
+            doc = np.searchsorted(bounds, pos, side="right") - 1
+            for p, d in zip(pos.tolist(), doc.tolist(), strict=True):
+                if p + n <= bounds[d + 1]:
+                    for i in items[int(h[p])]:
+                        best.setdefault((d, i), (1.0, int(p - bounds[d]), n))
+        if self.items:
+            self._long(texts, best)
+        return [(d, i, a, n, s) for (d, i), (s, a, n) in sorted(best.items())]
+
+    def _long(self, texts: pa.Array, best) -> None:
         bounds, h, weight = _shingles(texts)
         maybe = np.flatnonzero(self.seen[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.shingles, h[maybe]), len(self.shingles) - 1)
@@ -132,11 +159,9 @@ class Items:
         doc = np.searchsorted(bounds, pos, side="right") - 1
         inside = pos + SHINGLE <= bounds[doc + 1]
         pos, which, doc = pos[inside], which[inside], doc[inside]
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for d in np.unique(doc):
             mine = doc == d
             self._document(int(d), int(bounds[d]), int(bounds[d + 1]), pos[mine], which[mine], h, weight, best)
-        return [(d, i, a, n, s) for (d, i), (s, a, n) in sorted(best.items())]
 
     def _document(self, d, start, end, pos, which, h, weight, best) -> None:
         n = self.first[which + 1] - self.first[which]
