@@ -278,3 +278,10 @@ def test_set():
     with pytest.raises(ValueError):
         a.add_multi(5, 1)
     assert sorted(a.to_list()) == [1, 2, 3, 5] and len(a) == 4
+
+
+def test_assign_func_infers_from_all_rows(spark):
+    f = Frame.from_table(spark.range(300).withColumnRenamed("id", "n"), order_by=["n"])
+    late = lambda r: None if r["n"] < 150 else 2.7 if r["n"] == 299 else 1
+    assert [r[1] for r in f.assign_func("x", late).collect()][148:] == [None, None] + [1.0] * 149 + [2.7]
+    assert f.assign_func("x", lambda r: 1).dtypes()["x"] == f.dtypes()["n"]

@@ -20,7 +20,7 @@ from .functions.accessors import DtAccessor, StrAccessor, parse_datetime
 from .operators import grouping, joins, reshape, statistics
 from .operators.concat import concat
 from .plans import order as plans
-from .types import check, common, dtype_name, family, infer, is_integral, is_numeric, resolve
+from .types import KINDS, check, common, dtype_name, family, infer, is_integral, is_numeric, kind_name, resolve
 
 POS, INDEX = plans.POS, "__index"
 OPS = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
@@ -340,7 +340,9 @@ class Frame:
     def _row_udf(self, fn: Callable[[dict], object], returns=None) -> Column:
         columns = self.columns
         if returns is None:
-            returns = infer([fn(r.asDict()) for r in self._data().limit(100).collect()])
+            # From all rows: a later value may be of another kind than the first ones.
+            kind = F.udf(lambda *values: kind_name(fn(dict(zip(columns, values, strict=True)))), "string", useArrow=True)(*[F.col(f"`{c}`") for c in columns])
+            returns = infer([KINDS[r[0]] for r in self._data().select(kind.alias("kind")).distinct().collect() if r[0] is not None])
         kind = resolve(returns)
         fix = {T.DoubleType(): float, T.LongType(): int, T.StringType(): str, T.BooleanType(): bool}.get(kind, lambda v: v)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import types as T
 
 DOUBLE, LONG, STRING, BOOL = T.DoubleType(), T.LongType(), T.StringType(), T.BooleanType()
@@ -55,11 +57,20 @@ def common(types: list[T.DataType]) -> T.DataType:
     return types[0] if {family(t) for t in types} == {"string"} else STRING
 
 
+#: A value of each kind that ``infer`` tells apart, by name.
+KINDS = {"bool": True, "int": 0, "float": 0.0, "datetime": datetime.datetime(1970, 1, 1), "list": [], "str": ""}
+
+
+def kind_name(v) -> str | None:
+    """The name in KINDS of a value's kind; None of no value."""
+    if v is None:
+        return None
+    return next((k for k in ("bool", "int", "float", "datetime") if isinstance(v, type(KINDS[k]))), "list" if isinstance(v, (list, tuple)) else "str")
+
+
 def infer(values) -> T.DataType:
     """Type of Python values: whole and fractional numbers make double, any
     other mixture and nothing at all make string."""
-    import datetime
-
     kinds = {bool if isinstance(v, bool) else int if isinstance(v, int) else float if isinstance(v, float) else datetime.datetime if isinstance(v, datetime.datetime) else list if isinstance(v, (list, tuple)) else str for v in values if v is not None}
     if kinds == {int, float} or kinds == {float}:
         return DOUBLE
