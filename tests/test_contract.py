@@ -1,6 +1,10 @@
 """Every registered query against its SQL, at the smallest scale."""
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -43,3 +47,14 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_without_the_optional_folders(tmp_path):
+    """With the subpackage and its tests deleted, the frame queries are all there is."""
+    root = Path(entry.__file__).parent
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache"))
+    code = "import __spark_entry__ as e, tidemark.catalogue as c; assert e.queries() == c.QUERIES and e.oracle_sql() == c.ORACLE"
+    for pipeline in (True, False):
+        if not pipeline:
+            (tmp_path / "repo/corpus_pipeline.py").unlink(missing_ok=True)
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, timeout=120)
