@@ -12,6 +12,7 @@ import contextlib
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's
-    ``spark.checkpoint.dir``; where that is unset (tests), a fresh local one."""
+    ``spark.checkpoint.dir``; where that is unset, a fresh local one in local mode
+    (tests), and an error on a cluster."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -37,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -71,16 +75,6 @@ def _at_exit() -> None:
         sweep()
 
 
-def lean_batches(df: DataFrame) -> DataFrame:
-    """``df``; from now on its session hands texts to Python a thousand at a time,
-    unless it was told another number than Spark's default: batches of long texts
-    would fill the memory beside the heap, on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, "1000")
-    return df
-
-
 def local_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A few rows from the driver's memory, as one literal that the JVM reads:
     no Python worker takes part."""
@@ -89,6 +83,38 @@ def local_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), T.ArrayType(T._parse_datatype_string(schema)))))
 
 
+def bound(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(c)`` with ``c`` worked out once, however often ``fn`` uses it."""
+    return F.transform(F.array(c), fn)[0]
+
+
+def prefix_sums(lengths: Column) -> Column:
+    """Running sums of an array of whole numbers, each with its own, in
+    O(n log n): after round k an element holds the sum of the last 8^k."""
+
+    def doubled(a: Column, k: Column) -> Column:
+        reach = F.pow(F.lit(8.0), k).cast("int")
+        return F.transform(a, lambda x, i: F.aggregate(F.sequence(F.lit(0), F.least(F.floor(i / reach).cast("int"), F.lit(7))), x - x, lambda s, j: s + F.get(a, i - j * reach)))
+
+    def rounds(a: Column) -> Column:
+        last = F.ceil(F.length(F.bin(F.size(a) - 1)) / 3).cast("int") - 1
+        return F.when(F.size(a) < 2, a).otherwise(F.aggregate(F.sequence(F.lit(0), last), a, doubled))
+
+    return bound(lengths, rounds)
+
+
+def below(ascending: Column, value: Column) -> Column:
+    """How many elements of a sorted array are less than ``value``, by bisection."""
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        less, open_ = F.get(ascending, mid) < value, s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & less, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~less, mid).otherwise(s["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(ascending).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(ascending)))), start, halve, lambda s: s["lo"])
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z, other characters untouched. ``lower`` is exact when every
     non-ASCII character is one of U+00DF..U+00FF (no upper case among them), and

@@ -1,8 +1,15 @@
 """Hashed n-gram features of text batches, and linear classifiers on them.
 
-Models are fitted in one task over a bounded sample of labelled rows, so neither
-the driver nor any executor holds more than the sample; the sample's bound is a
-parameter of each operator. A lost executor only means that the task runs again.
+Features are worked out where the texts are; only sparse vectors of bounded size
+travel to the one task that fits a model, so the sample's bytes are bounded
+whatever the texts' lengths (at most ``6 * 2^bits`` a block and row), and neither
+the driver nor an executor holds more than the sample. Its bound in rows is a
+parameter of each operator. A key counts once in a sample, and rows are sorted
+inside the task, so that a model depends neither on repeats of a row nor on the
+order in which blocks arrive. A lost executor only means that the task runs again.
+
+A text of any length is hashed in blocks of ``POINTS`` code points: besides the
+text itself (8 bytes a code point while it is folded), memory doesn't grow with it.
 """
 
 from __future__ import annotations
@@ -12,14 +19,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import lean_batches
-from ._text import ids_of, rolling, words, xxh64
+from ._text import ids_of, pieces, rolling, words, xxh64
 
-#: Texts whose dense features are held at once.
-ROWS = 256
+#: Texts whose dense features are held at once; code points hashed at once.
+ROWS, POINTS = 256, 1 << 20
+#: Classes of a label at most: the most frequent ones are learned.
+CLASSES = 256
 
 
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -36,28 +44,32 @@ def _histogram(out: np.ndarray, doc: np.ndarray, bucket: np.ndarray) -> None:
 
 def char_features(texts: pa.Array, bits: int, orders: range) -> np.ndarray:
     """(texts, 2^bits) counts of hashed character n-grams of whole texts."""
-    points, bounds = code_points(texts)
-    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    every, bounds = code_points(texts)
     out = np.zeros((len(texts), 1 << bits))
-    h = np.zeros(len(points), np.uint32)
-    for n in range(1, orders[-1] + 1):
-        if len(points) < n:
-            break
-        # h[i]: hash of the n code points from i on
-        h = h[: len(points) - n + 1] * np.uint32(0x01000193) + (points[n - 1 :] + np.uint32(n)) * np.uint32(0x9E3779B1)
-        if n in orders:
-            whole = doc[: len(h)] == doc[n - 1 :]
-            _histogram(out, doc[: len(h)][whole], (((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits))[whole].astype(np.int64))
+    reach = orders[-1] - 1
+    for lo in range(0, len(every), POINTS):
+        points = every[lo : lo + POINTS + reach]  # n-grams that begin in the block may end after it
+        doc = np.searchsorted(bounds, np.arange(lo, lo + len(points)), side="right") - 1
+        h = np.zeros(len(points), np.uint32)
+        for n in range(1, orders[-1] + 1):
+            if len(points) < n:
+                break
+            # h[i]: hash of the n code points from i on
+            h = h[: len(points) - n + 1] * np.uint32(0x01000193) + (points[n - 1 :] + np.uint32(n)) * np.uint32(0x9E3779B1)
+            if n in orders:
+                own = h[:POINTS]
+                whole = doc[: len(own)] == doc[n - 1 : n - 1 + len(own)]
+                _histogram(out, doc[: len(own)][whole], (((own ^ (own >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits))[whole].astype(np.int64))
     return out
 
 
 def word_features(texts: pa.Array, bits: int, orders: range) -> np.ndarray:
     """(texts, 2^bits) counts of hashed word n-grams."""
     flat, bounds = words(texts, lower=True)
-    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
     out = np.zeros((len(texts), 1 << bits))
     ids, distinct = ids_of(flat)
     h1 = xxh64(distinct)[ids] if len(ids) else np.empty(0, np.uint64)
+    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
     for n in orders:
         h = rolling(h1, n)
         if len(h):
@@ -88,27 +100,63 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2:
     return w
 
 
-def fit_in_a_task(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
-    """``fit`` over all rows of the bounded ``sample``, in one task; what it
-    returns (a model of fixed size) comes back to the driver."""
+def _pack(x: np.ndarray) -> bytes:
+    """A row of features: its places (16 bits each), then its values."""
+    at = np.flatnonzero(x)
+    return at.astype(np.uint16).tobytes() + x[at].astype(np.float32).tobytes()
+
+
+def unpack(rows: list[bytes], width: int) -> np.ndarray:
+    out = np.zeros((len(rows), width), np.float32)
+    for i, r in enumerate(rows):
+        n = len(r) // 6
+        out[i, np.frombuffer(r, np.uint16, n)] = np.frombuffer(r, np.float32, n, 2 * n)
+    return out
+
+
+def fit_in_a_task(sample: DataFrame, features: Callable[[pa.RecordBatch], np.ndarray], fit: Callable[[np.ndarray, list, np.ndarray], object]) -> object:
+    """``fit(x, labels, h)`` over the bounded ``sample`` (key, text, label, and what
+    else ``features`` look at), in one task; what it returns (a model of fixed size)
+    comes back to the driver. ``x`` are features of at most 2^16 places; ``h`` is a
+    hash of key and text by which rows are sorted and may be dealt into folds."""
+    kinds = {f.name: f.dataType.simpleString() for f in sample.schema}
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            for s in range(0, piece.num_rows, ROWS):
+                part = piece.slice(s, ROWS)
+                x = features(part)
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("h"), part.column("label"), pa.array([_pack(r) for r in x], pa.binary()), pa.array([x.shape[1]] * len(x), pa.int32())], ["key", "h", "label", "x", "width"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(got)))], pa.binary())], ["model"])
+        if not got:
+            return
+        t = pa.Table.from_batches(got).sort_by([("h", "ascending"), ("label", "ascending"), ("x", "ascending")])
+        x = unpack(t.column("x").to_pylist(), t.column("width")[0].as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(x, t.column("label").to_pylist(), t.column("h").to_numpy()))], pa.binary())], ["model"])
+
+    hashed = sample.withColumn("h", F.xxhash64("key", "text"))
+    rows = hashed.mapInArrow(vectors, f"key {kinds['key']}, h long, label {kinds['label']}, x binary, width int")
+    one = rows.groupBy("key").agg(F.min(F.struct("h", "label", "x", "width")).alias("r"))
+    models = one.select("r.*").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(models[0][0])) if models else None
+
 
-    rows = lean_batches(sample).repartition(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(bytes(rows[0][0])) if rows else None
+def hash_unit(key: Column, salt: str = "sample") -> Column:
+    """Uniform in [0, 1) by a hash of the key."""
+    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def stratified(labelled: DataFrame, label: str, key: str, per_class: int, total: int = 6400) -> DataFrame:
-    """About ``per_class`` rows of each class, and ``total`` in all (1.5 times as
-    many at most), or all if there are fewer, drawn by a hash of ``key``; reruns
-    agree. One narrow pass counts the classes."""
-    rates = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
+    """The rows of about ``per_class`` keys of each class, and of ``total`` in
+    all, or all if there are fewer, drawn by a hash of ``key``; reruns agree. Of
+    over CLASSES labels the most frequent count, ties by value. One narrow pass
+    counts the classes."""
+    counts = labelled.groupBy(label).agg(F.approx_count_distinct(key, 0.02).alias("__n"))
+    rates = {r[0]: r[1] for r in counts.orderBy(F.desc("__n"), label).limit(CLASSES).collect()}
     if not rates:
         return labelled
     per_class = max(1, min(per_class, total // len(rates)))
-    rate = F.element_at(F.create_map(*[F.lit(x) for c, n in rates.items() for x in (c, min(1.0, per_class / n))]), F.col(label))
-    u = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return labelled.where(u < rate).limit(int(1.5 * per_class * len(rates)) + 100)
+    rate = F.element_at(F.create_map(*[F.lit(x) for c, n in rates.items() for x in (c, min(1.0, per_class / max(n, 1)))]), F.col(label))
+    return labelled.where(F.col(label).isin(*rates) & (hash_unit(F.col(key)) < rate))

@@ -4,22 +4,30 @@ Every language gets a codeword of bits; for each bit a logistic regression over
 hashed character n-grams (orders 1 to 3 of the whole lower-cased text) tells
 which side of the bit a text is on. Loss-weighted decoding adds up, for each
 codeword, the logistic losses of the bits and takes the nearest; where the
-runner-up is within ``MARGIN`` the text is flagged as ambiguous. Up to six
+runner-up is within ``MARGIN`` the text is flagged as ambiguous. Where even the
+nearest codeword is far (a mean loss per bit over ``FAR``; knowing nothing costs
+0.69) the text is in none of the learned languages and flagged as foreign, unless
+it has fewer than ``LETTERS`` letters, which is too little to say so. Up to six
 languages get the exhaustive code; more get the random code, out of many drawn
 with a fixed seed, whose least distance between codewords is largest.
 
 Scale: prediction is one map-side pass in Arrow batches, with a model of some
-100 kB in the closure. Training takes about ``PER_LANGUAGE`` labelled texts of
-each language, drawn by a hash, in one task.
-
-Defined results: null text, or text without a letter, is ``und`` with score 0;
-so is everything if there are no labelled rows. With one language only, that is
-predicted with score 1. Repeated rows are predicted alike.
+100 kB in the closure (a bit more per language, of which CLASSES are learned at
+most). Training takes about ``PER_LANGUAGE`` labelled texts of each language,
+drawn by a hash: features where the texts are, the fit in one task.
+
+Defined results: null text, or text without a letter, is ``und`` with score 0 and
+foreign; so is everything if there are no labelled rows. With one language only,
+that is predicted with score 1, and nothing with a letter is foreign. Repeated rows
+are predicted alike; of rows that repeat an id one is trained on, and rows without an id
+share one id there. Ties of codewords go to the language first in text order. Texts
+of any length are read whole, in blocks of code points. ids keep their type; other
+columns don't take part in a prediction, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import product
 
 import numpy as np
@@ -28,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import lean_batches, table
+from ._base import table
 from ._learn import ROWS, char_features, fit_in_a_task, hellinger, logistic, stratified
 from ._text import pieces
 
@@ -36,6 +44,8 @@ from ._text import pieces
 PER_LANGUAGE, BITS, ORDERS = 800, 12, range(1, 4)
 #: Difference of mean losses per bit below which the runner-up counts as equal.
 MARGIN = 0.05
+#: Mean loss per bit from which a text is in no learned language; letters that it takes to tell.
+FAR, LETTERS = 0.48, 12
 UNKNOWN = "und"
 
 
@@ -56,67 +66,79 @@ def codewords(k: int) -> np.ndarray:
     return best
 
 
+def features(texts: pa.Array) -> np.ndarray:
+    return hellinger(char_features(texts, BITS, ORDERS))
+
+
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE):
     """(languages, codewords, weights), or None without labelled rows."""
-    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("label"))
 
-    def fit(rows: pa.Table):
-        langs = sorted(set(rows.column("lang").to_pylist()))
+    def fit(x: np.ndarray, labels: list, h: np.ndarray):
+        langs = sorted(set(labels))
         code = codewords(len(langs))
-        target = np.array([langs.index(x) for x in rows.column("lang").to_pylist()])
-        x = np.concatenate([hellinger(char_features(b.column("text"), BITS, ORDERS)) for b in rows.to_batches(ROWS)])
+        place = {c: i for i, c in enumerate(langs)}
+        target = np.array([place[c] for c in labels])
         balance = 1 / np.bincount(target, minlength=len(langs))[target]
         return langs, code, logistic(x, code[target].astype(np.float32), balance, l2=1e-5, steps=300) if code.size else None
 
-    return fit_in_a_task(stratified(usable, "lang", "key", per_language).select("text", "lang"), fit)
+    return fit_in_a_task(stratified(usable, "label", "key", per_language), lambda b: features(b.column("text")), fit)
 
 
-def decode(model, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best language, score in 0..1 and ambiguity of each row of counts."""
+def decode(model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best language, score in 0..1, ambiguity and mean loss of each row of features."""
     langs, code, w = model
     if w is None:
-        return np.zeros(len(counts), int), np.ones(len(counts)), np.zeros(len(counts), bool)
-    margin = hellinger(counts) @ w[:-1] + w[-1]
+        return np.zeros(len(x), int), np.ones(len(x)), np.zeros(len(x), bool), np.zeros(len(x))
+    margin = x @ w[:-1] + w[-1]
     signs = 2.0 * code - 1
     loss = np.logaddexp(0, -margin[:, None, :] * signs[None, :, :]).mean(axis=2)
     order = np.sort(loss, axis=1)
     p = np.exp(-code.shape[1] * (loss - order[:, :1]))
-    return loss.argmin(axis=1), p.max(axis=1) / p.sum(axis=1), order[:, 1] - order[:, 0] < MARGIN
+    return loss.argmin(axis=1), p.max(axis=1) / p.sum(axis=1), order[:, 1] - order[:, 0] < MARGIN, order[:, 0]
 
 
-def _predict(model, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
-    letters = pc.fill_null(pc.match_substring_regex(texts.cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-    if model is None:
-        letters[:] = False
-    lang, score, unsure = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts), bool)
-    at = np.flatnonzero(letters)
+def _predict(model, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """Language, score, ambiguity and foreignness of each text."""
+    letters = pc.fill_null(pc.count_substring_regex(texts.cast(pa.large_string()), r"\p{L}"), 0).to_numpy(zero_copy_only=False)
+    lang, score, unsure, foreign = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts), bool), np.ones(len(texts), bool)
+    at = np.flatnonzero(letters) if model is not None else np.empty(0, np.int64)
     for s in range(0, len(at), ROWS):
         i = at[s : s + ROWS]
-        best, score[i], unsure[i] = decode(model, char_features(texts.take(pa.array(i)), BITS, ORDERS))
+        best, score[i], unsure[i], loss = decode(model, features(texts.take(pa.array(i))))
         lang[i] = np.array(model[0], object)[best]
-    return pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure)
+        foreign[i] = (loss > FAR) & (letters[i] >= LETTERS)
+    return pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure), pa.array(foreign)
 
 
 def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, lang_pred, score, ambiguous) for every row."""
+    """(id_col, lang_pred, score, ambiguous, foreign) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([piece.column("id").cast(pa.int64()), *_predict(model, piece.column("text"))], ["id", "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([piece.column("id"), *_predict(model, piece.column("text"))], ["id", "lang_pred", "score", "ambiguous", "foreign"])
 
-    rows = lean_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double, ambiguous boolean").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, ambiguous boolean, foreign boolean").withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language is ``und``, all columns kept.
-    Ambiguous texts stay: being close to two languages is no fault."""
+def keep_identified(docs: DataFrame, model, text_col: str = "text", languages: Iterable[str] | None = None) -> DataFrame:
+    """``docs``, all columns kept, without the rows that the classifier rejects:
+    texts without a letter, texts in none of the learned languages, and texts in
+    another one than ``languages`` (all by default). Ambiguous texts stay: being
+    close to two learned languages is no fault. Without a model nothing can be
+    told, and every row stays."""
+    if model is None:
+        return docs
+    wanted = pa.array(sorted(model[0] if languages is None else languages), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text_col):
-            yield piece.filter(pc.not_equal(_predict(model, piece.column(text_col))[0], UNKNOWN))
+            lang, _, _, foreign = _predict(model, piece.column(text_col))
+            yield piece.filter(pc.and_(pc.is_in(lang, wanted), pc.invert(foreign)))
 
-    return lean_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(key: Column) -> Column:
@@ -128,7 +150,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(~held_out(F.col("doc_id"))))
     out = identify(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous", "foreign")
 
 
 QUERIES = {"op10_language_id": op10_language_id}

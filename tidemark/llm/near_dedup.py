@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import lean_batches, materialise, table
+from ._base import materialise, table
 from ._text import pieces
 from .components import components
 from .simhash import fingerprints, shingle_sets
@@ -69,7 +69,7 @@ def fingerprint_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int,
             offsets = pa.array(np.arange(len(fp) + 1, dtype=np.int32) * sketches)
             yield pa.RecordBatch.from_arrays([piece.column("id").cast(pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(fp.ravel()))], ["id", "fp"])
 
-    return lean_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp array<long>")
 
 
 def _part(rows: DataFrame, bits: str, rest: str, blocks: int, key) -> DataFrame:
@@ -387,7 +387,7 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 5
     repeat an id the least by a hash of the text. A row without an id stays only
     if no row with one is in its component; of rows equal in both one stays."""
     named = docs.withColumns({"__id": F.col(id_col).cast("long"), "__th": F.xxhash64(text_col)})
-    texts = lean_batches(named).select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col(text_col).alias("text"))
+    texts = named.select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col(text_col).alias("text"))
     rows, heads = copies(texts, shingle, sketches, similarity, group)
     told = rows.join(heads, "node").withColumn("kept", F.col("id").eqNullSafe(F.col("head_id")) & (F.col("th") == F.col("head_th")))
     told = materialise(told.groupBy("id", "th", "kept").agg(F.count(F.lit(1)).alias("n")), "told")

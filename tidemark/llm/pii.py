@@ -1,25 +1,34 @@
 """Personal data: exact base patterns, and bootstrapped contextual extraction.
 
 1. Base: e-mail, IP, card and phone spans by pattern and check, in code points.
-2. The base spans are seeds. The words around a seed induce lexical patterns:
-   its two words to the left, and its word on either side.
+2. The base spans are seeds; so are, for the kind ``secret``, words whose core (the
+   word without the punctuation around it) is 32, 40 or 64 hexadecimal digits. The
+   words around a seed induce lexical patterns: its two words to the left, the one
+   to the left, and that with the one to the right. Words are runs of anything but
+   white space, so punctuation counts: ``token = "`` gives ``token =`` and ``=``.
 3. Patterns and instances (distinct values) form a graph. A seed has score 1; a
    pattern's score is the mean score of the distinct instances it occurs with,
    smoothed; an instance that is no seed has the noisy-or of its patterns. The
    scores are iterated ``ROUNDS`` times.
-4. Candidates (tokens with an @ or at least four digits, outside of base spans)
+4. Candidates (words with an @ or at least four digits, outside of base spans)
    whose patterns are confident, ``CONFIDENT`` or more with ``SUPPORT`` distinct
-   seeds or more, are new spans of the seeds' kind, without the punctuation
-   around them.
+   seeds or more, are new spans of the seeds' kind: the word's core. A secret's
+   shape alone makes no span, its context must be confident too.
 
-Scale: texts are scanned once, and only spans with their contexts are written and
+Scale: texts are scanned once, and only spans with their patterns are written and
 shuffled. The graph is cut at once to patterns with enough seeds; edges are made
 distinct before they are counted, so a passage repeated in a third of all
 documents is one edge, and hot patterns are pre-aggregated. Nothing is collected.
-All patterns are written so that matching is linear in a text and needs no stack.
+Matching is linear in a text and needs no stack; the places of n matches take
+O(n log n), and context words are found by looking away from a match, so that a
+match costs the text up to its neighbours and no more. A text is one row's work.
 
 Defined results: a null text is empty. Rows that repeat an id are judged each by
-its own text. No document, or no seed, gives no new spans.
+its own text. No document, or no seed, gives no new spans. Of confident patterns
+of several kinds the best score decides, then the kind listed first. Context
+reaches up to the match of the same kind before or after, whole words whatever
+their length; an incomplete pattern is left out. Other columns don't take part,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +36,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import materialise, table
+from ._base import below, bound, materialise, prefix_sums, table
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 SUPPORT, CONFIDENT, SMOOTH, ROUNDS = 5, 0.8, 0.5, 3
-#: Code points next to a span in which its context words are looked for.
-REACH = 80
+#: A word of more code points goes by its MD5 in a pattern.
+LONG = 64
 _WS = r"\x20\x09-\x0D"
 #: The same languages as the plain patterns; possessive, and begun only where a match can begin.
 _PATTERN = {
@@ -44,31 +54,41 @@ _PATTERN = {
 #: What a text must hold to have a match: a cheap first look.
 _HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _CANDIDATE = rf"(?<![^{_WS}])(?=(?:[^{_WS}0-9]*+[0-9]){{4}}|[^{_WS}@]*+@)[^{_WS}]++"
-_SPAN = "struct<start:int,end:int,value:string,left:string,right:string>"
+_SECRET = r"^(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$"
+_MATCH = "array<struct<before:string,m:string,after:string>>"
 
 
-def occurrences(text: Column, pattern: str) -> Column:
-    """All leftmost, non-overlapping matches: start, end, value, and the text
-    beside it, up to the match before or after, REACH code points at most."""
-    parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # One row per match: the piece before it, itself, and the piece after it.
-    rows = F.transform(
-        F.array(F.struct(parts.alias("p"), found.alias("m"))),
-        lambda x: F.transform(F.sequence(F.lit(0), F.size(x["m"]) - 1), lambda i: F.struct(F.get(x["p"], i).alias("before"), F.get(x["m"], i).alias("m"), F.get(x["p"], i + 1).alias("after"))),
-    )[0]
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+def _matches(text: Column, pattern: str, hint: str) -> Column:
+    """Each leftmost, non-overlapping match with the pieces of text before and
+    after it, up to the next match."""
+    rows = bound(
+        F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")),
+        lambda x: F.transform(x["m"], lambda m, i: F.struct(F.get(x["p"], i).alias("before"), m.alias("m"), F.get(x["p"], i + 1).alias("after"))),
+    )
+    return F.when(text.rlike(hint) & text.rlike(pattern), rows).otherwise(F.array().cast(_MATCH))
 
-    def step(a, x):
-        at = a["at"] + F.length(x["before"])
-        end = at + F.length(x["m"])
-        span = F.struct(at.alias("start"), end.alias("end"), x["m"].alias("value"), F.right(x["before"], F.lit(REACH)).alias("left"), F.left(x["after"], F.lit(REACH)).alias("right"))
-        return F.struct(end.alias("at"), F.concat(a["spans"], F.array(span)).alias("spans"))
 
-    return F.aggregate(rows, start, step, lambda a: a["spans"])
+def _patterns(before: Column, after: Column) -> Column:
+    """The lexical patterns of a context, as an array of strings: the two words
+    to the left; the one; it and the one to the right. Incomplete ones are left out."""
+    name = lambda w: F.when(F.length(w) > LONG, F.md5(w)).otherwise(F.lower(w))
+    back = rf"^[{_WS}]*+([^{_WS}]++)(?:[{_WS}]++([^{_WS}]++))?"
+
+    def of(left: Column) -> Column:
+        one, two = (name(F.reverse(F.regexp_extract(left, back, k))) for k in (1, 2))
+        return F.transform(F.array(F.struct(one.alias("one"), two.alias("two"), name(F.regexp_extract(after, back, 1)).alias("next"))), lambda w: F.array(
+            F.when((w["one"] != "") & (w["two"] != ""), F.concat_ws(" ", F.lit("L"), w["two"], w["one"])),
+            F.when(w["one"] != "", F.concat_ws(" ", F.lit("O"), w["one"])),
+            F.when((w["one"] != "") & (w["next"] != ""), F.concat_ws(" ", F.lit("B"), w["one"], w["next"])),
+        ))[0]
 
+    return F.filter(bound(F.reverse(before), of), lambda p: p.isNotNull())
 
-def _spans(text: Column, pattern: str, hint: str) -> Column:
-    return F.when(text.rlike(hint) & text.rlike(pattern), occurrences(text, pattern)).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+def _spans(rows: Column) -> Column:
+    """(start, end, value, patterns) of matches."""
+    ends = prefix_sums(F.transform(rows, lambda r: F.length(r["before"]) + F.length(r["m"])))
+    return bound(ends, lambda e: F.transform(rows, lambda r, i: F.struct((F.get(e, i) - F.length(r["m"])).alias("start"), F.get(e, i).alias("end"), r["m"].alias("value"), _patterns(r["before"], r["after"]).alias("patterns"))))
 
 
 def _digits(value: Column) -> Column:
@@ -94,60 +114,66 @@ def _valid(kind: str, value: Column) -> Column:
     return n.between(8, 15) if kind == "phone" else F.lit(True)
 
 
-def _of_kind(n: int, kind: str) -> Column:
-    return F.transform(F.filter(kind, lambda s: _valid(kind, s["value"])), lambda s: F.struct(F.lit(n).alias("kind"), s.alias("s")))
+def _of_kind(n: int, kind: str, spans: Column) -> Column:
+    return F.transform(F.filter(spans, lambda s: _valid(kind, s["value"])), lambda s: F.struct(F.lit(n).alias("kind"), s.alias("s")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, base, candidates): th tells texts of one id apart; base is an
     array of (kind number, span), candidates one of spans."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), *[_spans(text, _PATTERN[k], _HINT[k]).alias(k) for k in KINDS], _spans(text, _CANDIDATE, "[0-9@]").alias("tokens"))
-    base = F.concat(*[_of_kind(n, k) for n, k in enumerate(KINDS)])
-    rows = rows.select("id", "th", base.alias("base"), "tokens")
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["s"]["start"] < t["end"]) & (b["s"]["end"] > t["start"])))
-    return rows.select("id", "th", "base", free.alias("candidates"))
-
-
-def _patterns(left: Column, right: Column) -> Column:
-    """The lexical patterns of a context, as an array of strings: the two words
-    to the left; the word on either side. Incomplete ones are left out."""
-    before = F.split(F.lower(F.trim(F.regexp_replace(left, f"[{_WS}]+", " "))), " ", -1)
-    after = F.split(F.lower(F.trim(F.regexp_replace(right, f"[{_WS}]+", " "))), " ", -1)
-    one, two, next_ = F.element_at(before, -1), F.try_element_at(before, F.lit(-2)), F.element_at(after, 1)
-    return F.filter(F.array(
-        F.when((one != "") & two.isNotNull() & (two != ""), F.concat_ws(" ", F.lit("L"), two, one)),
-        F.when((one != "") & (next_ != ""), F.concat_ws(" ", F.lit("B"), one, next_)),
-    ), lambda p: p.isNotNull())
-
-
-def discover(scanned: DataFrame) -> DataFrame:
-    """(id, th, kind, start, end) of new spans."""
-    seeds = scanned.select(F.explode("base").alias("b")).select(F.col("b.kind").alias("kind"), F.lower("b.s.value").alias("value"), F.explode(_patterns(F.col("b.s.left"), F.col("b.s.right"))).alias("pattern"))
-    seeds = materialise(seeds.distinct(), "pii-seeds")
+    found = F.array(*[_matches(text, _PATTERN[k], _HINT[k]) for k in BASE], _matches(text, _CANDIDATE, "[0-9@]"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), found.alias("found"))
+    rows = rows.select("id", "th", F.transform("found", _spans).alias("found"))
+    base = F.concat(*[_of_kind(n, k, F.get("found", n)) for n, k in enumerate(BASE)])
+    rows = rows.select("id", "th", base.alias("base"), F.get("found", len(BASE)).alias("tokens"))
+    sides = F.struct(F.array_sort(F.transform("base", lambda b: b["s"]["start"])).alias("start"), F.array_sort(F.transform("base", lambda b: b["s"]["end"])).alias("end"))
+    # As many base spans begin before a token's end as end up to its start: none overlaps it.
+    free = bound(sides, lambda x: F.filter("tokens", lambda t: below(x["start"], t["end"]) == below(x["end"], t["start"] + 1)))
+    return rows.select("id", "th", "base", F.when(F.size("base") == 0, F.col("tokens")).otherwise(free).alias("candidates"))
+
+
+def _core(value: Column) -> tuple[Column, Column]:
+    """The word without the punctuation around it, and the length of what is before."""
+    lead = F.length(F.regexp_extract(value, r"^[^\p{L}\p{N}+]*+", 0))
+    return F.regexp_replace(F.substr(value, lead + 1), r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", ""), lead
+
+
+def graph(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The candidates with each of their patterns that has enough seeds, and the
+    scored patterns: (pattern, kind, seeds, n, score)."""
+    core, lead = _core(F.col("c.value"))
+    tokens = scanned.select("id", "th", F.explode("candidates").alias("c")).select("id", "th", (F.col("c.start") + lead).alias("start"), core.alias("core"), "c.patterns")
+    tokens = tokens.where("core != ''").select("id", "th", "start", "core", F.col("core").rlike(_SECRET).alias("secret"), F.explode("patterns").alias("pattern"))
+    known = scanned.select(F.explode("base").alias("b")).select(F.col("b.kind").alias("kind"), F.lower("b.s.value").alias("value"), F.explode("b.s.patterns").alias("pattern"))
+    secret = tokens.where("secret").select(F.lit(len(BASE)).alias("kind"), F.lower("core").alias("value"), "pattern")
+    seeds = materialise(known.unionByName(secret).distinct(), "pii-seeds")
     strong = materialise(seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= SUPPORT), "pii-patterns")
-    tokens = scanned.select("id", "th", F.explode("candidates").alias("c")).select("id", "th", "c.start", "c.end", "c.value", F.explode(_patterns(F.col("c.left"), F.col("c.right"))).alias("pattern"))
     tokens = materialise(tokens.join(strong.select("pattern").distinct(), "pattern"), "pii-tokens")
     # All instances of a pattern count: seeds of another kind are instances of score 0.
-    unknown = tokens.select("pattern", F.lower("value").alias("value")).distinct()
+    unknown = tokens.where("NOT secret").select("pattern", F.lower("core").alias("value")).distinct()
     sizes = seeds.join(strong.select("pattern").distinct(), "pattern").select("pattern", "value").unionByName(unknown).distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    graph = materialise(strong.join(sizes, "pattern"), "pii-graph")
-    edges = unknown.join(graph.select("pattern", "kind"), "pattern")
+    cut = materialise(strong.join(sizes, "pattern"), "pii-graph")
+    edges = unknown.join(cut.select("pattern", "kind"), "pattern")
     score = F.col("mass") / (F.col("n") + SMOOTH)
-    patterns = graph.select("pattern", "kind", "seeds", "n", (F.col("seeds").cast("double") / (F.col("n") + SMOOTH)).alias("score"))
+    patterns = cut.select("pattern", "kind", "seeds", "n", (F.col("seeds").cast("double") / (F.col("n") + SMOOTH)).alias("score"))
     for _ in range(ROUNDS):
         # Noisy-or over the patterns of a value: 1 - prod(1 - score).
         held = edges.join(patterns.select("pattern", "kind", "score"), ["pattern", "kind"])
         values = held.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("v"))
         gained = edges.join(values, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("v").alias("gained"))
-        patterns = graph.join(gained, ["pattern", "kind"], "left").withColumn("mass", F.col("seeds") + F.coalesce("gained", F.lit(0.0)))
+        patterns = cut.join(gained, ["pattern", "kind"], "left").withColumn("mass", F.col("seeds") + F.coalesce("gained", F.lit(0.0)))
         patterns = materialise(patterns.select("pattern", "kind", "seeds", "n", F.least(score, F.lit(1.0)).alias("score")), "pii-scores")
+    return tokens, patterns
+
+
+def discover(scanned: DataFrame) -> DataFrame:
+    """(id, th, kind, start, end) of new spans."""
+    tokens, patterns = graph(scanned)
     # A pattern must earn its confidence by seeds: the mass that its own finds lend counts half.
     sure = patterns.where((F.col("score") >= CONFIDENT) & (2 * F.col("seeds") >= F.col("n")))
-    best = tokens.join(sure.select("pattern", "kind", "score"), "pattern").groupBy("id", "th", "start", "end", "value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
-    lead = F.length(F.regexp_extract("value", r"^[^\p{L}\p{N}+]*", 0))
-    core = F.length(F.regexp_replace("value", r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", ""))
-    return best.select("id", "th", "kind", (F.col("start") + lead).alias("start"), (F.col("start") + lead + core).alias("end")).where("end > start")
+    best = tokens.join(sure.select("pattern", "kind", "score"), "pattern").groupBy("id", "th", "start", "core").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
+    return best.select("id", "th", "kind", "start", (F.col("start") + F.length("core")).alias("end"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,8 +197,8 @@ def digest(spans: Column) -> Column:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = F.transform("base", lambda s: s["kind"])
-    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{k}") for n, k in enumerate(BASE)]
+    return out.select("doc_id", *counts, F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 QUERIES = {"op6_pii": op6_pii}

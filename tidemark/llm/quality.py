@@ -9,11 +9,17 @@ probability of low quality is at least ``DROP``.
 Scale: one map-side pass, no shuffle; words, 8-word windows and n-grams of a
 batch are worked out together. Runs of words get exact ids by doubling (pairs of
 ids are numbered anew, three times), so no hash decides on a repeat. Training
-takes about ``PER_CLASS`` labelled texts of each class in one task.
+takes about ``PER_CLASS`` labelled texts of each class: features where the texts
+are, the fit in one task. Rows go by a hash there and into folds by a hash, so
+reruns agree. A very long text is read whole; its statistics take some 100 bytes
+a word while it is looked at.
 
 Defined results: a null or empty text has no words and fails the base rules. With
 labels of one class, or none, the verdict keeps all that passes the base rules.
-A label on several rows of one id counts once a row. Null labels don't count.
+Null labels and null ids don't count; an id with labels of both kinds counts as
+low, and of several rows of a labelled id one is trained on. Repeated rows are
+judged alike. A probability of just ``DROP`` drops. ids keep their type; other
+columns don't take part, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +32,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import lean_batches, table
+from ._base import table
 from ._learn import ROWS, char_features, fit_in_a_task, hellinger, logistic, stratified, word_features
-from ._text import ids_of, pieces, words
+from ._text import ids_of, mix64, pieces, words
 
 #: Bound of the training sample, per class; bits of the hashed features.
 PER_CLASS, BITS = 1500, 12
@@ -44,20 +50,19 @@ def features(texts: pa.Array) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, key="doc_id", text="text", label="quality", per_class: int = PER_CLASS):
     """(weights, slope, offset) of the probability of label 0, or None."""
-    usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(F.col(label).cast("int")).alias("label"))
     seen = {r[0]: r[1] for r in usable.groupBy("label").count().collect()}
     if len(seen) < 2:
         return None
     # The sample is drawn from the labels and bounded, so it is broadcast: no text is shuffled.
     drawn = F.broadcast(stratified(usable, "label", "key", per_class))
-    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(drawn, "key").select("text", "label")
+    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(drawn, "key")
 
-    def fit(rows: pa.Table):
-        y = (rows.column("label").to_numpy() == 0).astype(np.float32)
+    def fit(x: np.ndarray, labels: list, h: np.ndarray):
+        y = (np.array(labels) == 0).astype(np.float32)
         if len({*y}) < 2:
             return None
-        x = np.concatenate([features(b.column("text")) for b in rows.to_batches(ROWS)])
-        fold = np.arange(len(y)) % 5 == 0
+        fold = mix64(h.view(np.uint64)) % np.uint64(5) == 0
         if len({*y[fold]}) < 2 or len({*y[~fold]}) < 2:
             fold = np.ones(len(y), bool)
         learn = ~fold if not fold.all() else fold
@@ -68,26 +73,31 @@ def train(docs: DataFrame, labels: DataFrame, key="doc_id", text="text", label="
         share = np.where(y[fold] == 1, seen[0] / max(y[fold].sum(), 1), seen[1] / max((1 - y[fold]).sum(), 1))
         return w[:, 0], *_platt(z.astype(float), y[fold], share)
 
-    return fit_in_a_task(sample.orderBy(F.xxhash64("text")), fit)
+    return fit_in_a_task(sample.select("key", "text", "label"), lambda b: features(b.column("text")), fit)
 
 
 def _platt(z: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through weighted scores; Newton's
-    method with a ridge, targets smoothed as Platt does."""
+    """Slope and offset of the logistic curve through weighted scores: Newton's
+    method, each step halved until the loss falls, targets smoothed as Platt does."""
     share = share / share.sum() * len(z)
     pos, neg = share[y == 1].sum(), share[y == 0].sum()
     t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
     x = np.stack([z, np.ones_like(z)], axis=1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+    loss = lambda w: float((share * (np.logaddexp(0, x @ w) - t * (x @ w))).sum())
+    w = np.array([0.0, np.log((pos + 1) / (neg + 1))])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (share * (p - t))
-        h = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-8:
+        h = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2)
+        step, now, part = np.linalg.solve(h, g), loss(w), 1.0
+        while part > 1e-8 and loss(w - part * step) > now - 1e-4 * part * float(g @ step):
+            part /= 2
+        if part <= 1e-8:
             break
-    return float(a), float(b)
+        w = w - part * step
+        if abs(part * step).max() < 1e-8:
+            break
+    return float(w[0]), float(w[1])
 
 
 def low_quality(model, texts: pa.Array) -> np.ndarray:
@@ -158,12 +168,12 @@ def judge(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
             failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > REPEAT_PERCENT * s["n_words"])
             p = np.zeros(len(texts)) if model is None else low_quality(model, texts)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("id").cast(pa.int64()), *[pa.array(s[k], pa.int64()) for k in _STATS], pa.array(failed), pa.array(p), pa.array(~failed & (p < drop))],
+                [piece.column("id"), *[pa.array(s[k], pa.int64()) for k in _STATS], pa.array(failed), pa.array(p), pa.array(~failed & (p < drop))],
                 ["id", *_STATS, "base_failed", "p_low", "kept"],
             )
 
-    rows = lean_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id long, {', '.join(f'{k} long' for k in _STATS)}, base_failed boolean, p_low double, kept boolean").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {', '.join(f'{k} long' for k in _STATS)}, base_failed boolean, p_low double, kept boolean").withColumnRenamed("id", id_col)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

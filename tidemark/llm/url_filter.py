@@ -10,13 +10,18 @@ Scale: rules are expressions; features and trees are one map-side pass in Arrow
 batches. Suffix records are counted over all labelled URLs, with map-side
 combine, into a table of 2^SUFFIX_BITS hashed suffixes per level, so what the
 driver gathers and the closure holds is bounded at any number of domains. Trees
-are fitted in one task on a sample of at most about PER_CLASS labelled URLs of
-the larger class; a training row's suffix records come from other folds.
+are fitted in one task on a sample of about PER_CLASS labelled URLs of the larger
+class, of which only the features travel; a training row's suffix records come
+from other folds. The number of trees is the one with the least out-of-fold loss,
+none included: labels that say nothing about URLs give the base rate.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits
-no rule and is judged by its text (null: empty). Without labels of both classes
-the method allows everything. Null labels don't count; repeated URLs are judged
-alike. Input columns named like an output column are replaced.
+no rule and is judged by its text (null: empty). Of rules of one length that fit,
+the one given last decides. Without labels of both classes the method allows
+everything. Null labels don't count; a labelled URL counts once for each label it
+has. Repeated URLs are judged alike, very long ones whole (some 50 bytes of memory a
+character). Input columns named like an output column are replaced; the URL column
+itself may not be.
 """
 
 from __future__ import annotations
@@ -30,9 +35,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import ascii_lower, lean_batches, table
-from ._learn import fit_in_a_task
-
+from ._base import ascii_lower, table
+from ._learn import fit_in_a_task, hash_unit
+from ._text import mix64, pieces
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -74,8 +79,9 @@ def lexical(url: pa.Array, host: pa.Array, path: pa.Array) -> np.ndarray:
     size = num(pc.utf8_length(url))
     points = np.frombuffer("".join(url.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
     of = np.repeat(np.arange(len(size)), size.astype(np.int64))
-    kinds = np.bincount(of * 128 + np.minimum(points, 127), minlength=len(size) * 128).reshape(-1, 128) / np.maximum(size, 1)[:, None]
-    entropy = -(kinds * np.log2(np.where(kinds > 0, kinds, 1))).sum(axis=1)
+    kind, n = np.unique(of * np.int64(1 << 21) + points, return_counts=True)
+    share = n / size[kind >> 21]
+    entropy = np.bincount(kind >> 21, -share * np.log2(share), minlength=len(size))
     count = lambda a, p: num(pc.count_substring_regex(a, p))
     digits = count(url, "[0-9]")
     return np.stack([
@@ -97,14 +103,14 @@ def _with_records(x: np.ndarray, buckets: list[np.ndarray], records: np.ndarray,
         if fold is not None:
             seen = (seen - records[fold, level, b]) * FOLDS / (FOLDS - 1)
         more += [(seen[:, 1] + PRIOR * base) / (seen[:, 0] + PRIOR), np.log1p(seen[:, 0])]
-    return np.concatenate([x, np.stack(more, axis=1)], axis=1)
+    return np.concatenate([x, np.stack(more, axis=1)], axis=1).astype(np.float32)
 
 
 class Trees:
     """Boosted complete trees of one depth for the logistic loss; cuts at
     quantiles of each feature."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES):
         n, d = x.shape
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1], method="higher")) for j in range(d)]
         cuts = [c[c < x[:, j].max()] for j, c in enumerate(cuts)]
@@ -112,9 +118,9 @@ class Trees:
         p = np.clip(y.mean(), 1e-6, 1 - 1e-6)
         self.base = float(np.log(p / (1 - p)))
         inner = 2**DEPTH - 1
-        self.feature, self.cut, self.leaf = np.zeros((TREES, inner), np.int64), np.full((TREES, inner), np.inf), np.zeros((TREES, 2**DEPTH))
+        self.feature, self.cut, self.leaf = np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, 2**DEPTH))
         z = np.full(n, self.base)
-        for t in range(TREES):
+        for t in range(trees):
             q = 1 / (1 + np.exp(-z))
             g, h = y - q, q * (1 - q)
             node = np.zeros(n, np.int64)
@@ -146,22 +152,51 @@ class Trees:
             at = first + np.flatnonzero(better)
             self.feature[t, at], self.cut[t, at] = j, c[k[better]]
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
+    def margins(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """Log odds by the base rate, and after each tree."""
         z = np.full(len(x), self.base)
+        yield z
         rows = np.arange(len(x))
-        for t in range(TREES):
+        for t in range(len(self.leaf)):
             node = np.zeros(len(x), np.int64)
             for _ in range(DEPTH):
                 node = 2 * node + 1 + (x[rows, self.feature[t, node]] > self.cut[t, node])
-            z += self.leaf[t][node - (2**DEPTH - 1)]
+            z = z + self.leaf[t][node - (2**DEPTH - 1)]
+            yield z
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        for z in self.margins(x):
+            pass
         return 1 / (1 + np.exp(-z))
 
 
+def boosted(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[Trees, float]:
+    """The trees, as many as have the least out-of-fold loss, and the area under
+    the curve of their out-of-fold margins."""
+    margins = np.zeros((TREES + 1, len(y)))
+    for k in range(FOLDS):
+        own = fold == k
+        if own.any() and not own.all():
+            margins[:, own] = np.stack(list(Trees(x[~own], y[~own]).margins(x[own])))
+    loss = np.logaddexp(0, np.where(y == 1, -margins, margins)).mean(axis=1)
+    best = int(loss.argmin())
+    return Trees(x, y, best), _area(margins[best], y)
+
+
+def _area(z: np.ndarray, y: np.ndarray) -> float:
+    """Chance that a row of label 1 has more than one of label 0; ties count half."""
+    value, at, n = np.unique(z, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[at]
+    ones = int(y.sum())
+    return float((rank[y == 1].sum() - ones * (ones + 1) / 2) / max(ones * (len(y) - ones), 1))
+
+
 def train(labelled: DataFrame, url: str = "url", label: str = "label", per_class: int = PER_CLASS):
-    """(trees, records) from URLs labelled 1 (block) or 0; None without both."""
-    host = host_of(F.col(url))
-    usable = labelled.where(F.col(label).isin(0, 1) & F.col(url).isNotNull())
-    rows = usable.select(F.col(url).alias("url"), host.alias("host"), path_of(F.col(url)).alias("path"), F.col(label).cast("int").alias("label"), F.pmod(F.xxhash64(F.col(url), F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), *[s.alias(f"s{k}") for k, s in enumerate(suffixes(host))])
+    """(trees, records, out-of-fold area) from URLs labelled 1 (block) or 0; None
+    without both."""
+    usable = labelled.where(F.col(label).isin(0, 1) & F.col(url).isNotNull()).select(F.col(url).alias("url"), F.col(label).cast("int").alias("label")).distinct()
+    host = host_of(F.col("url"))
+    rows = usable.select("url", host.alias("host"), path_of(F.col("url")).alias("path"), "label", F.pmod(F.xxhash64(F.col("url"), F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), *[s.alias(f"s{k}") for k, s in enumerate(suffixes(host))])
     levels = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col(f"s{k}").alias("b")) for k in range(2)]))
     records = np.zeros((FOLDS, 2, 1 << SUFFIX_BITS, 2), np.int32)
     for fold, level, b, n, ones in rows.select("fold", levels.alias("x"), "label").groupBy("fold", "x.level", "x.b").agg(F.count(F.lit(1)), F.sum("label")).collect():
@@ -170,19 +205,20 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", per_class
     if not 0 < ones < n:
         return None
 
-    def fit(t: pa.Table):
-        t = t.combine_chunks()
-        col = lambda c: t.column(c).chunk(0)
-        y = t.column("label").to_numpy().astype(float)
-        x = _with_records(lexical(col("url"), col("host"), col("path")), [t.column(f"s{k}").to_numpy() for k in range(2)], records, t.column("fold").to_numpy())
-        return vars(Trees(x, y))
+    def features(b: pa.RecordBatch) -> np.ndarray:
+        return _with_records(lexical(b.column("text"), b.column("host"), b.column("path")), [b.column(f"s{k}").to_numpy() for k in range(2)], records, b.column("fold").to_numpy())
+
+    def fit(x: np.ndarray, labels: list, h: np.ndarray):
+        trees, area = boosted(x, np.array(labels, float), (mix64(h.view(np.uint64)) % np.uint64(FOLDS)).astype(int))
+        return vars(trees), area
 
     # Classes keep their shares: about per_class rows of the larger one.
     share = min(1.0, per_class / max(ones, n - ones))
-    u = F.pmod(F.xxhash64("url", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = rows.where(hash_unit(F.col("url")) < share).withColumn("key", F.struct("url", "label")).withColumnRenamed("url", "text")
     trees = Trees.__new__(Trees)
-    vars(trees).update(fit_in_a_task(rows.where(u < share).limit(4 * per_class).orderBy("url", "label"), fit))
-    return trees, records.sum(axis=0, keepdims=True)
+    parts, area = fit_in_a_task(sample, features, fit)
+    vars(trees).update(parts)
+    return trees, records.sum(axis=0, keepdims=True), area
 
 
 def judge(pages: DataFrame, model, url_col: str = "url", rules=RULES, block: float = BLOCK) -> DataFrame:
@@ -190,18 +226,22 @@ def judge(pages: DataFrame, model, url_col: str = "url", rules=RULES, block: flo
     base = pages.select(*[c for c in pages.columns if c not in OUTPUT])
     url = F.col(url_col)
     host = host_of(url)
-    cut = lean_batches(base).select("*", host.alias("host"), path_of(url).alias("path"))
+    cut = base.select("*", host.alias("host"), path_of(url).alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     if model is None:
         p = F.lit(None).cast("double")
     else:
-        trees, records = model
+        trees, records, _ = model
+
+        kinds = [pa.large_string()] * 3 + [pa.int32()] * 2
 
         @F.pandas_udf("double")
         def probability(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            for u, h, path, s0, s1 in batches:
-                texts = [pa.array(x, pa.large_string(), from_pandas=True) for x in (u, h, path)]
-                yield pd.Series(trees.probability(_with_records(lexical(*texts), [s0.to_numpy(), s1.to_numpy()], records)))
+            for columns in batches:
+                batch = pa.RecordBatch.from_arrays([pa.array(c, k, from_pandas=True) for c, k in zip(columns, kinds, strict=True)], ["url", "host", "path", "s0", "s1"])
+                parts = [lexical(*[piece.column(k) for k in range(3)]) for piece in pieces([batch], "url")]
+                x = _with_records(np.concatenate(parts), [batch.column(k).to_numpy() for k in (3, 4)], records)
+                yield pd.Series(trees.probability(x))
 
         p = probability(url, F.col("host"), F.col("path"), *suffixes(F.col("host")))
     return cut.withColumn("p_block", p).select(
