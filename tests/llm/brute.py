@@ -108,6 +108,30 @@ def contaminated(docs, items, n=5, threshold=0.8):
     return out
 
 
+def tree_paths(rows, per_tree=3):
+    """{(tree, rank): [(node, role, text)]} of rows (tree, node, parent, score, role, text)."""
+    first = {}
+    for tree, node, parent, score, role, text in rows:
+        key = (parent is not None, parent or 0, -(score or 0.0), role or "", text or "")
+        if node is not None and ((tree, node) not in first or key < first[tree, node][0]):
+            first[tree, node] = (key, parent, score or 0.0, role or "", text or "")
+    parent = {k: v[1] if v[1] != k[1] and (k[0], v[1]) in first else None for k, v in first.items()}
+    out = {}
+    for tree in {k[0] for k in first}:
+        nodes = [n for t, n in first if t == tree]
+        replied = {parent[tree, n] for n in nodes}
+        paths = []
+        for n in nodes:
+            path = [n]
+            while parent[tree, path[-1]] is not None and len(path) <= len(nodes):
+                path.append(parent[tree, path[-1]])
+            if n not in replied and len(path) <= len(nodes):
+                paths.append((-sum(first[tree, x][2] for x in path), n, path[::-1]))
+        for rank, (_, _, path) in enumerate(sorted(paths)[:per_tree], 1):
+            out[tree, rank] = [(x, *first[tree, x][3:]) for x in path]
+    return out
+
+
 def quality(text):
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     w = words(text)

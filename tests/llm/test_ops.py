@@ -239,6 +239,13 @@ def test_chat_round_trip(spark):
         assert out[c].loss == [r[3] or "" for r in turns if r[2] == "assistant"]
 
 
+def test_chat_long_conversation(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"#{i}") for i in range(20_000)]
+    m = chat.chain(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).cache()
+    r = chat.format_paths(m, chat.best_paths(m)).first()
+    assert [r.formatted[s.start : s.start + s.length] for s in r.loss_spans] == [t.replace("#", "\\h") for _, _, who, t in rows if who == "assistant"]
+
+
 def test_chat_trees(spark):
     #       1        5 (own parent: a root)   8 -> 9 -> 8 is a cycle; 11's parent is missing
     #     2   3
@@ -254,6 +261,35 @@ def test_chat_trees(spark):
     assert chat.best_paths(m.where("tree > 9")).collect() == []
 
 
+def test_chat_random_trees(spark):
+    """Branch scores, repeated messages, missing parents and cycles, by brute force."""
+    rng = random.Random(21)
+    rows = []
+    for tree in [None, *range(30)]:
+        n = rng.randint(1, 14)
+        for node in range(n):
+            for _ in range(rng.choice([1, 1, 1, 2, 3])):
+                rows.append((tree, node, rng.choice([None, rng.randrange(n), rng.randrange(n), max(node - 1, 0), 99]), rng.choice([None, -1.0, 0.5, 2.0]), rng.choice(["user", "assistant", None]), rng.choice(["a", "b", None])))
+        rows.append((tree, None, 0, 9.0, "user", "lost"))
+    want = brute.tree_paths(rows)
+    table = spark.createDataFrame([(*r[:4], r[4], r[5]) for r in rows], "tree long, node long, parent long, score double, role string, text string").repartition(5)
+    m = chat.messages_of(table)
+    paths = chat.best_paths(m, 3)
+    got = {}
+    for r in paths.collect():
+        got.setdefault((r.tree, r["rank"]), {})[r.depth] = r.node
+    assert {k: [v[d] for d in range(len(v))] for k, v in got.items()} == {k: [x[0] for x in v] for k, v in want.items()} and len(want) > 40
+    back = chat.format_paths(m, paths).select("tree", "rank", chat.read_back(F.col("formatted")).alias("turns")).collect()
+    assert {(r.tree, r["rank"]): [(t.role, t.text) for t in r.turns] for r in back} == {k: [x[1:] for x in v] for k, v in want.items()}
+
+
+def test_chat_repeated_messages_and_cycles(spark):
+    twice = [(0, i, i - 1 if i else None, 1.0) for i in range(10)] * 2
+    assert chat.best_paths(chat.messages_of(spark.createDataFrame([(*r, "user", "t") for r in twice], "tree long, node long, parent long, score double, role string, text string"))).count() == 10
+    ring = spark.range(100).selectExpr("0L AS tree", "id AS node", "(id + 1) % 100 AS parent", "1.0D AS score")
+    assert chat.best_paths(ring.union(spark.range(3).selectExpr("1L", "id", "nullif(id - 1, -1)", "1.0D"))).count() == 3
+
+
 # ------------------------------------------------------------------- sharding
 
 

@@ -21,10 +21,16 @@ in rounds, and a round works on the trees alone that are deeper still. Texts mov
 to the tree's formatted row at the end. Each round is written to the shared
 folder.
 
-Defined results: null texts and roles count as empty. A message whose parent is
-missing (or is itself) starts a tree path of its own, i.e. is a root; messages on
-a cycle reach no root and are left out. Ties of scores go to the least leaf id.
-A tree without messages doesn't exist; an empty table gives no rows.
+Defined results: null texts and roles count as empty. Of several rows with one
+tree and node the first counts, by parent (null first), score (highest first),
+role and text; rows without a node can't be told apart or replied to and are left
+out. A message whose parent is missing (or is itself) starts a tree path of its
+own, i.e. is a root; messages on a cycle, or under one, reach no root and are left
+out, after as many rounds as the logarithm of their tree's messages. Null scores
+count as 0. Ties of scores go to the least leaf. A tree without messages doesn't
+exist; a null tree is one; an empty table gives no rows. A conversation is one row
+of the result, so it has to fit into a task's memory, twice. Other columns don't
+take part, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,12 +38,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import local_rows, materialise, table
+from ._base import bound, local_rows, materialise, prefix_sums, table
 
 OPEN, SEP, CLOSE = "### ", ": ", "</turn>\n"
 LOSS_ROLE = "assistant"
-#: Rounds at most: trees of up to 2^ROUNDS messages on one path.
-ROUNDS = 40
 
 
 def escape(c: Column) -> Column:
@@ -65,19 +69,30 @@ def chain(rows: DataFrame, conv_col="conv_id", turn_col="turn", role_col="role",
     return numbered.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
+def messages_of(rows: DataFrame) -> DataFrame:
+    """One row for each tree and node of ``rows`` (tree, node, parent, role, text,
+    score): the first, as the module says."""
+    place = F.struct("parent", (-F.coalesce("score", F.lit(0.0))).alias("s"), F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("t"))
+    first = rows.where("node IS NOT NULL").groupBy("tree", "node").agg(F.min_by(F.struct("parent", "role", "text", "score"), place).alias("m"))
+    return first.select("tree", "node", "m.*")
+
+
 def best_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     """(tree, leaf, rank, node, depth) of each message on a chosen path; depth
-    counts from the root, from 0. ``messages``: (tree, node, parent, score)."""
+    counts from the root, from 0. ``messages``: (tree, node, parent, score), a row
+    for each tree and node as ``messages_of`` and ``chain`` give them."""
     m = messages.select("tree", "node", F.when(F.col("parent") != F.col("node"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    known = m.select(F.col("tree").alias("t"), F.col("node").alias("known")).distinct()
+    known = m.select(F.col("tree").alias("t"), F.col("node").alias("known"))
     m = m.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("known")), "left").select("tree", "node", F.col("known").alias("up"), "score")
     # score: of the messages from the node up to, but without, its ancestor ``up``.
     state = materialise(m.select("tree", "node", "up", F.lit(1).cast("long").alias("steps"), "score"), "chat-state")
-    parents, jumps, ends = state, [], []
-    for _ in range(ROUNDS):
+    parents, jumps, ends, sizes = state, [], [], None
+    while True:
         active = state.where(F.col("up").isNotNull())
         if active.isEmpty():
             break
+        if sizes is None:
+            sizes = materialise(state.groupBy("tree").agg(F.count(F.lit(1)).alias("n")), "chat-sizes")
         jumps.append(active)
         # Trees all of whose messages have found their root are done; the others go on.
         live = active.select("tree").distinct()
@@ -86,6 +101,9 @@ def best_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
         a, b = state.where(F.col("up").isNotNull()).alias("a"), state.alias("b")
         on = F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node"))
         further = a.join(b, on).select("a.tree", "a.node", "b.up", (F.col("a.steps") + F.col("b.steps")).alias("steps"), (F.col("a.score") + F.col("b.score")).alias("score"))
+        # No ancestor is as many steps away as the tree has messages: such a node's way up is a cycle.
+        r, n = further.alias("r"), sizes.alias("n")
+        further = r.join(n, F.col("r.tree").eqNullSafe(F.col("n.tree"))).where("up IS NULL OR steps < n").select("r.*")
         state = materialise(further.unionByName(state.where(F.col("up").isNull())), "chat-state")
     for e in ends:
         state = state.unionByName(e)
@@ -120,12 +138,10 @@ def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
         F.coalesce(F.col("m.role") == LOSS_ROLE, F.lit(False)).alias("loss"),
     ).alias("t"))
     whole = turns.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    step = lambda a, t: F.struct(
-        (a["at"] + F.length(t["s"])).alias("at"),
-        F.when(t["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + t["h"]).alias("start"), t["n"].alias("length"))))).otherwise(a["spans"]).alias("spans"),
-    )
-    return whole.select("tree", "leaf", "rank", F.array_join(F.transform("ts", lambda t: t["s"]), "").alias("formatted"), F.aggregate("ts", start, step, lambda a: a["spans"]).alias("loss_spans"))
+    ends = prefix_sums(F.transform("ts", lambda t: F.length(t["s"])))
+    spans = bound(ends, lambda e: F.transform("ts", lambda t, i: F.struct((F.get(e, i) - F.length(t["s"]) + t["h"]).alias("start"), t["n"].alias("length"), t["loss"].alias("loss"))))
+    spans = F.transform(F.filter(spans, lambda x: x["loss"]), lambda x: F.struct(x["start"], x["length"]))
+    return whole.select("tree", "leaf", "rank", F.array_join(F.transform("ts", lambda t: t["s"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
