@@ -318,13 +318,25 @@ def test_sharding_keeps_small_groups(spark):
 
 def test_splitters_by_size(spark):
     # One key with a third of all rows, and a few huge records: ranges are subdivided.
-    keys = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 77L ELSE id * 384307168202282L END AS __k", "id AS __i", "CASE WHEN id % 500 = 1 THEN 5000L ELSE 10L END AS __s")
-    total, n = keys.agg(F.sum("__s"), F.count("*")).first()
-    cuts = sharding.choose_splitters(keys, total, n)
-    assert cuts == sorted(set(cuts)) and len(cuts) <= sharding.MAX_RANGES
-    sums = [r[1] for r in sharding._ranged(keys, cuts).groupBy("__r").agg(F.sum("__s")).collect()]
-    assert max(sums) <= 2 * sharding.OVERFULL * total / sharding.MIN_RANGES + 5000
-    assert all(r["__r"] == sum(c <= (r["__k"], r["__i"]) for c in cuts) for r in sharding._ranged(keys, cuts).collect())
+    keys = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 77L ELSE id * 384307168202282L END AS __k", "id AS __i", "0L AS __h", "0L AS __p", "1L AS __n", "CASE WHEN id % 500 = 1 THEN 5000L ELSE 10L END AS __t")
+    total, n = keys.agg(F.sum("__t"), F.count("*")).first()
+    cuts, sums = sharding.choose_splitters(keys, total, n)
+    assert cuts == sorted(set(cuts)) and len(cuts) <= sharding.MAX_RANGES and sum(r[1] for r in sums) == total
+    assert max(r[1] for r in sums) <= 2 * sharding.OVERFULL * total / sharding.MIN_RANGES + 5000
+    assert all(r["__r"] == sum(c <= (r["__k"], r["__i"], 0, 0) for c in cuts) for r in sharding._ranged(keys, cuts).collect())
+
+
+def test_sharding_parts_equal_rows(spark):
+    """Rows that no key can part, of one text and no id, fill shards evenly; with texts and without."""
+    table = spark.createDataFrame([(None, "same text", "s")] * 900 + [(i, prose(i, 5), "t") for i in range(300)] + [(None, None, "s"), (None, "", "s")] * 9, "doc_id long, text string, source string")
+    for carry in (None, ["doc_id"]):
+        out = sharding.shard(table, carry=carry).collect()
+        sizes = [sum(r["size"] for r in out if r.shard == s) for s in range(8)]
+        assert len(out) == 1218 and max(sizes) - min(sizes) <= 200 and all(sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out))) for s in range(8))
+    whole = sharding.shard(table).collect()
+    assert sorted(str((r.doc_id, r.text, r.source)) for r in whole) == sorted(str(tuple(r)) for r in table.collect())
+    named = sharding.shard(table.selectExpr("concat('d', doc_id) AS doc_id", "text"))
+    assert named.count() == 1218 and named.columns[:2] == ["doc_id", "text"]
 
 
 # ------------------------------------------------------------ decontamination
