@@ -380,6 +380,13 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     docs = [(i, prose(i, 10) + " " + items[i][1]) for i in range(10)]
     got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(i, i) for i in range(10)]
+    # Items that repeat a text are one in a block, and all of them match.
+    items = [(i, prose(9000, 20)) for i in range(50)] + [(None, prose(9000, 20)), (50, prose(9001, 20))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert max(len(b) for b in decontam.item_blocks(bench, "text")) <= 2
+    table = spark.createDataFrame([(f"d{i}", t) for i, t in docs], "doc_id string, text string")
+    got = decontam.contaminated(table, bench.selectExpr("concat('i', item_id) AS item_id", "text")).collect()
+    assert sorted(map(str, {(r.doc_id, r.item_id) for r in got})) == sorted(map(str, [("d0", f"i{i}") for i in range(50)] + [("d0", None), ("d1", "i50")])) and len(got) == 52
 
 
 def test_all_fingerprints_within_the_radius():
@@ -389,7 +396,7 @@ def test_all_fingerprints_within_the_radius():
     items = decontam.Items([(i, prose(i, 25)) for i in range(30)])
     flips = np.packbits(np.array([rng.permutation(128) < rng.integers(0, 45) for _ in range(400)]), axis=1).view(">u2").astype(np.uint16)
     sign = items.sign[rng.integers(0, 30, 400)] ^ flips
-    got = set(zip(*(x.tolist() for x in items.candidates(sign, np.full(400, 25))), strict=True))
+    got = {(w, i) for part in items.candidates(sign, np.full(400, 25)) for w, i in zip(*(x.tolist() for x in part), strict=True)}
     want = {(w, i) for w in range(400) for i in range(30) if int(np.bitwise_count(sign[w] ^ items.sign[i]).sum()) <= decontam.RADIUS}
     assert got == want and len(want) > 100
 

@@ -4,26 +4,33 @@ A document is contaminated by an item if some window of it, as many words long
 as the item, has a weighted similarity of ``THRESHOLD`` or more with the item.
 
 1. Words are folded and hashed; the hashes of all five-word shingles of whole
-   texts are looked up among the items' shingles. Only a window that holds a
-   shingle of an item can have a similarity above 0, so the windows around such
-   places are all that need to be looked at; this skips nothing that could match.
-2. Those item-sized windows, at every offset, get a 128-bit SimHash of their
+   texts are looked up among the items' shingles. A window can only be as similar
+   as that to an item if at least ``THRESHOLD`` of its own weight is shingles of
+   items, so the other windows needn't be looked at; this skips nothing that could
+   match.
+2. The item-sized windows left, at every offset, get a 128-bit SimHash of their
    shingles, weighted by length, from running sums.
 3. Multi-index Hamming blocks: two fingerprints within ``RADIUS`` = 31 bits
-   differ by at most 3 bits in one of 8 blocks of 16, so a table of all values
-   within 3 bits of each item's block values finds every item in the radius.
+   differ by at most 3 bits in one of 8 blocks of 16, so looking up all values
+   within 3 bits of a window's block values finds every item in the radius.
 4. Exact verification: weighted Jaccard over the shingle multisets, the weight of
    a shingle being its number of bytes. At similarity 0.8 a window is within
    the radius with probability 0.998, and its neighbours get their chance too.
 
-Scale: documents are scanned once per block of ``ITEMS`` items, map-side only,
-without any shuffle; each block is broadcast and bounded by ``ITEMS`` and
-``BLOCK_BYTES``. Very common passages cost their windows and nothing else.
+Scale: items that repeat a text are searched as one. Documents are scanned once
+per block of ``ITEMS`` items, map-side only, without any shuffle; each block is
+broadcast and bounded by about ``ITEMS`` and ``BLOCK_BYTES`` (more only for a
+single item above that). Very common passages cost their windows, and items made
+after one template are compared in portions of ``_PAIRS``, so memory is bounded by
+a block and the text at hand. Matches, few, meet the items' ids in a join.
 
 Defined results: null and empty texts match nothing; an item of one
 to four words is one shingle, all of it, and matches where a document has just
-these words in a row; a document shorter than the item is one window. Rows that repeat an id are judged each by itself. Other columns pass
-through. Ties of windows go to the first.
+these words in a row; a document shorter than the item is one window. Rows that
+repeat an id are judged each by itself, items that repeat an id or a text each
+match. ids keep their types. Other columns pass through ``decontaminate``, whatever
+their names. Ties of windows go to the first. A very long text is read whole, its
+windows in stretches of ``_STEP`` words.
 """
 
 from __future__ import annotations
@@ -42,8 +49,11 @@ from ._text import ids_of, mix64, pieces, rolling, words, xxh64
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 31
 #: Bounds of a block of items that is broadcast at once.
-ITEMS, BLOCK_BYTES = 2048, 8 << 20
+ITEMS, BLOCK_BYTES = 32_768, 16 << 20
 _BLOCKS, _NEAR = 8, 3
+_MASKS = np.array([sum(1 << b for b in c) for k in range(_NEAR + 1) for c in combinations(range(16), k)], np.uint16)
+#: Lookups, and pairs of a window and an item, worked out at once.
+_PAIRS = 1 << 20
 #: Windows whose bits are worked out at once.
 _STEP = 1 << 14
 
@@ -86,7 +96,7 @@ def _signs(h: np.ndarray, weight: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
 class Items:
     """A block of benchmark items, indexed."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]]):
+    def __init__(self, rows: list[tuple[int, str]]):
         texts = pa.array([t for _, t in rows], pa.large_string())
         bounds, h, weight = _shingles(texts)
         size = np.diff(bounds)
@@ -111,29 +121,31 @@ class Items:
         self.first = np.concatenate([first, [len(pairs)]])
         self.seen = np.zeros(1 << 22, bool)  # a first, cheap look: low bits of the hash
         self.seen[(self.shingles & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        masks = np.array([sum(1 << b for b in c) for k in range(_NEAR + 1) for c in combinations(range(16), k)], np.uint16)
         self.tables = []
         for b in range(_BLOCKS):
-            value = (self.sign[:, b][:, None] ^ masks[None, :]).ravel()
-            order = np.argsort(value, kind="stable")
-            start = np.searchsorted(value[order], np.arange((1 << 16) + 1))
-            self.tables.append((start, np.repeat(np.arange(len(self.items), dtype=np.int32), len(masks))[order]))
-
-    def candidates(self, sign: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs of one length within RADIUS bits."""
-        found = []
-        for b, (start, item) in enumerate(self.tables):
-            value = sign[:, b].astype(np.int64)
-            n = start[value + 1] - start[value]
-            w = np.repeat(np.arange(len(sign)), n)
-            at = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[value], n)
-            i = item[at]
-            same = self.words[i] == length[w]
-            w, i = w[same], i[same]
-            near = np.bitwise_count(sign[w] ^ self.sign[i]).sum(axis=1) <= RADIUS
-            found.append(w[near] * np.int64(len(self.items)) + i[near])
-        both = np.unique(np.concatenate(found))
-        return both // max(len(self.items), 1), both % max(len(self.items), 1)
+            order = np.argsort(self.sign[:, b], kind="stable").astype(np.int32)
+            self.tables.append((np.searchsorted(self.sign[order, b], np.arange((1 << 16) + 1)).astype(np.int32), order))
+
+    def candidates(self, sign: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, item) pairs of one length within RADIUS bits, in portions of
+        windows; a pair comes once."""
+        step = max(1, _PAIRS // max(len(_MASKS), len(self.items)))  # a window meets an item once a block at most
+        for lo in range(0, len(sign), step):
+            own, size = sign[lo : lo + step], length[lo : lo + step]
+            found = []
+            for b, (start, item) in enumerate(self.tables):
+                value = (own[:, b][:, None] ^ _MASKS[None, :]).astype(np.int64)
+                n = start[value + 1] - start[value]
+                w, m = np.nonzero(n)
+                n, first = n[w, m], start[value[w, m]]
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+                w, i = np.repeat(w, n), item[at].astype(np.int64)
+                same = self.words[i] == size[w]
+                w, i = w[same], i[same]
+                near = np.bitwise_count(own[w] ^ self.sign[i]).sum(axis=1) <= RADIUS
+                found.append(w[near] * np.int64(len(self.items)) + i[near])
+            both = np.unique(np.concatenate(found))
+            yield lo + both // len(self.items), both % len(self.items)
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int, float]]:
         """(text, item, first word, words, similarity): the best window of each pair."""
@@ -167,6 +179,10 @@ class Items:
         n = self.first[which + 1] - self.first[which]
         p = np.repeat(pos, n)
         length = self.lengths[np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[which], n)]
+        total = np.concatenate([[0], np.cumsum(weight[start:end])])
+        held = np.zeros(len(total), np.int64)
+        held[pos - start + 1] = weight[pos]
+        held = np.cumsum(held)
         windows = []
         for size in np.unique(length):
             at = p[length == size]
@@ -177,18 +193,31 @@ class Items:
                 np.add.at(mark, np.maximum(at - (size - SHINGLE), start) - start, 1)
                 np.add.at(mark, np.minimum(at, end - size) - start + 1, -1)
                 first = np.flatnonzero(np.cumsum(mark) > 0) + start
-            windows.append(np.stack([first, np.full(len(first), size)], axis=1))
+            last = np.minimum(first + size, end) - SHINGLE + 1
+            # Common weight is at most that of the hits, and at least THRESHOLD of the window's.
+            can = held[last - start] - held[first - start] >= (THRESHOLD - 1e-9) * (total[last - start] - total[first - start])
+            windows.append(np.stack([first[can], np.full(int(can.sum()), size)], axis=1))
         w = np.concatenate(windows)
+        if not len(w):
+            return
         lo, size = w[:, 0], w[:, 1]
         hi = np.minimum(lo + size, end) - SHINGLE + 1
         for sel in _stretches(lo, hi):
             a, b = int(lo[sel].min()), int(hi[sel].max())
             sign = _signs(h[a:b], weight[a:b], lo[sel] - a, hi[sel] - a)
-            for x, i in zip(*self.candidates(sign, size[sel]), strict=True):
-                x, i = sel[x], int(i)
-                s = _similarity(self.bags[i], _bag(h[lo[x] : hi[x]], weight[lo[x] : hi[x]]))
-                if s >= THRESHOLD and s > best.get((d, i), (0.0,))[0]:
-                    best[d, i] = (s, int(lo[x]) - start, int(min(size[x], end - lo[x])))
+            for windows, items in self.candidates(sign, size[sel]):
+                bag, of = None, -1
+                for x, i in zip(windows.tolist(), items.tolist(), strict=True):
+                    y = int(sel[x])
+                    if x != of:
+                        bag, of = _bag(h[lo[y] : hi[y]], weight[lo[y] : hi[y]]), x
+                    s = _similarity(self.bags[i], bag)
+                    if s >= THRESHOLD and (-s, int(lo[y]) - start) < self._rank(best.get((d, i))):
+                        best[d, i] = (s, int(lo[y]) - start, int(min(size[y], end - lo[y])))
+
+    @staticmethod
+    def _rank(known: tuple[float, int, int] | None) -> tuple[float, int]:
+        return (0.0, 0) if known is None else (-known[0], known[1])
 
 
 def _stretches(lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
@@ -213,40 +242,43 @@ def _similarity(a, b) -> float:
     return common / (int((a[1] * a[2]).sum()) + int((b[1] * b[2]).sum()) - common)
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, str | None]]]:
-    """Blocks of items of at most about ITEMS rows and BLOCK_BYTES bytes."""
-    rows, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+def item_blocks(items: DataFrame, text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """Blocks of at most about ITEMS distinct texts, by a hash of the text, and
+    BLOCK_BYTES bytes."""
+    texts = items.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).distinct()
+    rows, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n = int(max(-(-rows // ITEMS), -(-size // BLOCK_BYTES), 1))
-    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(n))
     for k in range(n):
-        yield sorted(((r[0], r[1]) for r in items.where(block == k).select(id_col, text_col).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        yield sorted((r[0], r[1]) for r in texts.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect())
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
     """(id_col, item_col, start_word, n_words, similarity) for each document and
     item of which some window reaches THRESHOLD: its best window."""
     found = None
-    for block in item_blocks(items, item_col, item_text_col):
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    for block in item_blocks(items, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Items(shared.value)
             for piece in pieces(batches, "text"):
                 hits = index.search(piece.column("text"))
-                ids = piece.column("id").take(pa.array([x[0] for x in hits], pa.int64())).cast(pa.int64())
+                ids = piece.column("id").take(pa.array([x[0] for x in hits], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([index.id[x[1]] for x in hits], pa.int64()), *[pa.array([x[k] for x in hits], t) for k, t in ((2, pa.int64()), (3, pa.int64()), (4, pa.float64()))]],
-                    ["id", "item", "start_word", "n_words", "similarity"],
+                    ["id", "t", "start_word", "n_words", "similarity"],
                 )
 
-        part = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, item long, start_word long, n_words long, similarity double")
+        part = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, t long, start_word long, n_words long, similarity double")
         found = part if found is None else found.unionByName(part)
-    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "start_word", "n_words", "similarity")
+    names = items.select(F.xxhash64(item_text_col).alias("t"), F.col(item_col).alias("item")).where(F.col(item_text_col).isNotNull())
+    return found.join(names, "t").select(F.col("id").alias(id_col), F.col("item").alias(item_col), "start_word", "n_words", "similarity")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text_col="text", item_text_col="text") -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
-    for block in item_blocks(items, item_col, item_text_col):
+    for block in item_blocks(items, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
