@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet
 and read again as the next one's input.
 
-1. language ID: documents of no identifiable language (null text, no letter) go;
+1. language ID, trained on the documents' own ``lang``: documents that the
+   classifier puts in none of the learned languages go (null text, no letter, or
+   far from every codeword); if no document has a ``lang``, all of them stay;
 2. SimHash near-dedup: one document of each group stays, the one of least id
    (five-word shingles, Jaccard similarity 0.8 or more, verified; candidates by
    24 sketches of 64 bits);
