@@ -162,3 +162,67 @@ def pii(text):
         return kind == "email" or 8 <= len(d) <= 15
 
     return ",".join(f"{k}:{m.start()}:{m.end()}" for k, p in PII.items() for m in re.finditer(p, text or "") if ok(k, m[0]))
+
+
+def pii_graph(docs, support=5, confident=0.8, smooth=0.5, rounds=3):
+    """The spans beyond the base: {row: {(kind, start, end)}} of rows (id, text)."""
+    ws, kinds = " \t\n\x0b\x0c\r", list(PII)
+    secret = re.compile("(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})")
+
+    def patterns(before, after):
+        name = lambda w: hashlib.md5(w.encode()).hexdigest() if len(w) > 64 else w.lower()
+        left, right = ([name(w) for w in WORD.findall(x)] for x in (before, after))
+        out = {f"L {left[-2]} {left[-1]}"} if len(left) > 1 else set()
+        out |= {f"O {left[-1]}"} if left else set()
+        return out | ({f"B {left[-1]} {right[0]}"} if left and right else set())
+
+    def beside(found, i, text):
+        return text[found[i - 1][1] if i else 0 : found[i][0]], text[found[i][1] : found[i + 1][0] if i + 1 < len(found) else len(text)]
+
+    seeds, tokens = set(), []
+    for row, (_, text) in enumerate(docs):
+        text, good = text or "", {tuple(s.split(":")) for s in pii(text).split(",") if s}
+        for k, kind in enumerate(kinds):
+            found = [m.span() for m in re.finditer(PII[kind], text)]
+            for i, (a, b) in enumerate(found):
+                if (kind, str(a), str(b)) in good:
+                    seeds |= {(p, k, text[a:b].lower()) for p in patterns(*beside(found, i, text))}
+        found = [m.span() for m in WORD.finditer(text) if "@" in m[0] or len(re.findall("[0-9]", m[0])) >= 4]
+        for i, (a, b) in enumerate(found):
+            if any(int(x) < b and int(y) > a for _, x, y in good):
+                continue
+            word = text[a:b]
+            core = word
+            while core and not core[0].isalnum() and core[0] != "+":
+                core, a = core[1:], a + 1
+            while core and not core[-1].isalnum():
+                core = core[:-1]
+            hexa = bool(secret.fullmatch(core) and re.search("[0-9]", core) and re.search("[a-fA-F]", core))
+            own = patterns(*beside(found, i, text))
+            if core:
+                tokens.append((row, a, core, hexa, own))
+                seeds |= {(p, len(kinds), core.lower()) for p in own} if hexa else set()
+    count = collections.Counter((p, k) for p, k, _ in seeds)
+    strong = {pk: n for pk, n in count.items() if n >= support}
+    names = {p for p, _ in strong}
+    unknown = {(p, core.lower()) for _, _, core, hexa, own in tokens if not hexa for p in own if p in names}
+    n = collections.Counter(p for p, _ in {(p, v) for p, _, v in seeds if p in names} | unknown)
+    score = {(p, k): x / (n[p] + smooth) for (p, k), x in strong.items()}
+    for _ in range(rounds):
+        value = collections.defaultdict(lambda: 1.0)
+        for p, v in unknown:
+            for k in range(len(kinds) + 1):
+                if (p, k) in score:
+                    value[v, k] *= 1 - score[p, k]
+        gained = collections.Counter()
+        for p, v in unknown:
+            for k in range(len(kinds) + 1):
+                if (p, k) in score:
+                    gained[p, k] += 1 - value[v, k]
+        score = {(p, k): min(1.0, (x + gained[p, k]) / (n[p] + smooth)) for (p, k), x in strong.items()}
+    sure = {pk: s for pk, s in score.items() if s >= confident and 2 * strong[pk] >= n[pk[0]]}
+    out = collections.defaultdict(set)
+    for row, a, core, _, own in tokens:
+        if best := max(((s, -k) for (p, k), s in sure.items() if p in own), default=None):
+            out[row].add((-best[1], a, a + len(core)))
+    return out

@@ -224,6 +224,35 @@ def test_pii_patterns(spark):
     assert all(got[300 + i] == brute.pii(dict(weak)[300 + i]) for i in range(30))
 
 
+def test_pii_graph(spark):
+    """Seeds, scored patterns and new spans of a random corpus, by brute force."""
+    rng = random.Random(31)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    make = {"mail": lambda: f"u{digits(3)}@x.org", "call": lambda: f"+49 30 {digits(6)}", "host": lambda: f"10.0.{rng.randrange(300)}.{rng.randrange(256)}", "token =": lambda: f'"{rng.randrange(16**40):040x}"', "id": lambda: digits(rng.randint(3, 9)), "key": lambda: f"ab-{digits(5)}@"}
+    docs = []
+    for i in range(400):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            lead = rng.choice(list(make))
+            parts += [rng.choice(["please", "The", "a", "x" * 70]), lead, make[lead if rng.random() < 0.8 else rng.choice(list(make))](), rng.choice(["now", "soon,", ".", "日本"])]
+        docs.append((i if i % 9 else None, " ".join(parts) if i % 11 else None))
+    docs += [docs[5], (5, f'see token = "hunter-20245-{digits(4)}" ok')]
+    want = brute.pii_graph(docs)
+    got = {}
+    for r in pii.find(spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(docs)], "doc_id long, text string, kind long").selectExpr("struct(doc_id, kind) AS doc_id", "text")).collect():
+        base = {tuple(b) for b in r.base}
+        got[r.doc_id.kind] = {tuple(x) for x in r.spans if tuple(x) not in base}
+    assert {k: v for k, v in got.items() if v} == dict(want) and len(want) > 100 and {k for v in want.values() for k, _, _ in v} >= {3, 4}
+    assert want[len(docs) - 1]  # no hexadecimal digits, found by its context
+
+
+def test_pii_many_matches(spark):
+    n = 30_000
+    docs = [(1, "1.1.1.1 " * n), (2, "x a@b.co 1234 " * n), (3, "1234 " * n + "a@b.co"), (4, '"' * n + "12345" + "." * n + "1")]
+    out = {r.doc_id: (r.b, r.s) for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", F.size("base").alias("b"), F.size("spans").alias("s")).collect()}
+    assert out[1] == (n, n) and out[2][0] == n and out[3][0] == 1 and out[4] == (0, 0)
+
+
 # ----------------------------------------------------------------------- chat
 
 
@@ -428,6 +457,68 @@ def test_language(spark, empty):
         assert len({tuple(r) for r in code}) == k and all(0 < c.sum() < k for c in code.T)
 
 
+def test_foreign_texts_are_rejected(spark):
+    """The classifier drops what is in none of the learned languages; without labels all stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    foreign = [(-1, "Это русский текст о погоде и природе и ещё немного слов для длины."), (-2, "Tämä on suomenkielinen teksti jossa puhutaan säästä ja luonnosta"), (-3, "日本語の文章です。天気がいいですね。今日は良い日です。")]
+    table = docs.union(spark.createDataFrame([(i, t, None) for i, t in foreign], docs.schema))
+    model = language_id.train(table)
+    kept = {r.doc_id for r in language_id.keep_identified(table, model).collect()}
+    assert not kept & {-1, -2, -3} and len(kept) >= 0.99 * docs.where("text RLIKE '[a-z]'").count()
+    only = {r.lang_pred for r in language_id.identify(language_id.keep_identified(table, model, languages=["en"]), model).collect()}
+    assert only == {"en"}
+    none = table.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.keep_identified(none, language_id.train(none)).count() == table.count()
+
+
+def test_language_decoding(spark):
+    """Loss-weighted decoding, loop by loop."""
+    import math
+
+    import numpy as np
+
+    model = language_id.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    langs, code, w = model
+    x = language_id.features(pa.array([prose(i, 12) for i in range(9)] + ["Le chat est là", "die Katze und der Hund"]))
+    best, score, unsure, near = language_id.decode(model, x)
+    for r in range(len(x)):
+        bits = [float(np.dot(x[r], w[:-1, b]) + w[-1, b]) for b in range(code.shape[1])]
+        loss = [sum(math.log1p(math.exp(-m if c else m)) for m, c in zip(bits, word, strict=True)) / len(bits) for word in code]
+        order = sorted(loss)
+        assert best[r] == loss.index(order[0]) and near[r] == pytest.approx(order[0], abs=1e-4) and bool(unsure[r]) == (order[1] - order[0] < language_id.MARGIN)
+        assert score[r] == pytest.approx(1 / sum(math.exp(len(bits) * (order[0] - v)) for v in loss), abs=1e-3)
+
+
+def test_fits_are_repeatable(spark):
+    """Equal models however the rows are partitioned, and whatever rows repeat."""
+    import numpy as np
+
+    path = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    urls = url_filter.labelled_pages(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).cache()
+    shuffled = lambda df, n: df.union(df).repartition(n, F.rand(n))
+    fits = {
+        "language": lambda n: language_id.train(shuffled(docs, n))[2],
+        "quality": lambda n: np.append(quality.train(shuffled(docs, n), shuffled(labels, n + 1))[0], quality.train(shuffled(docs, n), labels)[1:]),
+        "url": lambda n: np.concatenate([np.ravel(x) for x in vars(url_filter.train(shuffled(urls, n))[0]).values()]),
+    }
+    for name, fit in fits.items():
+        one, two = fit(2), fit(7)
+        assert one.shape == two.shape and np.allclose(one, two, rtol=0, atol=0, equal_nan=True), name
+
+
+def test_long_texts_are_hashed_in_blocks(monkeypatch):
+    import numpy as np
+
+    from tidemark.llm import _learn
+
+    texts = pa.array(["Ab cd é日 " * 40, None, "", "x", "yz" * 33])
+    whole = _learn.char_features(texts, 10, range(1, 4))
+    for n in (1, 2, 7, 64):
+        monkeypatch.setattr(_learn, "POINTS", n)
+        assert np.array_equal(_learn.char_features(texts, 10, range(1, 4)), whole)
+
+
 def test_held_out(spark):
     got = {r.id: r.h for r in spark.range(200).select("id", language_id.held_out(F.col("id")).alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(200)}

@@ -29,7 +29,10 @@ sketches are one node.
 
 Defined results: a null or wordless text has fingerprint zero and links like any
 other. Rows with a null id link but lend no id; the component is null if nothing
-linked has one. Repeated rows share a component. An empty table gives no rows.
+linked has one. Repeated rows share a component. An empty table gives no rows. ids
+keep their type, and the least is by its order. A very long text is read whole, in
+blocks of words. Columns of any names pass through ``keep_one`` but ``__id`` and
+``__th``; in ``near_dups`` other columns take no part.
 """
 
 from __future__ import annotations
@@ -67,9 +70,10 @@ def fingerprint_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int,
         for piece in pieces(batches, "text"):
             fp = fingerprints(piece.column("text"), shingle, sketches).view(np.int64)
             offsets = pa.array(np.arange(len(fp) + 1, dtype=np.int32) * sketches)
-            yield pa.RecordBatch.from_arrays([piece.column("id").cast(pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(fp.ravel()))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.ListArray.from_arrays(offsets, pa.array(fp.ravel()))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp array<long>")
 
 
 def _part(rows: DataFrame, bits: str, rest: str, blocks: int, key) -> DataFrame:
@@ -226,7 +230,7 @@ def _sketches(docs: DataFrame, shingle: int, sketches: int) -> DataFrame:
             offsets = pa.array(np.arange(len(fp) + 1, dtype=np.int32) * sketches)
             yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("th"), pa.ListArray.from_arrays(offsets, pa.array(fp.ravel()))], ["id", "th", "fp"])
 
-    return docs.mapInArrow(run, "id long, th long, fp array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, th long, fp array<long>")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -385,8 +389,9 @@ def copies(docs: DataFrame, shingle: int, sketches: int, similarity: float, grou
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 5, sketches: int = SKETCHES, similarity: float = SIMILAR, group: int = GROUP) -> DataFrame:
     """``docs`` with one row of each component: of the least id, and of rows that
     repeat an id the least by a hash of the text. A row without an id stays only
-    if no row with one is in its component; of rows equal in both one stays."""
-    named = docs.withColumns({"__id": F.col(id_col).cast("long"), "__th": F.xxhash64(text_col)})
+    if no row with one is in its component; of rows equal in both one stays, the
+    least by a hash of all columns."""
+    named = docs.withColumns({"__id": F.col(id_col), "__th": F.xxhash64(text_col)})
     texts = named.select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col(text_col).alias("text"))
     rows, heads = copies(texts, shingle, sketches, similarity, group)
     told = rows.join(heads, "node").withColumn("kept", F.col("id").eqNullSafe(F.col("head_id")) & (F.col("th") == F.col("head_th")))
@@ -397,7 +402,7 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 5
     if again.isEmpty():
         return named.join(gone, on(gone), "left_anti").select(*docs.columns)
     again = materialise(again, "repeated-rows")
-    first = Window.partitionBy("__id", "__th").orderBy(F.col(text_col).asc_nulls_last())
+    first = Window.partitionBy("__id", "__th").orderBy(F.col(text_col).asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     one = named.join(again, on(again), "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1")
     drop = gone.unionByName(again)
     return named.join(drop, on(drop), "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
