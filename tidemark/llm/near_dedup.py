@@ -22,7 +22,8 @@ shingles (as 64-bit hashes) have a Jaccard similarity of 0.8 or more, or if such
 pairs connect them. Candidates share one of the four blocks of one of 24 sketches of distinct
 shingles, and the trie join of a group finds those within 12 bits. Each candidate
 is verified; groups with very many pairs (families of near copies) first give
-each node's nearest pairs, and then all pairs still unconnected. Simulated, a lone
+each node's nearest pairs, and then all pairs still unconnected whose sketches
+together are near enough, which the task of the group sees to. Simulated, a lone
 pair of similarity 0.8 is a candidate with probability above 0.99 (0.96 where texts
 have four or five shingles), of 0.85 with practically 1. Texts equal in all 24
 sketches are one node.
@@ -58,7 +59,10 @@ PAIRS = 1 << 22
 CANDIDATES, ROWS = 1 << 18, 1 << 15
 #: Of ``keep_one``: sketches, blocks of each, bits apart in a sketch of candidates, share of
 #: bits apart in all sketches beyond which texts can't be similar, and the similarity of copies.
+#: At 0.8 about 0.15 of the bits differ, give or take 0.009 (0.19 in texts of a few shingles).
 SKETCHES, BLOCKS, NEAR, FAR, SIMILAR = 24, 4, 12, 0.25, 0.8
+#: The share that holds between texts of this many shingles or more: five times 0.009 above 0.15.
+FAR_OF_LONG, LONG = 0.2, 64
 #: A group with more pairs a row than this is looked at again once its nearest pairs are joined.
 MANY = 8
 
@@ -222,15 +226,16 @@ def near_dups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int =
 
 
 def _sketches(docs: DataFrame, shingle: int, sketches: int) -> DataFrame:
-    """(id, th, fp array<long>) of (id, th, text), of distinct shingles."""
+    """(id, th, fp array<long>, shingles) of (id, th, text), of distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
-            fp = fingerprints(piece.column("text"), shingle, sketches, distinct=True).view(np.int64)
+            sets = shingle_sets(piece.column("text"), shingle)
+            fp = fingerprints(piece.column("text"), shingle, sketches, sets=sets).view(np.int64)
             offsets = pa.array(np.arange(len(fp) + 1, dtype=np.int32) * sketches)
-            yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("th"), pa.ListArray.from_arrays(offsets, pa.array(fp.ravel()))], ["id", "th", "fp"])
+            yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("th"), pa.ListArray.from_arrays(offsets, pa.array(fp.ravel())), pa.array(np.bincount(sets[0], minlength=len(fp)))], ["id", "th", "fp", "shingles"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, th long, fp array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, th long, fp array<long>, shingles long")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -270,10 +275,11 @@ def tiles(nodes: DataFrame, full: DataFrame) -> DataFrame:
     return rows.select(F.explode(keys).alias("key"), "fp", "node", "label")
 
 
-def group_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.ndarray, radius: int, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def group_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.ndarray, radius: int, every: np.ndarray | None = None, shingles: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(a, b), nodes of unlike label within ``radius`` bits in a run of equal keys,
-    and the keys of groups with over MANY pairs a row: unless ``whole``, these give
-    for each node its nearest and its first in order only."""
+    and the keys of groups with over MANY pairs a row: these give for each node its
+    nearest and its first in order only. With ``every``, all sketches of each row,
+    and its ``shingles``, each group gives all pairs that these leave possible."""
     start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])]))  # equal fingerprints
     n = np.diff(np.concatenate([start, [len(key)]]))
     k, f = key[start], fp[start]
@@ -294,11 +300,14 @@ def group_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.nda
         x, y = start[a][pair] + at // n[b][pair], start[b][pair] + at % n[b][pair]
         told = (label[x] != label[y]) & ((a != b)[pair] | (x < y))
         x, y = np.minimum(x[told], y[told]), np.maximum(x[told], y[told])
+        if every is not None and len(x):
+            near = np.concatenate([_possible(every[x[i : i + ROWS]], every[y[i : i + ROWS]], np.minimum(shingles[x[i : i + ROWS]], shingles[y[i : i + ROWS]])) for i in range(0, len(x), ROWS)])
+            x, y = x[near], y[near]
         if not len(x):
             continue
         group = np.searchsorted(start[lo], x, side="right") - 1
         many = np.bincount(group, minlength=len(lo)) > MANY * rows[work == w]
-        if whole or not many.any():
+        if every is not None or not many.any():
             yield node[x], node[y], key[:0]
             continue
         thin = many[group]
@@ -313,16 +322,29 @@ def group_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.nda
         yield node[np.concatenate([x[~thin], p[at]])], node[np.concatenate([y[~thin], q[at]])], key[start[lo]][many]
 
 
-def candidates(rows: DataFrame, whole: bool, radius: int = NEAR) -> DataFrame:
-    """(a, b, key): ``group_pairs`` of the groups; the key alone of a thinned one."""
+def _possible(a: np.ndarray, b: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """Whether all sketches (rows of a, of b) are near enough for similar texts."""
+    apart = np.bitwise_count(a ^ b).sum(axis=1)
+    return apart <= np.where(shingles >= LONG, FAR_OF_LONG, FAR) * 64 * a.shape[1]
+
+
+def candidates(rows: DataFrame, radius: int = NEAR) -> DataFrame:
+    """(a, b, key): ``group_pairs`` of the groups; the key alone of a thinned one.
+    Rows that bring all their sketches (``every``) are looked at whole."""
+    columns = [c for c in ("key", "fp", "node", "label", "every", "shingles") if c in rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def whole_rows(parts):
-            key, fp, node, label = (np.concatenate(x) for x in zip(*parts, strict=True))
-            return [key, fp.view(np.uint64), node, label]
+            held = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            return [x.view(np.uint64) if c in ("fp", "every") else x for c, x in zip(columns, held, strict=True)]
+
+        def values(batch, c):
+            if c != "every":
+                return batch.column(c).to_numpy(zero_copy_only=False).copy()
+            return batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).copy()
 
         def emit(held):
-            for a, b, thinned in group_pairs(*held, radius, whole):
+            for a, b, thinned in group_pairs(*held[:4], radius, *held[4:]):
                 none = pa.nulls(len(thinned), pa.int64())
                 a, b = (pa.concat_arrays([pa.array(x), none]) for x in (np.minimum(a, b), np.maximum(a, b)))
                 yield pa.RecordBatch.from_arrays([a, b, pa.concat_arrays([pa.nulls(len(a) - len(thinned), pa.int64()), pa.array(thinned)])], ["a", "b", "key"])
@@ -331,7 +353,7 @@ def candidates(rows: DataFrame, whole: bool, radius: int = NEAR) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts.append([batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("key", "fp", "node", "label")])
+            parts.append([values(batch, c) for c in columns])
             n += batch.num_rows
             if n < ROWS:
                 continue
@@ -344,7 +366,7 @@ def candidates(rows: DataFrame, whole: bool, radius: int = NEAR) -> DataFrame:
         if parts and n:
             yield from emit(whole_rows(parts))
 
-    rows = rows.repartition("key").sortWithinPartitions("key", F.expr("fp ^ (-9223372036854775808L)"))
+    rows = rows.select(*columns).repartition("key").sortWithinPartitions("key", F.expr("fp ^ (-9223372036854775808L)"))
     return rows.mapInArrow(run, "a long, b long, key long")
 
 
@@ -368,17 +390,18 @@ def copies(docs: DataFrame, shingle: int, sketches: int, similarity: float, grou
     with the least row that the node reaches by similar pairs."""
     rows = materialise(_sketches(docs, shingle, sketches).withColumn("node", F.xxhash64("fp")), "fingerprints")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("least")
-    nodes = materialise(rows.groupBy("node", "fp").agg(least), "nodes")
+    nodes = materialise(rows.groupBy("node", "fp").agg(least, F.min("shingles").alias("shingles")), "nodes")
     alone = nodes.withColumn("label", F.col("node"))
     full = full_groups(alone, group)
-    told = materialise(candidates(tiles(alone, full), False), "pairs")
+    told = materialise(candidates(tiles(alone, full)), "pairs")
     edges = similar(told.where("key IS NULL").select("a", "b"), nodes, docs, shingle, sketches, similarity)
     found = materialise(components(edges), "components")
     thinned = materialise(told.where("key IS NOT NULL").select("key").distinct(), "thinned")
     if not thinned.isEmpty():
         # What is joined by now needs no further look.
         parts = nodes.join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        rest = candidates(tiles(parts, full).join(thinned, "key", "left_semi"), True).select("a", "b")
+        rest = tiles(parts, full).join(thinned, "key", "left_semi").join(nodes.select("node", F.col("fp").alias("every"), "shingles"), "node")
+        rest = candidates(rest).select("a", "b")
         more = similar(rest, nodes, docs, shingle, sketches, similarity)
         found = materialise(components(edges.unionByName(more)), "components")
     classes = nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))

@@ -38,15 +38,15 @@ def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]
     return doc[new], h[new]
 
 
-def fingerprints(texts: pa.Array, shingle: int = 3, sketches: int = 1, distinct: bool = False) -> np.ndarray:
+def fingerprints(texts: pa.Array, shingle: int = 3, sketches: int = 1, sets: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """(texts, sketches) fingerprints of 64 bits: a bit is set if it is in over
-    half of the hashes of the text's shingles, repeats included unless only
-    ``distinct`` ones count. The first sketch uses XXH64 with seed 42, the others
+    half of the hashes of the text's shingles, repeats included; of its distinct
+    ones if these are given (``shingle_sets``). The first sketch uses XXH64 with seed 42, the others
     mix that hash anew. A text of fewer words has one shingle, all of it; one
     without words has zeros."""
     ones, total = np.zeros((len(texts), sketches, 64), np.int64), np.zeros(len(texts), np.int64)
-    if distinct:
-        every, own = shingle_sets(texts, shingle)
+    if sets is not None:
+        every, own = sets
         parts = ((every[lo : lo + BLOCK], own[lo : lo + BLOCK]) for lo in range(0, len(own), BLOCK))
     else:
         parts = _shingles(*words(texts, lower=True), shingle)
