@@ -339,6 +339,29 @@ def merge_null_keys(t):
     return out.withColumn("k", F.when(F.col("o_orderkey").isNotNull(), F.col("k")))
 
 
+# Joined rows in their order, over whole tables: one-to-many, many-to-one and unmatched rows on both sides.
+
+_SIDES = "(SELECT n_nationkey + 5 AS key, n_name, row_number() OVER (ORDER BY n_name DESC) AS a FROM nation) {} (SELECT s_nationkey AS key, s_name, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS b FROM supplier) USING (key)"
+
+for _how, _kind, _by in (("inner", "JOIN", "a, b"), ("left", "LEFT JOIN", "a, b NULLS LAST"), ("right", "RIGHT JOIN", "b, a NULLS LAST"), ("full", "FULL JOIN", "a NULLS LAST, b NULLS LAST")):
+
+    def _merge_order(t, how=_how):
+        left = t("nation").assign("key", F.expr("n_nationkey + 5")).select("key", "n_name").sort_values("n_name", ascending=False)
+        right = t("supplier").sort_values("s_acctbal").rename({"s_nationkey": "key"}).select("key", "s_name")
+        return _rn(left.merge(right, "key", how))
+
+    def _merge_on_order(t, how=_how):
+        left = t("orders").sort_values("o_totalprice").rename({"o_custkey": "k1"}).assign("k2", F.expr("k1 % 3")).select("k1", "k2", "o_orderkey")
+        right = t("customer").sort_values("c_acctbal").assign("k1", F.expr("c_custkey + 7")).assign("k2", F.expr("(c_custkey + 7) % 3")).select("k1", "k2", "c_name")
+        return _rn(left.merge_on(right, ["k1", "k2"], how))
+
+    _query(f"SELECT key, n_name, s_name, row_number() OVER (ORDER BY {_by}) - 1 AS rn FROM {_SIDES.format(_kind)}", f"merge_{_how}_order")(_merge_order)
+    _query(
+        f"SELECT k1, k2, o_orderkey, c_name, row_number() OVER (ORDER BY {_by}) - 1 AS rn FROM (SELECT o_custkey AS k1, o_custkey % 3 AS k2, o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS a FROM orders) {_kind} (SELECT c_custkey + 7 AS k1, (c_custkey + 7) % 3 AS k2, c_name, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS b FROM customer) USING (k1, k2)",
+        f"merge_on_{_how}_order",
+    )(_merge_on_order)
+
+
 # The same joins over whole tables: keys are shifted or nulled on one side, and no row is left out.
 
 _NULLED_ORDERS = "SELECT CASE WHEN o_orderkey % 50 > 0 THEN o_custkey END AS k, o_orderkey FROM orders"
@@ -417,6 +440,12 @@ def groupby_apply(t):
     return t("events").select("event_type", "value").group_by("event_type").apply(spread, "event_type string, n long, spread double")
 
 
+@_query("SELECT o_orderstatus, o_orderkey, row_number() OVER (ORDER BY o_orderstatus, r) - 1 AS rn FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r <= 3")
+def groupby_apply_order(t):
+    last = lambda rows: rows.iloc[::-1].head(3)[["o_orderstatus", "o_orderkey"]]
+    return _rn(t("orders").select("o_orderkey", "o_orderstatus").group_by("o_orderstatus").apply(last, "o_orderstatus string, o_orderkey long"))
+
+
 # ------------------------------------------------------------------ statistics
 
 _STATS = ["l_quantity", "l_extendedprice"]
@@ -468,6 +497,14 @@ def sample_n(t):
     return t("customer").sample(50, 42)
 
 
+@_query("SELECT 50::BIGINT AS n, 50::BIGINT AS ids, 50::BIGINT AS members, true AS again")
+def sample_invariants(t):
+    f = t("customer")
+    drawn, again = f.sample(50, 42), f.sample(50, 42)
+    ids = [r[0] for r in drawn.select("c_custkey").collect()]
+    return Frame.from_columns(f.sdf.sparkSession, {"n": [len(ids)], "ids": [len(set(ids))], "members": [f.where(F.col("c_custkey").isin(ids)).sdf.count()], "again": [ids == [r[0] for r in again.select("c_custkey").collect()]]})
+
+
 # ------------------------------------------------------------------ duplicates
 
 for _keep, _flag in (("first", "row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1"), ("last", "row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) > 1"), ("none", "count(*) OVER (PARTITION BY user_id, event_type) > 1")):
@@ -512,6 +549,33 @@ def cumprod(t):
     return _round(Frame(_rn(t("events").assign("x", F.expr("1 + value / 1e7")).select("x").cumprod())), 6)
 
 
+# The ordered operators in many small buckets, where the queries above have a single one.
+
+for _fn, _sql in (("cumsum", "sum"), ("cummin", "min")):
+
+    def _cumulative_buckets(t, fn=_fn):
+        return _round(Frame(_rn(getattr(_gaps(t).select("v", "kind"), fn)(bucket_rows=1500))), 3)
+
+    _query(ORACLE[_fn], f"{_fn}_buckets")(_cumulative_buckets)
+
+for _fn in ("sum", "min", "max", "std"):
+
+    def _rolling_buckets(t, fn=_fn):
+        return _round(Frame(_rn(getattr(_gaps(t).select("v").rolling(4, bucket_rows=700), fn)())), 4)
+
+    _query(ORACLE[f"rolling_{_fn}"], f"rolling_{_fn}_buckets")(_rolling_buckets)
+
+
+@_query(ORACLE["cumprod"])
+def cumprod_buckets(t):
+    return _round(Frame(_rn(t("events").assign("x", F.expr("1 + value / 1e7")).select("x").cumprod(bucket_rows=1500))), 6)
+
+
+@_query(ORACLE["ffill"])
+def ffill_buckets(t):
+    return _gaps(t).fillna_method("ffill", bucket_rows=1500)
+
+
 # --------------------------------------------------------------------- sorting
 
 
@@ -763,3 +827,120 @@ def series_writes(t):
 @_query("SELECT row_number() OVER (ORDER BY n_nationkey) - 6 AS rn, n_name FROM nation QUALIFY row_number() OVER (ORDER BY n_nationkey) BETWEEN 6 AND 9")
 def series_slice(t):
     return _rn(t("nation").series("n_name").slice(5, 9).frame)
+
+
+@_query("SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT, 'a', 0.5::DOUBLE, true), (1, 2, NULL, NULL, false), (2, NULL, 'c', 2.0, NULL)) v(rn, id, name, x, ok)")
+def constructors(t):
+    spark = t("region").sdf.sparkSession
+    rows = Frame.from_rows(spark, ["id", "name", "x", "ok"], [[1, 2, None], ["a", None, "c"], [0.5, None, 2.0], [True, False, None]], {"id": "int", "name": str, "x": "float64", "ok": "bool"})
+    none = Frame.empty(spark, ["id", "name", "x", "ok"], {"id": "int", "x": "float", "ok": "bool"})
+    return _rn(concat([none, rows]))
+
+
+@_query(f"SELECT 0 AS rn, count(*) || ' rows x 4 columns' AS line FROM ({_GAPS}) UNION ALL SELECT 1, 'event_id  ' || count(event_id) || ' non-null  int64' FROM ({_GAPS}) UNION ALL SELECT 2, 'kind  ' || count(kind) || ' non-null  string' FROM ({_GAPS}) UNION ALL SELECT 3, 'v  ' || count(v) || ' non-null  float64' FROM ({_GAPS}) UNION ALL SELECT 4, 'u  ' || count(u) || ' non-null  int64' FROM ({_GAPS})")
+def info_text(t):
+    f = _gaps(t)
+    lines = f.info().split("\n")
+    return Frame.from_columns(f.sdf.sparkSession, {"rn": list(range(len(lines))), "line": lines}).sdf.select(F.col("rn").cast("int").alias("rn"), "line")
+
+
+@_query("""
+SELECT * FROM (VALUES (0, '+-------------+-------------+'), (1, '| r_regionkey | r_name      |'), (2, '+-------------+-------------+')) v(rn, line)
+UNION ALL SELECT CAST(2 + row_number() OVER (ORDER BY r_regionkey) AS INTEGER), '| ' || rpad(CAST(r_regionkey AS VARCHAR), 11, ' ') || ' | ' || rpad(r_name, 11, ' ') || ' |' FROM region
+UNION ALL SELECT CAST(3 + count(*) AS INTEGER), '+-------------+-------------+' FROM region UNION ALL SELECT CAST(4 + count(*) AS INTEGER), '[' || count(*) || ' rows x 2 columns]' FROM region""")
+def text_table(t):
+    f = t("region").select("r_regionkey", "r_name").assign("r_name", F.rpad("r_name", 11, " "))
+    lines = str(f).split("\n")
+    return Frame.from_columns(f.sdf.sparkSession, {"rn": list(range(len(lines))), "line": lines}).sdf.select(F.col("rn").cast("int").alias("rn"), "line")
+
+
+@_query("SELECT o_orderkey AS by_name, o_totalprice AS by_label_access, o_orderkey AS by_position FROM orders")
+def column_reads(t):
+    f = t("orders").select("o_orderkey", "o_totalprice")
+    return f.sdf.select(f.select_col("o_orderkey").alias("by_name"), f.loc.col("o_totalprice").alias("by_label_access"), f.iloc.col(0).alias("by_position"))
+
+
+@_query("SELECT c_name, c_custkey, c_acctbal FROM customer")
+def column_sets(t):
+    f = t("customer").select("c_custkey", "c_acctbal", "c_name")
+    return f.iloc.cols([2, 0]).to_spark().join(f.loc.cols(["c_custkey", "c_acctbal"]).to_spark(), "c_custkey").select("c_name", "c_custkey", "c_acctbal")
+
+
+@_query("SELECT 'label' AS how, n_nationkey, n_name FROM nation WHERE n_name = (SELECT min(n_name) FROM nation) UNION ALL SELECT 'position', n_nationkey, n_name FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation) WHERE r = 4")
+def row_reads(t):
+    f = t("nation").select("n_nationkey", "n_name")
+    least = f.sort_values("n_name").head(1).select("n_name").collect()[0][0]
+    by_label = f.set_index("n_name").loc.row(least).to_spark().select(F.lit("label").alias("how"), "n_nationkey", "n_name")
+    return by_label.unionByName(f.iloc.row(3).to_spark().select(F.lit("position").alias("how"), "n_nationkey", "n_name"))
+
+
+@_query("SELECT (SELECT n_nationkey % 4 = 0 FROM nation WHERE n_nationkey = 8) AS at_8, (SELECT n_nationkey % 4 = 0 FROM nation WHERE n_nationkey = 9) AS at_9")
+def null_reads(t):
+    f = t("nation").assign("part", F.expr("CASE WHEN n_nationkey % 4 > 0 THEN n_name END")).set_index("n_nationkey")
+    return Frame.from_columns(f.sdf.sparkSession, {"at_8": [f.loc.is_null_at("8", "part")], "at_9": [f.loc.is_null_at("9", "part")]})
+
+
+@_query("SELECT o_orderkey, true AS fine FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'O'")
+def filter_ends(t):
+    chain = t("orders").filter("o_totalprice", ">", 200000.0).filter("o_orderstatus", "==", "O")
+    return chain.must_result().assign("fine", F.lit(chain.err() is None)).select("o_orderkey", "fine")
+
+
+@_query("SELECT l_orderkey, round(power(l_quantity, l_tax), 6) AS p, round(l_extendedprice - 0.5, 4) AS s, round(l_extendedprice / 7, 6) AS d, CASE WHEN l_tax > 0 THEN 'infinity'::DOUBLE ELSE 'nan'::DOUBLE END AS z FROM lineitem")
+def arith_scalars(t):
+    f = t("lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_tax")
+    f = f.assign("p", F.round(f.pow("l_quantity", "l_tax"), 6)).assign("s", F.round(f.sub_scalar("l_extendedprice", 0.5), 4))
+    return f.assign("d", F.round(f.div_scalar("l_extendedprice", 7), 6)).assign("z", f.div_scalar("l_tax", 0)).select("l_orderkey", "p", "s", "d", "z")
+
+
+@_query("SELECT l_orderkey, l_partkey < l_suppkey AS lt, l_partkey >= l_suppkey AS ge, l_quantity > 25 AS gts, l_quantity >= 25 AS ges, l_quantity <= 25 AS les, l_quantity = 25 AS eqs, l_returnflag <> 'R' AS nes, true AS cross_ne FROM lineitem")
+def compare_scalars(t):
+    f = t("lineitem")
+    parts = {"lt": f.lt("l_partkey", "l_suppkey"), "ge": f.ge("l_partkey", "l_suppkey"), "gts": f.gt_scalar("l_quantity", 25), "ges": f.ge_scalar("l_quantity", 25), "les": f.le_scalar("l_quantity", 25), "eqs": f.eq_scalar("l_quantity", 25), "nes": f.ne_scalar("l_returnflag", "R"), "cross_ne": f.ne_scalar("l_returnflag", 1)}
+    for name, c in parts.items():
+        f = f.assign(name, c)
+    return f.select("l_orderkey", *parts)
+
+
+@_query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS rn, part, part IS NULL AS missing, (SELECT count(*) FROM nation WHERE n_nationkey % 4 = 0) AS nulls, (SELECT n_name FROM nation WHERE n_nationkey = 5) AS at_5 FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 4 > 0 THEN n_name END AS part FROM nation)")
+def series_reads(t):
+    f = t("nation").assign("part", F.expr("CASE WHEN n_nationkey % 4 > 0 THEN n_name END"))
+    s = f.series("part")
+    values, mask, n, at = s.values(), s.mask(), s.null_count(), s.at(5)
+    assert s.is_null(4) and not s.is_null(5) and len(s) == len(values)
+    return Frame.from_columns(f.sdf.sparkSession, {"rn": list(range(len(values))), "part": values, "missing": mask, "nulls": [n] * len(values), "at_5": [at] * len(values)})
+
+
+@_query("""
+WITH a AS (SELECT DISTINCT n_regionkey AS v FROM nation WHERE n_nationkey < 12), b AS (SELECT DISTINCT n_regionkey AS v FROM nation WHERE n_nationkey >= 20)
+SELECT 'union' AS op, v FROM (SELECT v FROM a UNION SELECT v FROM b) UNION ALL SELECT 'intersect', v FROM (SELECT v FROM a INTERSECT SELECT v FROM b)
+UNION ALL SELECT 'difference', v FROM (SELECT v FROM a EXCEPT SELECT v FROM b) UNION ALL SELECT 'filter', v FROM a WHERE v % 2 = 0 UNION ALL SELECT 'added', v FROM (SELECT v FROM a UNION SELECT 77 UNION SELECT 78 UNION SELECT 79)""")
+def set_operations(t):
+    from .collection import Set
+
+    f = t("nation")
+    a, b = (Set(r[0] for r in f.where(w).select("n_regionkey").collect()) for w in ("n_nationkey < 12", "n_nationkey >= 20"))
+    more = Set(a.to_list())
+    more.add(77)
+    more.add_multi(78, 79)
+    out = {"union": a.union(b), "intersect": a.intersect(b), "difference": a.difference(b), "filter": a.filter(lambda v: v % 2 == 0), "added": more}
+    rows = [(op, v) for op, s in out.items() for v in s.to_list()]
+    return Frame.from_columns(f.sdf.sparkSession, {"op": [r[0] for r in rows], "v": [r[1] for r in rows]}).to_spark()
+
+
+@_query("SELECT 'bar' AS chart, (SELECT count(*) FROM nation) AS marks UNION ALL SELECT 'pie', (SELECT count(*) FROM nation WHERE n_nationkey > 0) UNION ALL SELECT 'scatter', (SELECT count(*) FROM nation) UNION ALL SELECT 'line', 3 UNION ALL SELECT 'heatmap', (SELECT 2 * count(*) FROM nation)")
+def chart_marks(t):
+    """How many marks each chart of the nations has: a line chart has its axes and two lines."""
+    f = t("nation").select("n_nationkey", "n_regionkey", "n_name")
+    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "chart.html")  # drawn and read by the driver alone
+    mark = {"bar": "<rect", "pie": "<path", "scatter": "<circle", "line": "<path", "heatmap": "<rect"}
+    draw = {
+        "bar": lambda: f.plot_bar("n_name", "n_nationkey", output_path=path), "pie": lambda: f.plot_pie("n_name", "n_nationkey", output_path=path), "scatter": lambda: f.plot_scatter("n_nationkey", "n_regionkey", output_path=path),
+        "line": lambda: f.plot_line("n_name", ["n_nationkey", "n_regionkey"], output_path=path), "heatmap": lambda: f.plot_heatmap(output_path=path),
+    }
+    marks = []
+    for name, fn in draw.items():
+        fn()
+        with open(path, encoding="utf-8") as page:
+            marks.append(page.read().count(mark[name]))
+    return Frame.from_columns(f.sdf.sparkSession, {"chart": list(draw), "marks": marks}).to_spark()

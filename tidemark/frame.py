@@ -447,8 +447,8 @@ class Frame:
 
     def apply(self, column: str, fn: Callable, returns=None) -> Frame:
         """``fn`` of each value. A function that takes and gives a Column stays in
-        the JVM; any other runs as an Arrow UDF of type ``returns`` (or of what
-        the first 100 rows suggest)."""
+        the JVM; any other runs as an Arrow UDF of type ``returns``, or else of
+        what all its values have in common, for which it runs once more."""
         self._need(column)
         try:
             out = fn(F.col(f"`{column}`"))
@@ -456,8 +456,11 @@ class Frame:
             out = None
         if not isinstance(out, Column):
             if returns is None:
-                returns = infer([fn(r[0]) for r in self._data().select(F.col(f"`{column}`")).limit(100).collect()])
-            out = F.udf(fn, resolve(returns), useArrow=True)(F.col(f"`{column}`"))
+                kind = F.udf(lambda v: kind_name(fn(v)), "string", useArrow=True)(F.col(f"`{column}`"))
+                returns = infer([KINDS[r[0]] for r in self._data().select(kind.alias("kind")).distinct().collect() if r[0] is not None])
+            kind = resolve(returns)
+            fix = float if kind == T.DoubleType() else lambda v: v
+            out = F.udf(lambda v: None if (x := fn(v)) is None else fix(x), kind, useArrow=True)(F.col(f"`{column}`"))
         return self.assign(column, out)
 
     def map(self, column: str, mapping: dict) -> Frame:
@@ -635,22 +638,25 @@ class Frame:
 
     # ------------------------------------------------------------ duplicates
 
-    def _duplicated(self, subset: list[str] | None, keep: str) -> Column:
+    def duplicated(self, subset: list[str] | None = None, keep: str = "first") -> Frame:
+        """The column ``duplicated`` for every row; nulls equal each other. An
+        aggregate finds the row that is kept of each value, and a join tells the
+        others, so a hot value is combined map-side and its rows are split."""
         subset = list(subset or self.columns)
         self._need(*subset)
-        by = Window.partitionBy(*[F.col(f"`{c}`") for c in subset])
-        if keep == "none":
-            return F.count(F.lit(1)).over(by) > 1
-        if keep not in ("first", "last"):
+        if keep not in ("first", "last", "none"):
             raise ValueError("keep must be first, last or none")
-        order = self._order_columns() if keep == "first" else [F.col(f"`{k}`").desc_nulls_first() for k in self.order]
-        return F.row_number().over(by.orderBy(*order)) > 1
-
-    def duplicated(self, subset: list[str] | None = None, keep: str = "first") -> Frame:
-        """The column ``duplicated`` for every row; nulls equal each other."""
         f = self._own_order()
-        flagged = f.sdf.withColumn("__dup", self._duplicated(subset, keep))
-        return f._with(flagged.select(*f._hidden(), F.col("__dup").alias("duplicated")), True)
+        place = F.struct(F.lit(0)) if keep == "none" else f._order_struct()
+        same = {c: f"__g{i}" for i, c in enumerate(subset)}
+        kept = (F.max if keep == "last" else F.min)(place).alias("__kept")
+        groups = f.sdf.groupBy(*[F.col(f"`{c}`").alias(g) for c, g in same.items()]).agg(kept, F.count(F.lit(1)).alias("__n"))
+        on = None
+        for c, g in same.items():
+            equal = F.col(f"`{c}`").eqNullSafe(F.col(g))
+            on = equal if on is None else on & equal
+        flag = F.col("__n") > 1 if keep == "none" else ~place.eqNullSafe(F.col("__kept"))
+        return f._with(f.sdf.join(groups, on).select(*f._hidden(), flag.alias("duplicated")), True)
 
     def drop_duplicates(self, subset: list[str] | None = None, keep: str = "first") -> Frame:
         """The first (or last) row by row order of each, or none of those that
@@ -773,10 +779,11 @@ class Frame:
     def categories(self, column: str) -> Frame:
         """(category, code), by code."""
         self._need(column)
-        place = self._order_struct()
-        first = self.sdf.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").cast("string").alias("category")).agg(F.min(place).alias("__first"))
-        # A window over the categories alone.
-        return Frame(first.select("category", (F.row_number().over(Window.orderBy("__first")) - 1).cast("int").alias("code")), ["code"], positioned="code")
+        first = self.sdf.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").cast("string").alias("category")).agg(F.min(self._order_struct()).alias("__first"))
+        keys = [f"__o{i}" for i in range(len(self.order))]
+        first = first.select("category", *[F.col(f"__first.`{k}`").alias(o) for k, o in zip(self.order, keys, strict=True)])
+        coded = plans.with_position(first, keys, "code")
+        return Frame(coded.select("category", F.col("code").cast("int").alias("code")), ["code"], positioned="code")
 
     # --------------------------------------------------------------- display
 

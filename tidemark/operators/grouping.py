@@ -77,20 +77,28 @@ class GroupBy:
 
     def apply(self, fn: Callable, schema: str | T.StructType):
         """``fn`` maps each group's rows, in row order, as a pandas frame to a
-        pandas frame of ``schema`` (or None for no rows)."""
+        pandas frame of ``schema`` (or None for no rows). Groups go by their keys,
+        their rows as ``fn`` gave them. A group is one task's work."""
         from ..frame import Frame
 
         keys, columns, by = self._frame.order, self._frame.columns, self._by
         kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        place = [T.StructField(f"__ga{i}", self._frame.schema[k].dataType) for i, k in enumerate(by)] + [T.StructField("__gn", T.LongType())]
 
         def run(rows):
             import pandas as pd
 
             out = fn((rows.sort_values(keys, kind="stable") if keys else rows)[columns].reset_index(drop=True))
-            return pd.DataFrame(columns=kind.names) if out is None else out[kind.names]
-
-        out = self._frame.sdf.groupBy(*by).applyInPandas(run, kind)
-        return Frame.from_table(out, order_by=[k for k in by if k in kind.names])
+            if out is None:
+                return pd.DataFrame(columns=[*kind.names, *[f.name for f in place]])
+            out = out[kind.names].reset_index(drop=True)
+            for i, k in enumerate(by):
+                value = rows[k].iloc[0]
+                out[f"__ga{i}"] = pd.Series([None if pd.isna(value) else value] * len(out), dtype=object)
+            return out.assign(__gn=range(len(out)))
+
+        out = self._frame.sdf.groupBy(*by).applyInPandas(run, T.StructType([*kind.fields, *place]))
+        return Frame(out, [f.name for f in place])
 
     def head(self, n: int = 1):
         """First ``n`` rows of each group by row order."""

@@ -8,6 +8,16 @@ from ..types import common, is_numeric
 from .grouping import aggregate
 
 PIVOT_FUNCTIONS = ("sum", "mean", "count", "min", "max")
+#: New columns that a pivot may make; a column with more values is an error.
+MAX_LEVELS = 10_000
+
+
+def _levels(values) -> list[str]:
+    """The distinct strings of a one-column DataFrame, if there aren't too many."""
+    found = [r[0] for r in values.distinct().limit(MAX_LEVELS + 1).collect()]
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"over {MAX_LEVELS} new columns")
+    return found
 
 
 def pivot_table(frame, index: list[str], columns: str, values: list[str], agg: str = "mean", fill: float | None = None, levels: list | None = None):
@@ -24,7 +34,7 @@ def pivot_table(frame, index: list[str], columns: str, values: list[str], agg: s
     frame._need(*index, columns, *values)
     level = F.col(f"`{columns}`").cast("string")
     if levels is None:
-        levels = [r[0] for r in frame._data().where(F.col(f"`{columns}`").isNotNull()).select(level.alias("l")).distinct().collect()]
+        levels = _levels(frame._data().where(F.col(f"`{columns}`").isNotNull()).select(level.alias("l")))
     levels = sorted(str(x) for x in levels)
     cells = []
     for v in values:
@@ -77,7 +87,7 @@ def unstack(frame, variables: list[str] | None = None):
     frame._need("index", "variable", "value")
     place = frame._order_struct()
     if variables is None:
-        variables = [r[0] for r in frame._data().where("variable IS NOT NULL").select("variable").distinct().collect()]
+        variables = _levels(frame._data().where("variable IS NOT NULL").select("variable"))
     cells = [F.max_by("value", F.when(F.col("variable") == v, place)).alias(v) for v in sorted(variables)]
     out = frame.sdf.groupBy(F.col("index").alias("__index")).agg(F.min(place).alias("__first"), *cells)
     return Frame(out, ["__first"], labels=True)

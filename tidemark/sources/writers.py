@@ -13,6 +13,17 @@ from ..types import family, is_integral
 from . import xlsx
 
 
+#: Rows of a text form, which the driver builds; more are an error.
+TEXT_ROWS = 1_000_000
+
+
+def _text_rows(sdf):
+    for i, row in enumerate(sdf.toLocalIterator()):
+        if i == TEXT_ROWS:
+            raise ValueError(f"over {TEXT_ROWS} rows; give a path")
+        yield row
+
+
 def _ordered(frame):
     sdf = frame.sdf.orderBy(*frame._order_columns()) if frame.order else frame.sdf
     return sdf.select(*[F.col(f"`{c}`") for c in frame.columns])
@@ -27,7 +38,7 @@ def to_csv(frame, path: str = "", sep: str = ",") -> str | None:
     writer = csv.writer(out, delimiter=sep, lineterminator="\n")
     writer.writerow(frame.columns)
     show = lambda v: "" if v is None else str(v).lower() if isinstance(v, bool) else v
-    for row in _ordered(frame).toLocalIterator():
+    for row in _text_rows(_ordered(frame)):
         writer.writerow([show(v) for v in row])
     return out.getvalue()
 
@@ -39,7 +50,7 @@ def to_json(frame, path: str = "") -> str | None:
         frame._data().write.mode("overwrite").option("ignoreNullFields", False).json(path)
         return None
     record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in frame.columns]), {"ignoreNullFields": "false"})
-    return json.dumps([json.loads(r[0]) for r in _ordered(frame).select(record).toLocalIterator()], ensure_ascii=False)
+    return json.dumps([json.loads(r[0]) for r in _text_rows(_ordered(frame).select(record))], ensure_ascii=False)
 
 
 def to_parquet(frame, path: str, null_mode: str = "keep") -> None:
