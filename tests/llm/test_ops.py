@@ -163,6 +163,37 @@ def test_near_dups(spark, near, empty):
     assert near_dedup.near_dups(empty).collect() == [] and near_dedup.keep_one(empty).collect() == []
 
 
+def test_group_pairs_in_small_blocks(monkeypatch):
+    """Frontiers and pairs cut small: all pairs of a group, or each row's nearest and first."""
+    rng = np.random.default_rng(5)
+    key = np.repeat(np.arange(3), (30, 60, 50))
+    noise = (rng.random((140, 64)) < 0.1).astype(np.uint64) @ (np.uint64(1) << np.arange(64, dtype=np.uint64))
+    fp = np.where(np.arange(140) < 30, rng.integers(0, 1 << 62, 140).astype(np.uint64), noise)
+    fp[35:40] = fp[34]
+    order = np.lexsort((fp, key))
+    fp, node = fp[order], np.arange(140) + 7
+    label = np.where(node % 5 == 0, 0, node)
+    want = {(i, j) for i in range(140) for j in range(i) if key[i] == key[j] and label[i] != label[j] and int(fp[i] ^ fp[j]).bit_count() <= 12}
+    monkeypatch.setattr(near_dedup, "FRONTIER", 4)
+    monkeypatch.setattr(near_dedup, "ROWS", 8)
+    for many in (1000, 0):
+        monkeypatch.setattr(near_dedup, "MANY", many)
+        got, thinned = set(), set()
+        for a, b, k in near_dedup.group_pairs(key, fp, node, label, 12):
+            got |= {(int(max(x, y)) - 7, int(min(x, y)) - 7) for x, y in zip(a, b, strict=True)}
+            thinned |= set(k.tolist())
+        if many:
+            assert got == want and not thinned
+            continue
+        assert thinned == {key[i] for i, _ in want} and got <= want
+        near = {}
+        for pair in want:
+            for x, y in (pair, pair[::-1]):
+                near.setdefault(x, []).append((int(fp[x] ^ fp[y]).bit_count(), y))
+        best = {(x, min(v)[1]) for x, v in near.items()} | {(x, min(y for _, y in v)) for x, v in near.items()}
+        assert got == {(max(p), min(p)) for p in best}
+
+
 def test_trie_finds_all_pairs():
     import numpy as np
 

@@ -13,7 +13,8 @@
 4. Components of the forests, by alternating stars, are the classes.
 
 Scale: steps 2 to 4 move fingerprints and ids, never texts. Groups of any size
-end up in tasks of at most ``GROUP`` rows; nothing is collected.
+end up in tasks of at most ``GROUP`` rows; nothing is collected. A task holds
+FRONTIER pairs of trie nodes and ROWS pairs of rows at once, however many there are.
 
 With ``sketches`` over 1, independent fingerprints link if any one of them does.
 
@@ -38,6 +39,7 @@ blocks of words. Columns of any names pass through ``keep_one`` but ``__id`` and
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,8 +57,10 @@ RADIUS, GROUP = 3, 2048
 FREE = 12
 #: Groups are joined together as long as the squares of their sizes sum to this.
 PAIRS = 1 << 22
-#: The same for candidates, of which the wide radius prunes few; and the rows taken at once.
+#: The same for candidates, of which the wide radius prunes few; and the rows, and pairs of rows, taken at once.
 CANDIDATES, ROWS = 1 << 18, 1 << 15
+#: Pairs of trie nodes held at once.
+FRONTIER = 1 << 15
 #: Of ``keep_one``: sketches, blocks of each, bits apart in a sketch of candidates, share of
 #: bits apart in all sketches beyond which texts can't be similar, and the similarity of copies.
 #: At 0.8 about 0.15 of the bits differ, give or take 0.009 (0.19 in texts of a few shingles).
@@ -116,33 +120,49 @@ def route(nodes: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFra
     return out
 
 
-def trie_pairs(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (a, b) of all pairs within ``radius`` bits inside the ranges
-    [lo, hi) of ``fp``; each range is sorted and without repeats. A trie node is
-    a range of one prefix; the frontier holds node pairs and their distance."""
-    found_a, found_b = [], []
-    f = (lo, hi, lo, hi, np.zeros(len(lo), np.int8))
-    for bit in range(63, -1, -1):
+def trie_blocks(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (a, b), in blocks, of all pairs within ``radius`` bits inside the
+    ranges [lo, hi) of ``fp``; the ranges follow one another, each sorted and
+    without repeats. A trie node is a range of one prefix; the frontier holds node
+    pairs and their distance. One of over FRONTIER pairs is halved and the halves
+    are worked through in turn, so memory doesn't grow with the pairs."""
+    if not len(lo):
+        return
+    origin = int(lo[0])
+    fp = fp[origin : int(hi[-1])]
+    lo, hi = (lo - origin).astype(np.int32), (hi - origin).astype(np.int32)
+    ones: dict[int, np.ndarray] = {}
+    todo = [(63, (lo, hi, lo, hi, np.zeros(len(lo), np.int8)))]
+    while todo:
+        bit, f = todo.pop()
+        half = len(f[0]) // 2
+        if len(f[0]) > FRONTIER:
+            todo += [(bit, tuple(x[half:] for x in f)), (bit, tuple(x[:half] for x in f))]
+            continue
         al, ah, bl, bh, d = f
         both = (ah - al == 1) & (bh - bl == 1)  # two leaves: compared at once
         if both.any():
             a, b = al[both], bl[both]
             near = (a != b) & (np.bitwise_count(fp[a] ^ fp[b]) <= radius)
-            found_a.append(a[near])
-            found_b.append(b[near])
-            f = al, ah, bl, bh, d = tuple(x[~both] for x in (al, ah, bl, bh, d))
+            if near.any():
+                yield a[near].astype(np.int64) + origin, b[near].astype(np.int64) + origin
+            al, ah, bl, bh, d = (x[~both] for x in f)
         if not len(al):
-            break
-        ones = np.concatenate([[0], np.cumsum((fp >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
-        am, bm = ah - (ones[ah] - ones[al]), bh - (ones[bh] - ones[bl])
+            continue
+        if bit not in ones:
+            ones[bit] = np.concatenate([[0], np.cumsum((fp >> np.uint64(bit)) & np.uint64(1), dtype=np.int32)]).astype(np.int32)
+        up = ones[bit]
+        am, bm = ah - (up[ah] - up[al]), bh - (up[bh] - up[bl])
         cross = al != bl
         children = [(al, am, bl, bm, d), (am, ah, bm, bh, d), (al, am, bm, bh, d + 1), tuple(x[cross] for x in (am, ah, bl, bm, d + 1))]
         alive = [(c[0] < c[1]) & (c[2] < c[3]) & (c[4] <= radius) for c in children]
-        f = tuple(np.concatenate([c[i][k] for c, k in zip(children, alive, strict=True)]) for i in range(5))
-    al, ah, bl, bh, d = f
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_a, found_b))
-    if len(al):  # all 64 bits were seen: leaves
-        a, b = np.concatenate([a, al[al != bl]]), np.concatenate([b, bl[al != bl]])
+        todo.append((bit - 1, tuple(np.concatenate([c[i][k] for c, k in zip(children, alive, strict=True)]) for i in range(5))))
+
+
+def trie_pairs(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """``trie_blocks`` in one."""
+    blocks = [(np.empty(0, np.int64),) * 2, *trie_blocks(fp, lo, hi, radius)]
+    a, b = (np.concatenate(x) for x in zip(*blocks, strict=True))
     return a, b
 
 
@@ -275,6 +295,20 @@ def tiles(nodes: DataFrame, full: DataFrame) -> DataFrame:
     return rows.select(F.explode(keys).alias("key"), "fp", "node", "label")
 
 
+def _row_pairs(a: np.ndarray, b: np.ndarray, start: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (x, y), x before y, of pairs (a, b) of runs of ``n`` rows from ``start``,
+    all with all, ROWS at a time."""
+    m = n[a] * n[b]
+    ends = np.cumsum(m)
+    for s in range(0, int(ends[-1]), ROWS):
+        at = np.arange(s, min(s + ROWS, int(ends[-1])))
+        pair = np.searchsorted(ends, at, side="right")
+        at -= (ends - m)[pair]
+        x, y = start[a[pair]] + at // n[b[pair]], start[b[pair]] + at % n[b[pair]]
+        told = (a != b)[pair] | (x < y)
+        yield np.minimum(x[told], y[told]), np.maximum(x[told], y[told])
+
+
 def group_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.ndarray, radius: int, every: np.ndarray | None = None, shingles: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(a, b), nodes of unlike label within ``radius`` bits in a run of equal keys,
     and the keys of groups with over MANY pairs a row: these give for each node its
@@ -288,38 +322,47 @@ def group_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.nda
     rows = np.add.reduceat(n, first)
     first, last, rows = first[rows > 1], last[rows > 1], rows[rows > 1]
     work = np.cumsum(rows.astype(np.int64) ** 2) // CANDIDATES
-    for w in np.unique(work):
-        lo, hi = first[work == w], last[work == w]
-        a, b = trie_pairs(f, lo, hi, radius)
+
+    def blocks(lo, hi):
         equal = np.concatenate([np.arange(x, y) for x, y in zip(lo, hi, strict=True)])
         equal = equal[n[equal] > 1]
-        a, b = np.concatenate([a, equal]), np.concatenate([b, equal])
-        m = n[a] * n[b]  # rows of equal fingerprints, all with all
-        pair = np.repeat(np.arange(len(a)), m)
-        at = np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)
-        x, y = start[a][pair] + at // n[b][pair], start[b][pair] + at % n[b][pair]
-        told = (label[x] != label[y]) & ((a != b)[pair] | (x < y))
-        x, y = np.minimum(x[told], y[told]), np.maximum(x[told], y[told])
-        if every is not None and len(x):
-            near = np.concatenate([_possible(every[x[i : i + ROWS]], every[y[i : i + ROWS]], np.minimum(shingles[x[i : i + ROWS]], shingles[y[i : i + ROWS]])) for i in range(0, len(x), ROWS)])
-            x, y = x[near], y[near]
-        if not len(x):
+        for a, b in itertools.chain(trie_blocks(f, lo, hi, radius), [(equal, equal)] if len(equal) else []):
+            for x, y in _row_pairs(a, b, start, n):
+                told = label[x] != label[y]
+                if told.any():
+                    yield x[told], y[told]
+
+    none = np.iinfo(np.int64).max
+    for w in np.unique(work):
+        lo, hi, size = first[work == w], last[work == w], rows[work == w]
+        if every is not None:
+            for x, y in blocks(lo, hi):
+                near = _possible(every[x], every[y], np.minimum(shingles[x], shingles[y]))
+                if near.any():
+                    yield node[x[near]], node[y[near]], key[:0]
             continue
-        group = np.searchsorted(start[lo], x, side="right") - 1
-        many = np.bincount(group, minlength=len(lo)) > MANY * rows[work == w]
-        if every is not None or not many.any():
-            yield node[x], node[y], key[:0]
+        origin = start[lo[0]]
+        nearest, least = (np.full(start[hi[-1] - 1] + n[hi[-1] - 1] - origin, none) for _ in range(2))
+        pairs, held = np.zeros(len(lo), np.int64), []
+        group_of = lambda x, starts=start[lo]: np.searchsorted(starts, x, side="right") - 1
+        for x, y in blocks(lo, hi):
+            group = group_of(x)
+            pairs += np.bincount(group, minlength=len(lo))
+            apart = np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64) << 32
+            for p, q in ((x, y), (y, x)):
+                np.minimum.at(nearest, p - origin, apart | q)
+                np.minimum.at(least, p - origin, q)
+            few = pairs[group] <= MANY * size[group]
+            held.append((x[few], y[few]))
+        if not held:
             continue
-        thin = many[group]
-        p, q = x[thin], y[thin]
-        p, q = np.concatenate([p, q]), np.concatenate([q, p])
-        near = np.bitwise_count(fp[p] ^ fp[q])
-        kept = []
-        for order in (np.lexsort((near, p)), np.lexsort((q, p))):
-            head = np.concatenate([[True], p[order][1:] != p[order][:-1]])
-            kept.append(order[head])
-        at = np.concatenate(kept)
-        yield node[np.concatenate([x[~thin], p[at]])], node[np.concatenate([y[~thin], q[at]])], key[start[lo]][many]
+        many = pairs > MANY * size
+        x, y = (np.concatenate(z) for z in zip(*held, strict=True))
+        few = ~many[group_of(x)]
+        p = np.flatnonzero(least < none)
+        p = p[many[group_of(p + origin)]]
+        x, y = np.concatenate([x[few], p + origin, p + origin]), np.concatenate([y[few], least[p], nearest[p] & 0xFFFFFFFF])
+        yield node[x], node[y], key[start[lo]][many]
 
 
 def _possible(a: np.ndarray, b: np.ndarray, shingles: np.ndarray) -> np.ndarray:
