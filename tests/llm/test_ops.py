@@ -165,6 +165,8 @@ def test_near_dups(spark, near, empty):
 
 def test_group_pairs_in_small_blocks(monkeypatch):
     """Frontiers and pairs cut small: all pairs of a group, or each row's nearest and first."""
+    import numpy as np
+
     rng = np.random.default_rng(5)
     key = np.repeat(np.arange(3), (30, 60, 50))
     noise = (rng.random((140, 64)) < 0.1).astype(np.uint64) @ (np.uint64(1) << np.arange(64, dtype=np.uint64))
