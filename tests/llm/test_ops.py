@@ -163,8 +163,8 @@ def test_near_dups(spark, near, empty):
     assert near_dedup.near_dups(empty).collect() == [] and near_dedup.keep_one(empty).collect() == []
 
 
-def test_group_pairs_in_small_blocks(monkeypatch):
-    """Frontiers and pairs cut small: all pairs of a group, or each row's nearest and first."""
+def _noisy_groups():
+    """Keys and fingerprints of three groups, one without near pairs, in order."""
     import numpy as np
 
     rng = np.random.default_rng(5)
@@ -172,28 +172,54 @@ def test_group_pairs_in_small_blocks(monkeypatch):
     noise = (rng.random((140, 64)) < 0.1).astype(np.uint64) @ (np.uint64(1) << np.arange(64, dtype=np.uint64))
     fp = np.where(np.arange(140) < 30, rng.integers(0, 1 << 62, 140).astype(np.uint64), noise)
     fp[35:40] = fp[34]
-    order = np.lexsort((fp, key))
-    fp, node = fp[order], np.arange(140) + 7
-    label = np.where(node % 5 == 0, 0, node)
-    want = {(i, j) for i in range(140) for j in range(i) if key[i] == key[j] and label[i] != label[j] and int(fp[i] ^ fp[j]).bit_count() <= 12}
+    return key, fp[np.lexsort((fp, key))]
+
+
+def test_group_pairs_in_small_blocks(monkeypatch):
+    """Frontiers and pairs cut small: all pairs of a group, or the key of a crowded one."""
+    import numpy as np
+
+    key, fp = _noisy_groups()
+    node = np.arange(140) + 7
+    want = {(i, j) for i in range(140) for j in range(i) if key[i] == key[j] and int(fp[i] ^ fp[j]).bit_count() <= 12}
     monkeypatch.setattr(near_dedup, "FRONTIER", 4)
     monkeypatch.setattr(near_dedup, "ROWS", 8)
-    for many in (1000, 0):
+    for many in (1000, 0, 15):
         monkeypatch.setattr(near_dedup, "MANY", many)
-        got, thinned = set(), set()
-        for a, b, k in near_dedup.group_pairs(key, fp, node, label, 12):
-            got |= {(int(max(x, y)) - 7, int(min(x, y)) - 7) for x, y in zip(a, b, strict=True)}
-            thinned |= set(k.tolist())
-        if many:
-            assert got == want and not thinned
-            continue
-        assert thinned == {key[i] for i, _ in want} and got <= want
-        near = {}
-        for pair in want:
-            for x, y in (pair, pair[::-1]):
-                near.setdefault(x, []).append((int(fp[x] ^ fp[y]).bit_count(), y))
-        best = {(x, min(v)[1]) for x, v in near.items()} | {(x, min(y for _, y in v)) for x, v in near.items()}
-        assert got == {(max(p), min(p)) for p in best}
+        got, crowded = [], set()
+        for a, b, k in near_dedup.group_pairs(key, fp, node, 12):
+            got += [(int(max(x, y)) - 7, int(min(x, y)) - 7) for x, y in zip(a, b, strict=True)]
+            crowded |= set(k.tolist())
+        assert crowded == {g for g in range(3) if sum(key[i] == g for i, _ in want) > many * (key == g).sum()}
+        assert sorted(got) == sorted(p for p in want if key[p[0]] not in crowded)
+    assert crowded and got  # the last bound parts the groups
+
+
+def test_crowd_forest(monkeypatch):
+    """The classes of all pairs within the radius and similar enough, in whatever lots and planes."""
+    import numpy as np
+
+    key, fp = _noisy_groups()
+    fp = fp[key == 1]
+    rng = random.Random(6)
+    sets = [sorted({rng.randrange(40) if rng.random() < 0.06 else 1000 * (i % 3) + k for k in range(rng.randint(18, 30))}) for i in range(58)] + [[5], []]
+    flat, bounds = np.array([v for x in sets for v in x]), np.cumsum([0, *map(len, sets)])
+    label, links = list(range(60)), 0
+    for i in range(60):
+        for j in range(i):
+            both, either = len(set(sets[i]) & set(sets[j])), len(set(sets[i]) | set(sets[j]))
+            if int(fp[i] ^ fp[j]).bit_count() <= 12 and both >= 0.8 * either:
+                links += 1
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert links > 60 - len(set(label)) > 0 and len(set(label)) > 4
+    for lot, plane, kept in ((1 << 12, 1 << 13, 1 << 29), (3, 64, 1 << 29), (7, 64, 0)):
+        monkeypatch.setattr(near_dedup, "LOT", lot)
+        monkeypatch.setattr(near_dedup, "PLANE", plane)
+        monkeypatch.setattr(near_dedup, "KEPT_BITS", kept)
+        a, b = near_dedup.crowd_forest(fp, flat, bounds, 12, 0.8)
+        assert len(a) == 60 - len(set(label))
+        got = near_dedup.forest(60, a, b)
+        assert got.tolist() == label
 
 
 def test_trie_finds_all_pairs():

@@ -22,9 +22,11 @@ With ``sketches`` over 1, independent fingerprints link if any one of them does.
 shingles (as 64-bit hashes) have a Jaccard similarity of 0.8 or more, or if such
 pairs connect them. Candidates share one of the four blocks of one of 24 sketches of distinct
 shingles, and the trie join of a group finds those within 12 bits. Each candidate
-is verified; groups with very many pairs (families of near copies) first give
-each node's nearest pairs, and then all pairs still unconnected whose sketches
-together are near enough, which the task of the group sees to. Simulated, a lone
+is verified. Where a group has few pairs a row they are handed on and verified once,
+however many groups found them. In a crowded group (a family of near copies) there
+would be pairs without end, so its rows get their sets of shingles instead: the task
+verifies all pairs but those that it has connected already, and hands on a spanning
+forest. Simulated, a lone
 pair of similarity 0.8 is a candidate with probability above 0.99 (0.96 where texts
 have four or five shingles), of 0.85 with practically 1. Texts equal in all 24
 sketches are one node.
@@ -59,6 +61,9 @@ FREE = 12
 PAIRS = 1 << 22
 #: The same for candidates, of which the wide radius prunes few; and the rows, and pairs of rows, taken at once.
 CANDIDATES, ROWS = 1 << 18, 1 << 15
+#: Of crowded groups: shingles held at once, pairs verified at once, shingles to a
+#: plane of bits, and bits that are kept from one lot of pairs to the next.
+SHINGLES, LOT, PLANE, KEPT_BITS = 1 << 22, 1 << 12, 1 << 13, 1 << 29
 #: Pairs of trie nodes held at once.
 FRONTIER = 1 << 15
 #: Of ``keep_one``: sketches, blocks of each, bits apart in a sketch of candidates, share of
@@ -67,8 +72,11 @@ FRONTIER = 1 << 15
 SKETCHES, BLOCKS, NEAR, FAR, SIMILAR = 24, 4, 12, 0.25, 0.8
 #: The share that holds between texts of this many shingles or more: five times 0.009 above 0.15.
 FAR_OF_LONG, LONG = 0.2, 64
-#: A group with more pairs a row than this is looked at again once its nearest pairs are joined.
-MANY = 8
+#: A group with more pairs a row than this is crowded. It decides where pairs are verified, not
+#: which: a pair that is handed on moves up to two rows' sketches and sets, a crowded row one set.
+MANY = 2
+#: So many shingles of a text weigh as much as a row when groups are cut into tiles.
+WEIGHT = 4096
 
 
 def fingerprint_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, sketches: int) -> DataFrame:
@@ -270,20 +278,22 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
-def _meet(nodes: DataFrame) -> DataFrame:
-    """(key, fp, node, label), once per sketch and block: fingerprints with equal
+def _meet(nodes: DataFrame, *more: str) -> DataFrame:
+    """(key, fp, node, ...), once per sketch and block: fingerprints with equal
     blocks meet under one key."""
-    each = nodes.select("node", "label", F.posexplode("fp").alias("sketch", "fp"))
+    each = nodes.select("node", *more, F.posexplode("fp").alias("sketch", "fp"))
     each = each.withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(BLOCKS)])))
     value = F.expr(f"shiftrightunsigned(fp, j * {64 // BLOCKS}) & {(1 << 64 // BLOCKS) - 1}L")
-    return each.select(F.xxhash64("sketch", "j", value).alias("key"), "fp", "node", "label")
+    return each.select(F.xxhash64("sketch", "j", value).alias("key"), "fp", "node", *more)
 
 
 def full_groups(nodes: DataFrame, group: int) -> DataFrame:
-    """(key, t): keys of more than about ``group`` rows, by a sample where there
-    are many, and the number of tiles to cut them into. This deals out work only."""
+    """(key, t): keys of more than about ``group`` rows, a long text counting as
+    several, by a sample where there are many; and the number of tiles to cut them
+    into. This deals out work only."""
     one_in = max(1, min(16, group // 128))
-    n = _meet(nodes.where(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0)).groupBy("key").agg((F.count(F.lit(1)) * one_in).alias("n"))
+    some = _meet(nodes.where(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0), "shingles")
+    n = some.groupBy("key").agg((F.sum(1 + F.floor(F.col("shingles") / WEIGHT)) * one_in).alias("n"))
     return materialise(n.where(F.col("n") > group).select("key", F.ceil(F.col("n") / (group / 2)).cast("int").alias("t")), "full-groups")
 
 
@@ -292,7 +302,7 @@ def tiles(nodes: DataFrame, full: DataFrame) -> DataFrame:
     tiles: any two rows of a group still meet, and no key gets many rows."""
     rows = _meet(nodes).join(full, "key", "left").withColumn("own", F.expr("CAST(pmod(xxhash64(node), t) AS INT)"))
     keys = F.expr("CASE WHEN t IS NULL THEN array(key) ELSE transform(sequence(0, t - 1), x -> xxhash64(key, least(own, x), greatest(own, x))) END")
-    return rows.select(F.explode(keys).alias("key"), "fp", "node", "label")
+    return rows.select(F.explode(keys).alias("key"), "fp", "node")
 
 
 def _row_pairs(a: np.ndarray, b: np.ndarray, start: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -309,123 +319,161 @@ def _row_pairs(a: np.ndarray, b: np.ndarray, start: np.ndarray, n: np.ndarray) -
         yield np.minimum(x[told], y[told]), np.maximum(x[told], y[told])
 
 
-def group_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.ndarray, radius: int, every: np.ndarray | None = None, shingles: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b), nodes of unlike label within ``radius`` bits in a run of equal keys,
-    and the keys of groups with over MANY pairs a row: these give for each node its
-    nearest and its first in order only. With ``every``, all sketches of each row,
-    and its ``shingles``, each group gives all pairs that these leave possible."""
-    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])]))  # equal fingerprints
+def _runs(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of rows in order of key and fp: the start and size of each run of equal
+    rows, and of each key with two rows or more the first run, the last and the rows."""
+    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])]))
     n = np.diff(np.concatenate([start, [len(key)]]))
-    k, f = key[start], fp[start]
+    k = key[start]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     last = np.concatenate([first[1:], [len(k)]])
     rows = np.add.reduceat(n, first)
-    first, last, rows = first[rows > 1], last[rows > 1], rows[rows > 1]
-    work = np.cumsum(rows.astype(np.int64) ** 2) // CANDIDATES
+    return start, n, first[rows > 1], last[rows > 1], rows[rows > 1]
+
+
+def _near_rows(fp: np.ndarray, start: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (x, y) within ``radius`` bits, in blocks, in the ranges [lo, hi) of runs."""
+    equal = np.concatenate([np.arange(x, y) for x, y in zip(lo, hi, strict=True)])
+    equal = equal[n[equal] > 1]
+    for a, b in itertools.chain(trie_blocks(fp[start], lo, hi, radius), [(equal, equal)] if len(equal) else []):
+        yield from _row_pairs(a, b, start, n)
 
-    def blocks(lo, hi):
-        equal = np.concatenate([np.arange(x, y) for x, y in zip(lo, hi, strict=True)])
-        equal = equal[n[equal] > 1]
-        for a, b in itertools.chain(trie_blocks(f, lo, hi, radius), [(equal, equal)] if len(equal) else []):
-            for x, y in _row_pairs(a, b, start, n):
-                told = label[x] != label[y]
-                if told.any():
-                    yield x[told], y[told]
 
-    none = np.iinfo(np.int64).max
+def group_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b), all nodes within ``radius`` bits in a run of equal keys, but of groups
+    with over MANY pairs a row the keys alone."""
+    start, n, first, last, rows = _runs(key, fp)
+    work = np.cumsum(rows.astype(np.int64) ** 2) // CANDIDATES
     for w in np.unique(work):
         lo, hi, size = first[work == w], last[work == w], rows[work == w]
-        if every is not None:
-            for x, y in blocks(lo, hi):
-                near = _possible(every[x], every[y], np.minimum(shingles[x], shingles[y]))
-                if near.any():
-                    yield node[x[near]], node[y[near]], key[:0]
-            continue
-        origin = start[lo[0]]
-        nearest, least = (np.full(start[hi[-1] - 1] + n[hi[-1] - 1] - origin, none) for _ in range(2))
-        pairs, held = np.zeros(len(lo), np.int64), []
-        group_of = lambda x, starts=start[lo]: np.searchsorted(starts, x, side="right") - 1
-        for x, y in blocks(lo, hi):
-            group = group_of(x)
+        pairs, held = np.zeros(len(lo), np.int64), [(np.empty(0, np.int64),) * 3]
+        for x, y in _near_rows(fp, start, n, lo, hi, radius):
+            group = np.searchsorted(start[lo], x, side="right") - 1
             pairs += np.bincount(group, minlength=len(lo))
-            apart = np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64) << 32
-            for p, q in ((x, y), (y, x)):
-                np.minimum.at(nearest, p - origin, apart | q)
-                np.minimum.at(least, p - origin, q)
             few = pairs[group] <= MANY * size[group]
-            held.append((x[few], y[few]))
-        if not held:
-            continue
+            held.append((x[few], y[few], group[few]))
+        x, y, group = (np.concatenate(z) for z in zip(*held, strict=True))
         many = pairs > MANY * size
-        x, y = (np.concatenate(z) for z in zip(*held, strict=True))
-        few = ~many[group_of(x)]
-        p = np.flatnonzero(least < none)
-        p = p[many[group_of(p + origin)]]
-        x, y = np.concatenate([x[few], p + origin, p + origin]), np.concatenate([y[few], least[p], nearest[p] & 0xFFFFFFFF])
-        yield node[x], node[y], key[start[lo]][many]
+        few = ~many[group]
+        yield node[x[few]], node[y[few]], key[start[lo]][many]
+
+
+def _planes(flat: np.ndarray, row: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """Bits (n rows, PLANE values) of the values that several rows hold, all of
+    them in turn. ``flat`` are the values of the rows, without repeats in a row."""
+    _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    column = (np.cumsum(shared) - 1)[at]
+    row, column = row[shared[at]], column[shared[at]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, int(shared.sum()), PLANE):
+        s, e = np.searchsorted(column, [lo, lo + PLANE])
+        bits = np.zeros((n, PLANE), bool)
+        bits[row[s:e], column[s:e] - lo] = True
+        yield np.packbits(bits, axis=1).view(np.uint64)
+
+
+def crowd_forest(fp: np.ndarray, flat: np.ndarray, bounds: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (row, row) of the rows of one group within ``radius`` bits
+    whose sets, flat[bounds[i]:bounds[i + 1]], are as similar as that. Pairs that
+    are connected by then aren't verified."""
+    start, n, lo, hi, _ = _runs(np.zeros(len(fp), np.int64), fp)
+    label, size = np.arange(len(fp)), np.diff(bounds)
+    row = np.repeat(label, size)
+    few = len(fp) * len(flat) <= KEPT_BITS
+    planes = None
+    for x, y in _near_rows(fp, start, n, lo, hi, radius) if len(lo) else ():
+        fit = np.minimum(size[x], size[y]) / np.maximum(np.maximum(size[x], size[y]), 1) >= similarity
+        x, y = x[fit], y[fit]
+        while len(x):
+            open_ = label[x] != label[y]
+            x, y = x[open_], y[open_]
+            p, q, x, y = x[:LOT], y[:LOT], x[LOT:], y[LOT:]
+            if planes is None and few:
+                planes = list(_planes(flat, row, len(fp)))
+            both = np.zeros(len(p), np.int64)
+            for bits in planes if few else _planes(flat, row, len(fp)):
+                both += np.bitwise_count(bits[p] & bits[q]).sum(axis=1, dtype=np.int64)
+            alike = both / np.maximum(size[p] + size[q] - both, 1) >= similarity
+            if alike.any():
+                label = forest(len(fp), np.concatenate([np.arange(len(fp)), p[alike]]), np.concatenate([label, q[alike]]))
+    child = np.flatnonzero(label != np.arange(len(fp)))
+    return child, label[child]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], full) -> Iterator[pa.Table]:
+    """The rows in parts that end with a group, each as soon as it is ``full``."""
+    parts = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts.append(batch)
+        if not full(parts):
+            continue
+        held = pa.Table.from_batches(parts).combine_chunks()
+        key = held["key"].to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
+        if cut:
+            yield held.slice(0, cut)
+        parts = held.slice(cut).to_batches()
+    if parts:
+        yield pa.Table.from_batches(parts).combine_chunks()
 
 
-def _possible(a: np.ndarray, b: np.ndarray, shingles: np.ndarray) -> np.ndarray:
-    """Whether all sketches (rows of a, of b) are near enough for similar texts."""
-    apart = np.bitwise_count(a ^ b).sum(axis=1)
-    return apart <= np.where(shingles >= LONG, FAR_OF_LONG, FAR) * 64 * a.shape[1]
+def _by_key(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*columns).repartition("key").sortWithinPartitions("key", F.expr("fp ^ (-9223372036854775808L)"))
 
 
 def candidates(rows: DataFrame, radius: int = NEAR) -> DataFrame:
-    """(a, b, key): ``group_pairs`` of the groups; the key alone of a thinned one.
-    Rows that bring all their sketches (``every``) are looked at whole."""
-    columns = [c for c in ("key", "fp", "node", "label", "every", "shingles") if c in rows.columns]
+    """(a, b, key): ``group_pairs`` of the groups; the key alone of a crowded one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def whole_rows(parts):
-            held = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            return [x.view(np.uint64) if c in ("fp", "every") else x for c, x in zip(columns, held, strict=True)]
-
-        def values(batch, c):
-            if c != "every":
-                return batch.column(c).to_numpy(zero_copy_only=False).copy()
-            return batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).copy()
-
-        def emit(held):
-            for a, b, thinned in group_pairs(*held[:4], radius, *held[4:]):
-                none = pa.nulls(len(thinned), pa.int64())
+        for held in _whole_groups(batches, lambda parts: sum(p.num_rows for p in parts) >= ROWS):
+            key, fp, node = (held[c].to_numpy() for c in ("key", "fp", "node"))
+            for a, b, crowded in group_pairs(key, fp.view(np.uint64), node, radius):
+                none = pa.nulls(len(crowded), pa.int64())
                 a, b = (pa.concat_arrays([pa.array(x), none]) for x in (np.minimum(a, b), np.maximum(a, b)))
-                yield pa.RecordBatch.from_arrays([a, b, pa.concat_arrays([pa.nulls(len(a) - len(thinned), pa.int64()), pa.array(thinned)])], ["a", "b", "key"])
+                yield pa.RecordBatch.from_arrays([a, b, pa.concat_arrays([pa.nulls(len(a) - len(crowded), pa.int64()), pa.array(crowded)])], ["a", "b", "key"])
 
-        parts, n = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            parts.append([values(batch, c) for c in columns])
-            n += batch.num_rows
-            if n < ROWS:
-                continue
-            held = whole_rows(parts)
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
-            if cut:
-                yield from emit([x[:cut] for x in held])
-            parts = [[x[cut:].view(np.int64).copy() for x in held]]
-            n = len(held[0]) - cut
-        if parts and n:
-            yield from emit(whole_rows(parts))
+    return _by_key(rows, "key", "fp", "node").mapInArrow(run, "a long, b long, key long")
 
-    rows = rows.select(*columns).repartition("key").sortWithinPartitions("key", F.expr("fp ^ (-9223372036854775808L)"))
-    return rows.mapInArrow(run, "a long, b long, key long")
 
+def crowd_links(rows: DataFrame, similarity: float, radius: int = NEAR) -> DataFrame:
+    """(a, b): ``crowd_forest`` of each group of ``rows`` (key, fp, node, shingles)."""
 
-def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, sketches: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles are as similar as that."""
-    of = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def full(parts):
+            return sum(p.num_rows for p in parts) >= ROWS or sum(len(p.column("shingles").flatten()) for p in parts) >= SHINGLES
+
+        for held in _whole_groups(batches, full):
+            key, fp, node = (held[c].to_numpy() for c in ("key", "fp", "node"))
+            lists = pa.concat_arrays(held["shingles"].chunks)
+            flat, bounds = lists.flatten().to_numpy(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for s, e in zip(start, [*start[1:], len(key)], strict=True):
+                x, y = crowd_forest(fp[s:e].view(np.uint64), flat[bounds[s] : bounds[e]], bounds[s : e + 1] - bounds[s], radius, similarity)
+                a.append(node[s:e][x])
+                b.append(node[s:e][y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return _by_key(rows, "key", "fp", "node", "shingles").mapInArrow(run, "a long, b long")
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, sketches: int) -> DataFrame:
+    """The pairs (a, b), once each, whose sketches together are near enough for similar texts."""
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}"), F.col("shingles").alias(f"n_{c}"))
     apart = F.expr(" + ".join(f"bit_count(fp_a[{i}] ^ fp_b[{i}])" for i in range(sketches)))
-    near = pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(apart <= FAR * 64 * sketches).select("a", "b")
-    near = materialise(near, "candidates")
-    need = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    asked = nodes.join(need, "node").select("node", F.col("least.id").alias("i"), F.col("least.th").alias("t"))
-    texts = docs.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("node", "text").dropDuplicates(["node"])
-    sets = materialise(_sets(texts, shingle), "shingles")
+    far = F.when(F.least("n_a", "n_b") >= LONG, FAR_OF_LONG).otherwise(FAR)
+    return pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(apart <= far * 64 * sketches).select("a", "b")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose ``sets`` (node, shingles) are as similar as that."""
     of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
-    both = near.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.size("s_a").alias("x"), F.size("s_b").alias("y"), F.size(F.array_intersect("s_a", "s_b")).alias("n"))
-    return materialise(both.where(F.col("n") / (F.col("x") + F.col("y") - F.col("n")) >= similarity).select("a", "b"), "similar")
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.size("s_a").alias("x"), F.size("s_b").alias("y"), F.size(F.array_intersect("s_a", "s_b")).alias("n"))
+    return both.where(F.col("n") / (F.col("x") + F.col("y") - F.col("n")) >= similarity).select("a", "b")
 
 
 def copies(docs: DataFrame, shingle: int, sketches: int, similarity: float, group: int) -> tuple[DataFrame, DataFrame]:
@@ -434,19 +482,17 @@ def copies(docs: DataFrame, shingle: int, sketches: int, similarity: float, grou
     rows = materialise(_sketches(docs, shingle, sketches).withColumn("node", F.xxhash64("fp")), "fingerprints")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("least")
     nodes = materialise(rows.groupBy("node", "fp").agg(least, F.min("shingles").alias("shingles")), "nodes")
-    alone = nodes.withColumn("label", F.col("node"))
-    full = full_groups(alone, group)
-    told = materialise(candidates(tiles(alone, full)), "pairs")
-    edges = similar(told.where("key IS NULL").select("a", "b"), nodes, docs, shingle, sketches, similarity)
+    full = full_groups(nodes, group)
+    told = materialise(candidates(tiles(nodes, full)), "pairs")
+    pairs = materialise(possible(told.where("key IS NULL").select("a", "b"), nodes, sketches), "candidates")
+    crowded = materialise(told.where("key IS NOT NULL").select("key").distinct(), "crowded")
+    crowds = materialise(tiles(nodes, full).join(crowded, "key", "left_semi"), "crowds")
+    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowds.select("node")).distinct()
+    asked = nodes.join(need, "node").select("node", F.col("least.id").alias("i"), F.col("least.th").alias("t"))
+    texts = docs.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("node", "text").dropDuplicates(["node"])
+    sets = materialise(_sets(texts, shingle), "shingles")
+    edges = similar(pairs, sets, similarity).unionByName(crowd_links(crowds.join(sets, "node"), similarity))
     found = materialise(components(edges), "components")
-    thinned = materialise(told.where("key IS NOT NULL").select("key").distinct(), "thinned")
-    if not thinned.isEmpty():
-        # What is joined by now needs no further look.
-        parts = nodes.join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        rest = tiles(parts, full).join(thinned, "key", "left_semi").join(nodes.select("node", F.col("fp").alias("every"), "shingles"), "node")
-        rest = candidates(rest).select("a", "b")
-        more = similar(rest, nodes, docs, shingle, sketches, similarity)
-        found = materialise(components(edges.unionByName(more)), "components")
     classes = nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     heads = classes.groupBy("component").agg(F.min("least").alias("head"))
     return rows.select("id", "th", "node"), classes.join(heads, "component").select("node", F.col("head.id").alias("head_id"), F.col("head.th").alias("head_th"))
