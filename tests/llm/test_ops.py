@@ -216,10 +216,11 @@ def test_crowd_forest(monkeypatch):
         monkeypatch.setattr(near_dedup, "LOT", lot)
         monkeypatch.setattr(near_dedup, "PLANE", plane)
         monkeypatch.setattr(near_dedup, "KEPT_BITS", kept)
-        a, b = near_dedup.crowd_forest(fp, flat, bounds, 12, 0.8)
+        a, b = near_dedup.crowd_forest(fp, np.arange(60) + 7, flat, bounds, 12, 0.8)
         assert len(a) == 60 - len(set(label))
-        got = near_dedup.forest(60, a, b)
-        assert got.tolist() == label
+        assert near_dedup.forest(60, a - 7, b - 7).tolist() == label
+        a, b = near_dedup.crowd_forest(fp, np.array(label) + 7, flat, bounds, 12, 0.8)  # all known
+        assert not len(a) and not len(b)
 
 
 def test_trie_finds_all_pairs():

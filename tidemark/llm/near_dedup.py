@@ -25,8 +25,9 @@ shingles, and the trie join of a group finds those within 12 bits. Each candidat
 is verified. Where a group has few pairs a row they are handed on and verified once,
 however many groups found them. In a crowded group (a family of near copies) there
 would be pairs without end, so its rows get their sets of shingles instead: the task
-verifies all pairs but those that it has connected already, and hands on a spanning
-forest. Simulated, a lone
+verifies all pairs but those that are connected already, and hands on a spanning
+forest; the groups of the first sketches go first, and of the others only those
+that hold several classes are looked at. Simulated, a lone
 pair of similarity 0.8 is a candidate with probability above 0.99 (0.96 where texts
 have four or five shingles), of 0.85 with practically 1. Texts equal in all 24
 sketches are one node.
@@ -75,6 +76,8 @@ FAR_OF_LONG, LONG = 0.2, 64
 #: A group with more pairs a row than this is crowded. It decides where pairs are verified, not
 #: which: a pair that is handed on moves up to two rows' sketches and sets, a crowded row one set.
 MANY = 2
+#: Sketches whose crowded groups go first; the others' groups skip what these connect.
+EARLY = 4
 #: So many shingles of a text weigh as much as a row when groups are cut into tiles.
 WEIGHT = 4096
 
@@ -279,12 +282,12 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _meet(nodes: DataFrame, *more: str) -> DataFrame:
-    """(key, fp, node, ...), once per sketch and block: fingerprints with equal
+    """(key, fp, node, sketch, ...), once per sketch and block: fingerprints with equal
     blocks meet under one key."""
     each = nodes.select("node", *more, F.posexplode("fp").alias("sketch", "fp"))
     each = each.withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(BLOCKS)])))
     value = F.expr(f"shiftrightunsigned(fp, j * {64 // BLOCKS}) & {(1 << 64 // BLOCKS) - 1}L")
-    return each.select(F.xxhash64("sketch", "j", value).alias("key"), "fp", "node", *more)
+    return each.select(F.xxhash64("sketch", "j", value).alias("key"), "fp", "node", "sketch", *more)
 
 
 def full_groups(nodes: DataFrame, group: int) -> DataFrame:
@@ -302,7 +305,7 @@ def tiles(nodes: DataFrame, full: DataFrame) -> DataFrame:
     tiles: any two rows of a group still meet, and no key gets many rows."""
     rows = _meet(nodes).join(full, "key", "left").withColumn("own", F.expr("CAST(pmod(xxhash64(node), t) AS INT)"))
     keys = F.expr("CASE WHEN t IS NULL THEN array(key) ELSE transform(sequence(0, t - 1), x -> xxhash64(key, least(own, x), greatest(own, x))) END")
-    return rows.select(F.explode(keys).alias("key"), "fp", "node")
+    return rows.select(F.explode(keys).alias("key"), "fp", "node", "sketch")
 
 
 def _row_pairs(a: np.ndarray, b: np.ndarray, start: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -374,20 +377,21 @@ def _planes(flat: np.ndarray, row: np.ndarray, n: int) -> Iterator[np.ndarray]:
         yield np.packbits(bits, axis=1).view(np.uint64)
 
 
-def crowd_forest(fp: np.ndarray, flat: np.ndarray, bounds: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest (row, row) of the rows of one group within ``radius`` bits
-    whose sets, flat[bounds[i]:bounds[i + 1]], are as similar as that. Pairs that
-    are connected by then aren't verified."""
+def crowd_forest(fp: np.ndarray, node: np.ndarray, flat: np.ndarray, bounds: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (node, least node) of the rows of one group within ``radius``
+    bits whose sets, flat[bounds[i]:bounds[i + 1]], are as similar as that. Rows of
+    one node are connected. Pairs that are connected by then aren't verified."""
     start, n, lo, hi, _ = _runs(np.zeros(len(fp), np.int64), fp)
-    label, size = np.arange(len(fp)), np.diff(bounds)
-    row = np.repeat(label, size)
+    names, of = np.unique(node, return_inverse=True)
+    label, size = np.arange(len(names)), np.diff(bounds)  # label: least position in names
+    row = np.repeat(np.arange(len(fp)), size)
     few = len(fp) * len(flat) <= KEPT_BITS
     planes = None
     for x, y in _near_rows(fp, start, n, lo, hi, radius) if len(lo) else ():
         fit = np.minimum(size[x], size[y]) / np.maximum(np.maximum(size[x], size[y]), 1) >= similarity
         x, y = x[fit], y[fit]
         while len(x):
-            open_ = label[x] != label[y]
+            open_ = label[of[x]] != label[of[y]]
             x, y = x[open_], y[open_]
             p, q, x, y = x[:LOT], y[:LOT], x[LOT:], y[LOT:]
             if planes is None and few:
@@ -397,9 +401,9 @@ def crowd_forest(fp: np.ndarray, flat: np.ndarray, bounds: np.ndarray, radius: i
                 both += np.bitwise_count(bits[p] & bits[q]).sum(axis=1, dtype=np.int64)
             alike = both / np.maximum(size[p] + size[q] - both, 1) >= similarity
             if alike.any():
-                label = forest(len(fp), np.concatenate([np.arange(len(fp)), p[alike]]), np.concatenate([label, q[alike]]))
-    child = np.flatnonzero(label != np.arange(len(fp)))
-    return child, label[child]
+                label = forest(len(names), np.concatenate([np.arange(len(names)), of[p[alike]]]), np.concatenate([label, of[q[alike]]]))
+    child = np.flatnonzero(label != np.arange(len(names)))
+    return names[child], names[label[child]]
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], full) -> Iterator[pa.Table]:
@@ -453,9 +457,9 @@ def crowd_links(rows: DataFrame, similarity: float, radius: int = NEAR) -> DataF
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for s, e in zip(start, [*start[1:], len(key)], strict=True):
-                x, y = crowd_forest(fp[s:e].view(np.uint64), flat[bounds[s] : bounds[e]], bounds[s : e + 1] - bounds[s], radius, similarity)
-                a.append(node[s:e][x])
-                b.append(node[s:e][y])
+                x, y = crowd_forest(fp[s:e].view(np.uint64), node[s:e], flat[bounds[s] : bounds[e]], bounds[s : e + 1] - bounds[s], radius, similarity)
+                a.append(x)
+                b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return _by_key(rows, "key", "fp", "node", "shingles").mapInArrow(run, "a long, b long")
@@ -491,8 +495,15 @@ def copies(docs: DataFrame, shingle: int, sketches: int, similarity: float, grou
     asked = nodes.join(need, "node").select("node", F.col("least.id").alias("i"), F.col("least.th").alias("t"))
     texts = docs.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("node", "text").dropDuplicates(["node"])
     sets = materialise(_sets(texts, shingle), "shingles")
-    edges = similar(pairs, sets, similarity).unionByName(crowd_links(crowds.join(sets, "node"), similarity))
+    early, late = crowds.where(F.col("sketch") < EARLY), crowds.where(F.col("sketch") >= EARLY)
+    edges = similar(pairs, sets, similarity).unionByName(crowd_links(early.join(sets, "node"), similarity))
     found = materialise(components(edges), "components")
+    late = materialise(late.join(found, "node", "left").withColumn("class", F.coalesce("component", "node")), "late-crowds")
+    several = late.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
+    late = late.join(several, "key", "left_semi").join(sets, "node").select("key", "fp", F.col("class").alias("node"), "shingles")
+    more = materialise(crowd_links(late, similarity), "late-links")
+    if not more.isEmpty():
+        found = materialise(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
     classes = nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     heads = classes.groupBy("component").agg(F.min("least").alias("head"))
     return rows.select("id", "th", "node"), classes.join(heads, "component").select("node", F.col("head.id").alias("head_id"), F.col("head.th").alias("head_th"))
