@@ -650,6 +650,44 @@ def test_keep_one_large_groups(spark):
         assert {r.doc_id for r in near_dedup.keep_one(table, group=group).collect()} == want
 
 
+def test_rows_of_full_groups_grow_with_the_family(spark):
+    """Doubling a family doubles the rows of its groups; who isn't in its class still meets everyone."""
+    made = []
+    for n in (64, 128):
+        nodes = spark.range(n).selectExpr("id AS node", "transform(sequence(1, 24), x -> shiftleft(7L, x)) AS fp", "100L AS shingles", "least(id, 3L) AS class")
+        full = near_dedup.full_groups(nodes, 16)
+        assert full.count() == 96
+        early = near_dedup.tiles(nodes.drop("class"), full)
+        assert early.groupBy("key").count().agg(F.max("count")).first()[0] <= 32
+        late = near_dedup.class_tiles(nodes, near_dedup.class_shares(nodes, full, 16)).collect()
+        made.append(early.count() + len(late))
+        meet = {}
+        for r in late:
+            meet.setdefault(r.key, set()).add(r.node)
+        assert max(map(len, meet.values())) <= 32
+        for i in range(3):
+            assert set().union(*(x for x in meet.values() if i in x)) == set(range(n))
+    assert made[1] < 2.2 * made[0]
+    one = nodes.withColumn("class", F.lit(0).cast("long"))
+    assert near_dedup.class_tiles(one, near_dedup.class_shares(one, full, 16)).isEmpty()
+
+
+def test_group_pairs_of_classes():
+    """Only pairs of different classes are handed on, and only they make a group crowded."""
+    import numpy as np
+
+    key, fp = _noisy_groups()
+    node, of = np.arange(140) + 7, np.where(key == 1, 5, np.arange(140) % 3)
+    want = {(i, j) for i in range(140) for j in range(i) if key[i] == key[j] and of[i] != of[j] and int(fp[i] ^ fp[j]).bit_count() <= 12}
+    got, crowded = set(), set()
+    for a, b, k in near_dedup.group_pairs(key, fp, node, 12, of):
+        got |= {(int(max(x, y)) - 7, int(min(x, y)) - 7) for x, y in zip(a, b, strict=True)}
+        crowded |= set(k.tolist())
+    assert 1 not in crowded
+    assert crowded == {g for g in range(3) if sum(key[i] == g for i, _ in want) > near_dedup.MANY * (key == g).sum()}
+    assert got == {p for p in want if key[p[0]] not in crowded}
+
+
 def test_keep_one_decides_per_row(spark):
     """Unrelated texts under one id are two documents."""
     docs = [(1, prose(1)), (1, prose(2)), (2, prose(2)), (None, prose(1)), (None, prose(3)), (3, prose(3)), (3, prose(3))]

@@ -26,8 +26,11 @@ is verified. Where a group has few pairs a row they are handed on and verified o
 however many groups found them. In a crowded group (a family of near copies) there
 would be pairs without end, so its rows get their sets of shingles instead: the task
 verifies all pairs but those that are connected already, and hands on a spanning
-forest; the groups of the first sketches go first, and of the others only those
-that hold several classes are looked at. Simulated, a lone
+forest. The groups of the first sketches go first, each row once in a group, so
+that families become classes; in the others only pairs of different classes count.
+There a group of over ``group`` rows is cut into tiles: rows of its largest class
+meet the others, not each other, so copies of rows grow with the largest class times
+the tiles of the others, and with the square of the others alone. Simulated, a lone
 pair of similarity 0.8 is a candidate with probability above 0.99 (0.96 where texts
 have four or five shingles), of 0.85 with practically 1. Texts equal in all 24
 sketches are one node.
@@ -76,7 +79,7 @@ FAR_OF_LONG, LONG = 0.2, 64
 #: A group with more pairs a row than this is crowded. It decides where pairs are verified, not
 #: which: a pair that is handed on moves up to two rows' sketches and sets, a crowded row one set.
 MANY = 2
-#: Sketches whose crowded groups go first; the others' groups skip what these connect.
+#: Sketches whose groups go first; the others' groups skip what these connect.
 EARLY = 4
 #: So many shingles of a text weigh as much as a row when groups are cut into tiles.
 WEIGHT = 4096
@@ -301,11 +304,34 @@ def full_groups(nodes: DataFrame, group: int) -> DataFrame:
 
 
 def tiles(nodes: DataFrame, full: DataFrame) -> DataFrame:
-    """``_meet``, each full group cut into tiles by node, and a key for every two
-    tiles: any two rows of a group still meet, and no key gets many rows."""
-    rows = _meet(nodes).join(full, "key", "left").withColumn("own", F.expr("CAST(pmod(xxhash64(node), t) AS INT)"))
-    keys = F.expr("CASE WHEN t IS NULL THEN array(key) ELSE transform(sequence(0, t - 1), x -> xxhash64(key, least(own, x), greatest(own, x))) END")
-    return rows.select(F.explode(keys).alias("key"), "fp", "node", "sketch")
+    """(key, fp, node) of the first sketches, each full group cut into tiles: no
+    key gets many rows and no row is copied, but rows of two tiles don't meet."""
+    rows = _meet(nodes).where(F.col("sketch") < EARLY).join(full, "key", "left")
+    own = F.expr("CASE WHEN t IS NULL THEN key ELSE xxhash64(key, pmod(xxhash64(key, node), t)) END")
+    return rows.select(own.alias("key"), "fp", "node")
+
+
+def class_shares(nodes: DataFrame, full: DataFrame, group: int) -> DataFrame:
+    """(key, main, tm, tr) of full groups of ``nodes`` with classes: the class of most
+    rows and the number of tiles to cut its rows and the others into (0 without others)."""
+    rows = _meet(nodes, "class", "shingles").join(full, "key")
+    n = rows.groupBy("key", "class").agg(F.sum(1 + F.floor(F.col("shingles") / WEIGHT)).alias("n"))
+    per = n.groupBy("key").agg(F.max(F.struct("n", "class")).alias("most"), F.sum("n").alias("n"))
+    of = lambda c: F.ceil(c / (group / 2)).cast("int")
+    return materialise(per.select("key", F.col("most.class").alias("main"), of(F.col("most.n")).alias("tm"), of(F.col("n") - F.col("most.n")).alias("tr")), "class-shares")
+
+
+def class_tiles(nodes: DataFrame, shares: DataFrame) -> DataFrame:
+    """(key, fp, node, class) such that any two rows of a group of the later sketches,
+    or of a full group of any, meet unless their class is the same: each tile of the
+    main class has a key with each of the others, and these with one another."""
+    rows = _meet(nodes, "class").join(shares, "key", "left").where((F.col("main").isNull() & (F.col("sketch") >= EARLY)) | (F.col("tr") > 0))
+    rows = rows.withColumn("own", F.expr("pmod(xxhash64(key, node), CASE WHEN class = main THEN tm ELSE tr END)"))
+    keys = F.expr("""CASE WHEN main IS NULL THEN array(key)
+        WHEN class = main THEN transform(sequence(0, tr - 1), x -> xxhash64(key, 'main', own, CAST(x AS BIGINT)))
+        ELSE concat(transform(sequence(0, tm - 1), x -> xxhash64(key, 'main', CAST(x AS BIGINT), own)),
+            transform(sequence(0, tr - 1), x -> xxhash64(key, 'others', least(own, x), greatest(own, x)))) END""")
+    return rows.select(F.explode(keys).alias("key"), "fp", "node", "class")
 
 
 def _row_pairs(a: np.ndarray, b: np.ndarray, start: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -342,15 +368,25 @@ def _near_rows(fp: np.ndarray, start: np.ndarray, n: np.ndarray, lo: np.ndarray,
         yield from _row_pairs(a, b, start, n)
 
 
-def group_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def group_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int, of: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(a, b), all nodes within ``radius`` bits in a run of equal keys, but of groups
-    with over MANY pairs a row the keys alone."""
+    with over MANY pairs a row the keys alone. With classes ``of`` the rows, pairs of
+    one class are none."""
+    if of is not None and len(key):
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        several = np.repeat(np.minimum.reduceat(of, at) != np.maximum.reduceat(of, at), np.diff([*at, len(key)]))
+        key, fp, node, of = key[several], fp[several], node[several], of[several]
+    if not len(key):
+        return
     start, n, first, last, rows = _runs(key, fp)
     work = np.cumsum(rows.astype(np.int64) ** 2) // CANDIDATES
     for w in np.unique(work):
         lo, hi, size = first[work == w], last[work == w], rows[work == w]
         pairs, held = np.zeros(len(lo), np.int64), [(np.empty(0, np.int64),) * 3]
         for x, y in _near_rows(fp, start, n, lo, hi, radius):
+            if of is not None:
+                open_ = of[x] != of[y]
+                x, y = x[open_], y[open_]
             group = np.searchsorted(start[lo], x, side="right") - 1
             pairs += np.bincount(group, minlength=len(lo))
             few = pairs[group] <= MANY * size[group]
@@ -430,17 +466,19 @@ def _by_key(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def candidates(rows: DataFrame, radius: int = NEAR) -> DataFrame:
-    """(a, b, key): ``group_pairs`` of the groups; the key alone of a crowded one."""
+    """(a, b, key): ``group_pairs`` of the groups; the key alone of a crowded one.
+    ``rows``: (key, fp, node), and class where pairs of one class are none."""
+    columns = ["key", "fp", "node", *(c for c in rows.columns if c == "class")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _whole_groups(batches, lambda parts: sum(p.num_rows for p in parts) >= ROWS):
-            key, fp, node = (held[c].to_numpy() for c in ("key", "fp", "node"))
-            for a, b, crowded in group_pairs(key, fp.view(np.uint64), node, radius):
+            key, fp, node, *of = (held[c].to_numpy() for c in columns)
+            for a, b, crowded in group_pairs(key, fp.view(np.uint64), node, radius, *of):
                 none = pa.nulls(len(crowded), pa.int64())
                 a, b = (pa.concat_arrays([pa.array(x), none]) for x in (np.minimum(a, b), np.maximum(a, b)))
                 yield pa.RecordBatch.from_arrays([a, b, pa.concat_arrays([pa.nulls(len(a) - len(crowded), pa.int64()), pa.array(crowded)])], ["a", "b", "key"])
 
-    return _by_key(rows, "key", "fp", "node").mapInArrow(run, "a long, b long, key long")
+    return _by_key(rows, *columns).mapInArrow(run, "a long, b long, key long")
 
 
 def crowd_links(rows: DataFrame, similarity: float, radius: int = NEAR) -> DataFrame:
@@ -480,6 +518,25 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.col("n") / (F.col("x") + F.col("y") - F.col("n")) >= similarity).select("a", "b")
 
 
+def _links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, sets: DataFrame | None, shingle: int, sketches: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) that connect the similar pairs of the groups of ``rows``, as ``candidates``
+    takes them; and the sets (node, shingles) known by now, ``sets`` before."""
+    told = materialise(candidates(rows), "pairs")
+    pairs = materialise(possible(told.where("key IS NULL").select("a", "b"), nodes, sketches), "candidates")
+    crowded = materialise(told.where("key IS NOT NULL").select("key").distinct(), "crowded")
+    crowds = materialise(rows.join(crowded, "key", "left_semi"), "crowds")
+    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowds.select("node")).distinct()
+    if sets is not None:
+        need = need.join(sets.select("node"), "node", "left_anti")
+    asked = nodes.join(need, "node").select("node", F.col("least.id").alias("i"), F.col("least.th").alias("t"))
+    texts = docs.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("node", "text").dropDuplicates(["node"])
+    new = materialise(_sets(texts, shingle), "shingles")
+    sets = new if sets is None else sets.unionByName(new)
+    name = F.col("class" if "class" in rows.columns else "node")
+    crowds = crowds.join(sets, "node").select("key", "fp", name.alias("node"), "shingles")
+    return materialise(similar(pairs, sets, similarity).unionByName(crowd_links(crowds, similarity)), "links"), sets
+
+
 def copies(docs: DataFrame, shingle: int, sketches: int, similarity: float, group: int) -> tuple[DataFrame, DataFrame]:
     """For ``docs`` (id, th, text): (id, th, node) of its rows, and (node, id, th)
     with the least row that the node reaches by similar pairs."""
@@ -487,23 +544,12 @@ def copies(docs: DataFrame, shingle: int, sketches: int, similarity: float, grou
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("least")
     nodes = materialise(rows.groupBy("node", "fp").agg(least, F.min("shingles").alias("shingles")), "nodes")
     full = full_groups(nodes, group)
-    told = materialise(candidates(tiles(nodes, full)), "pairs")
-    pairs = materialise(possible(told.where("key IS NULL").select("a", "b"), nodes, sketches), "candidates")
-    crowded = materialise(told.where("key IS NOT NULL").select("key").distinct(), "crowded")
-    crowds = materialise(tiles(nodes, full).join(crowded, "key", "left_semi"), "crowds")
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowds.select("node")).distinct()
-    asked = nodes.join(need, "node").select("node", F.col("least.id").alias("i"), F.col("least.th").alias("t"))
-    texts = docs.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("node", "text").dropDuplicates(["node"])
-    sets = materialise(_sets(texts, shingle), "shingles")
-    early, late = crowds.where(F.col("sketch") < EARLY), crowds.where(F.col("sketch") >= EARLY)
-    edges = similar(pairs, sets, similarity).unionByName(crowd_links(early.join(sets, "node"), similarity))
-    found = materialise(components(edges), "components")
-    late = materialise(late.join(found, "node", "left").withColumn("class", F.coalesce("component", "node")), "late-crowds")
-    several = late.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
-    late = late.join(several, "key", "left_semi").join(sets, "node").select("key", "fp", F.col("class").alias("node"), "shingles")
-    more = materialise(crowd_links(late, similarity), "late-links")
-    if not more.isEmpty():
-        found = materialise(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
+    early, sets = _links(docs, nodes, tiles(nodes, full), None, shingle, sketches, similarity)
+    found = materialise(components(early), "components")
+    classed = materialise(nodes.join(found, "node", "left").select(*nodes.columns, F.coalesce("component", "node").alias("class")), "classes")
+    late, _ = _links(docs, nodes, class_tiles(classed, class_shares(classed, full, group)), sets, shingle, sketches, similarity)
+    if not late.isEmpty():
+        found = materialise(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late)), "components")
     classes = nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     heads = classes.groupBy("component").agg(F.min("least").alias("head"))
     return rows.select("id", "th", "node"), classes.join(heads, "component").select("node", F.col("head.id").alias("head_id"), F.col("head.th").alias("head_th"))
