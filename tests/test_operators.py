@@ -145,6 +145,45 @@ def test_bucketed_windows_equal_plain_ones(spark, monkeypatch, size, cases):
     assert [r.k for r in with_position(table, ["s", "k"], "p", size).orderBy("p").collect()] == [r[0] for r in two.collect()]
 
 
+@pytest.mark.parametrize("last", [True, False])
+@pytest.mark.parametrize("up", [True, False])
+def test_sort_keys_of_every_kind(spark, up, last):
+    """Sorted rows against Spark's own sort; positions over many buckets against both."""
+    from pyspark.sql import functions as F
+
+    from tidemark.plans.order import with_position
+
+    columns = {
+        "b": "tinyint(-128), tinyint(127), tinyint(0)", "l": "-9223372036854775808, 9223372036854775807, 0L", "d": "double('NaN'), double('-Infinity'), -0.0D, 0.5D, double('Infinity')", "f": "float('NaN'), float(-1)",
+        "s": "'', 'a', 'ab', 'b', 'é', 'Z', '\\u0000', '日本'", "x": "X'', X'00', X'0001', X'FF'", "t": "true, false", "n": "1.10BD, -2.50BD, 0.00BD", "day": "DATE'1960-01-01', DATE'2024-02-29'", "at": "TIMESTAMP'1969-12-31 23:59:59.999999', TIMESTAMP'2024-03-31 02:30:00.5'", "ntz": "TIMESTAMP_NTZ'1960-01-01 00:00:00.000001', TIMESTAMP_NTZ'2024-10-27 02:30:00'",
+    }
+    rows = spark.range(60).repartition(3)
+    for i, (name, values) in enumerate(columns.items()):
+        rows = rows.withColumn(name, F.expr(f"element_at(array({values}, NULL), CAST(pmod(hash(id, {i}), size(array({values}, NULL))) AS INT) + 1)"))
+    rows = rows.localCheckpoint()
+    f = Frame.from_table(rows, ["id"])
+    for name in columns:
+        c = F.col(name)
+        key = (c.asc_nulls_last() if last else c.asc_nulls_first()) if up else (c.desc_nulls_last() if last else c.desc_nulls_first())
+        want = [r[0] for r in rows.orderBy(key, "id").collect()]
+        g = f.sort_values(name, up, "last" if last else "first")
+        assert [r[0] for r in g.to_spark().select("id").collect()] == want, name
+        if name in ("d", "s"):
+            assert [r[0] for r in with_position(g.sdf, g.order, "p", 20).orderBy("p").collect()] == want, name
+
+
+def test_order_of_a_sort_is_made_of_values(spark):
+    """Row numbers of a sorted plan change from one evaluation to the next, and positions of many rows evaluate it more than once."""
+    from pyspark.sql import functions as F
+
+    f = Frame.from_table(spark.range(2000).repartition(4).withColumn("v", F.expr("id % 7")), ["id"])
+    for g in (f.sort_values("v", False), f.set_index("v").sort_index(False)):
+        assert "monotonically_increasing_id" not in g.sdf._jdf.queryExecution().toString()
+    again = f.sort_values("v", False, ignore_index=True).filter("v", "<", 5)
+    again = again.with_positions()[0].sort_values("id").sort_values("v")
+    assert [r[1] for r in again.collect()] == sorted(r[1] for r in f.collect() if r[1] < 5) and again.head(2).index() == ["1714", "1715"]
+
+
 def test_sort(spark):
     f = make(spark, Name=["Charlie", None, "Alice", "Bob"], Score=[85.0, 70.0, 95.0, None])
     assert [r[1] for r in f.sort_values("Score").collect()] == [70, 85, 95, None] and [r[1] for r in f.sort_values("Score", False).collect()] == [95, 85, 70, None]

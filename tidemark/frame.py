@@ -23,6 +23,8 @@ from .plans import order as plans
 from .types import KINDS, check, common, dtype_name, family, infer, is_integral, is_numeric, kind_name, resolve
 
 POS, INDEX = plans.POS, "__index"
+#: How the order keys that a sort makes begin.
+SORT = "__sort"
 OPS = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
 
 
@@ -97,16 +99,16 @@ class Frame:
         origin = self._origin or (None if rows_kept or not self.order else (self, self.order))
         return Frame(sdf, self.order, self._labels, self._positioned if rows_kept else None, origin, self._parts)
 
-    def _moved(self, key: str, sdf: DataFrame) -> Frame:
-        """``sdf``, made of this frame's rows, in the new order ``key``; old hidden
+    def _moved(self, keys: list[str], sdf: DataFrame) -> Frame:
+        """``sdf``, made of this frame's rows, in the new order ``keys``; old hidden
         keys stay only as far as labels need them."""
         origin = self._origin or ((self, self.order) if self.order else None)
         if self._labels or origin is None:
-            return Frame(sdf.drop(*[k for k in self.order if k.startswith("__")]), [key], self._labels)
+            return Frame(sdf.drop(*[k for k in self.order if k.startswith("__")]), keys, self._labels)
         names = [f"__l{i}" for i in range(len(origin[1]))]
         old = {*origin[1], *names, *[k for k in self.order if k.startswith("__")], POS}
         kept = [F.col(f"`{c}`") for c in sdf.columns if c not in old or not c.startswith("__")]
-        return Frame(sdf.select(*kept, *[F.col(f"`{k}`").alias(n) for k, n in zip(origin[1], names, strict=True)]), [key], origin=(origin[0], names))
+        return Frame(sdf.select(*kept, *[F.col(f"`{k}`").alias(n) for k, n in zip(origin[1], names, strict=True)]), keys, origin=(origin[0], names))
 
     def _need(self, *columns: str) -> None:
         if missing := [c for c in columns if c not in self.columns]:
@@ -271,7 +273,7 @@ class Frame:
         # The list comes from the caller's memory: its broadcast is as large as that.
         asked = self.sdf.sparkSession.createDataFrame([(i, v) for i, v in enumerate(wanted)], f"__ord long, __want {kind}")
         own = self._own_order()
-        out = own._moved("__ord", own.sdf.drop("__ord").join(F.broadcast(asked), F.col(f"`{key}`") == F.col("__want")).drop("__want"))
+        out = own._moved(["__ord"], own.sdf.drop("__ord").join(F.broadcast(asked), F.col(f"`{key}`") == F.col("__want")).drop("__want"))
         return Frame(out.sdf, out.order, out._labels, "__ord", out._origin)
 
     def set_index(self, labels: list[str] | str) -> Frame:
@@ -634,7 +636,7 @@ class Frame:
         self._order_columns()
         f = self._own_order()
         drawn = f.sdf.withColumn("__draw", F.struct(F.xxhash64(F.lit(seed), *[F.col(k) for k in f.order]), *[F.col(k) for k in f.order]))
-        return f._moved("__draw", drawn.orderBy("__draw").limit(n))
+        return f._moved(["__draw"], drawn.orderBy("__draw").limit(n))
 
     # ------------------------------------------------------------ duplicates
 
@@ -723,23 +725,25 @@ class Frame:
         if na_position not in ("first", "last"):
             raise ValueError("na_position must be first or last")
         up = up * len(by) if len(up) == 1 else up
-        keys = []
         f = self._own_order()
-        for c, a in zip(by, up, strict=True):
-            x = F.col(f"`{c}`")
-            keys.append((x.asc_nulls_last() if na_position == "last" else x.asc_nulls_first()) if a else (x.desc_nulls_last() if na_position == "last" else x.desc_nulls_first()))
-        return f._sorted(keys, not ignore_index)
+        last = na_position == "last"
+        return f._sorted([k for c, a in zip(by, up, strict=True) for k in plans.ascending(F.col(f"`{c}`"), f.schema[c].dataType, a, last)], not ignore_index)
 
     def _sorted(self, keys: list[Column], labels: bool) -> Frame:
-        """Sorted globally (a range exchange); the order is kept as per-partition
-        ids, which follow it, when the frame is used further."""
-        out = self.sdf.orderBy(*keys, *self._order_columns()).withColumn("__sorted_by", F.monotonically_increasing_id())
-        moved = self._moved("__sorted", out.drop("__sorted").withColumnRenamed("__sorted_by", "__sorted")) if "__sorted" not in self.order else self._moved("__sorted2", out.drop("__sorted2").withColumnRenamed("__sorted_by", "__sorted2"))
+        """The order becomes these keys, which ascend, and the old order's behind
+        them. They are values of the row: numbers of sorted rows would differ from one
+        evaluation of a plan to the next. ``to_spark`` sorts by them globally."""
+        self._order_columns()
+        # Keys of sorts before are still read, by the order or to join labels.
+        used = [*self.order, *(self._origin[1] if self._origin else [])]
+        tag = next(t for t in (f"{SORT}{i}_" for i in range(3)) if not any(k.startswith(t) for k in used))
+        new = {f"{tag}{i}": k for i, k in enumerate([*keys, *[F.col(f"`{k}`") for k in self.order]])}
+        moved = self._moved(list(new), self.sdf.drop(*new).select("*", *[k.alias(n) for n, k in new.items()]))
         return moved if labels else Frame(moved.sdf.drop(INDEX), moved.order)
 
     def sort_index(self, ascending: bool = True) -> Frame:
         f = self._own_order().with_labels()
-        return f._sorted([F.col(INDEX).asc_nulls_last() if ascending else F.col(INDEX).desc_nulls_last()], True)
+        return f._sorted(plans.ascending(F.col(INDEX), T.StringType(), ascending, True), True)
 
     def topk(self, by: list[str], k: int, ascending: bool | list[bool] = False) -> Frame:
         """The first ``k`` rows of a sort: a bounded heap per task, no full sort."""
@@ -815,8 +819,10 @@ class Frame:
         return [tuple(r) for r in sdf.select(*[F.col(f"`{c}`") for c in self.columns]).collect()]
 
     def to_spark(self) -> DataFrame:
-        """The data columns as a DataFrame."""
-        return self._data()
+        """The data columns as a DataFrame, sorted if the frame's order is a sort's."""
+        if not (self.order and self.order[0].startswith(SORT)):
+            return self._data()
+        return self.sdf.orderBy(*self._order_columns()).select(*[F.col(f"`{c}`") for c in self.columns])
 
     def series(self, column: str):
         from .series import Series

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a bucket; buckets and sampled keys per bucket at most.
 BUCKET_ROWS, MAX_BUCKETS, SAMPLE = 1_000_000, 4096, 32
@@ -19,6 +20,33 @@ CASES = 64
 POS, BUCKET = "__pos", "__bucket"
 
 
+def ascending(c: Column, kind: T.DataType, up: bool = True, last: bool = True) -> list[Column]:
+    """Keys whose ascending order is that of ``c``, up or down, with its nulls last
+    or first: the first tells nulls, so that structs of them compare alike."""
+    null = c.isNull() if last else c.isNotNull()
+    if up:
+        return [null, c]
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        nan = F.isnan(c)  # the greatest, and so is its negative
+        return [null, ~nan, F.when(~nan, -c)]
+    if isinstance(kind, T.IntegralType):
+        return [null, F.bitwise_not(c)]  # the negative of the least would overflow
+    if isinstance(kind, T.BooleanType):
+        return [null, ~c]
+    if isinstance(kind, (T.DecimalType, T.DayTimeIntervalType, T.YearMonthIntervalType)):
+        return [null, -c]
+    if isinstance(kind, T.DateType):
+        return [null, -F.unix_date(c)]
+    if isinstance(kind, T.TimestampType):
+        return [null, -F.unix_micros(c)]
+    if isinstance(kind, T.TimestampNTZType):
+        return [null, F.lit("1970-01-01").cast(kind) - c]
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        # The bytes' digits turned round; the end is above any, so a prefix comes after.
+        return [null, F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))]
+    raise TypeError(f"no descending order of {kind.simpleString()}")
+
+
 def splitters(df: DataFrame, keys: list[str], bucket_rows: int = BUCKET_ROWS) -> list[tuple]:
     """Keys at about every ``bucket_rows`` rows; none if one bucket is enough."""
     n = df.count()

@@ -32,7 +32,7 @@ def _ordered(frame):
 def to_csv(frame, path: str = "", sep: str = ",") -> str | None:
     """Header and rows, cells quoted where needed, null as an empty cell."""
     if path:
-        frame._data().write.mode("overwrite").options(header=True, sep=sep, nullValue="", emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+        frame.to_spark().write.mode("overwrite").options(header=True, sep=sep, nullValue="", emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
         return None
     out = io.StringIO()
     writer = csv.writer(out, delimiter=sep, lineterminator="\n")
@@ -47,7 +47,7 @@ def to_json(frame, path: str = "") -> str | None:
     """Records with their columns in order and null kept; lines in files, one
     array as text."""
     if path:
-        frame._data().write.mode("overwrite").option("ignoreNullFields", False).json(path)
+        frame.to_spark().write.mode("overwrite").option("ignoreNullFields", False).json(path)
         return None
     record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in frame.columns]), {"ignoreNullFields": "false"})
     return json.dumps([json.loads(r[0]) for r in _text_rows(_ordered(frame).select(record))], ensure_ascii=False)
@@ -59,7 +59,7 @@ def to_parquet(frame, path: str, null_mode: str = "keep") -> None:
         raise ValueError("no columns")
     if null_mode not in ("keep", "zero"):
         raise ValueError("null_mode must be keep or zero")
-    out = frame._data()
+    out = frame.to_spark()
     if null_mode == "zero":
         zero = {"number": 0, "bool": False}
         cells = []
