@@ -184,6 +184,22 @@ def test_order_of_a_sort_is_made_of_values(spark):
     assert [r[1] for r in again.collect()] == sorted(r[1] for r in f.collect() if r[1] < 5) and again.head(2).index() == ["1714", "1715"]
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_joined_sorts_have_one_position_a_row(spark, monkeypatch, how):
+    """Positions over many buckets, where each bucket's rows and the rows before it come from two evaluations of the plan."""
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import order
+
+    left = Frame.from_table(spark.range(3000).repartition(5).selectExpr("id AS a", "id % 97 AS k", "hash(id) % 1000 AS v"), ["a"]).sort_values("v", False)
+    right = Frame.from_table(spark.range(80, 120).selectExpr("id AS k", "id AS b", "hash(id) % 5 AS w"), ["b"]).sort_values("w")
+    joined = left.merge_on(right, ["k"], how)
+    plain = joined.collect()
+    out = order.with_position(joined.sdf, joined.order, "p", 100)
+    assert sorted(r.p for r in out.select("p").collect()) == list(range(len(plain)))
+    assert [tuple(r) for r in out.orderBy("p").select(*[F.col(c) for c in joined.columns]).collect()] == plain
+
+
 def test_sort(spark):
     f = make(spark, Name=["Charlie", None, "Alice", "Bob"], Score=[85.0, 70.0, 95.0, None])
     assert [r[1] for r in f.sort_values("Score").collect()] == [70, 85, 95, None] and [r[1] for r in f.sort_values("Score", False).collect()] == [95, 85, 70, None]
