@@ -145,6 +145,21 @@ def test_bucketed_windows_equal_plain_ones(spark, monkeypatch, size, cases):
     assert [r.k for r in with_position(table, ["s", "k"], "p", size).orderBy("p").collect()] == [r[0] for r in two.collect()]
 
 
+def test_thousands_of_splitters_stay_a_small_plan(spark):
+    """A plan node a splitter made planning take minutes at some thousand buckets."""
+    from tidemark.plans import order
+
+    table = spark.range(0, 9000, 3).repartition(4).selectExpr("id", "hash(id) % 100 AS v", "IF(id % 5 = 0, NULL, CAST(id % 7 AS STRING)) AS s", "CAST(id AS DECIMAL(9, 2)) / 10 AS n", "TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, 0, 0, id) AS at").localCheckpoint()
+    for keys in (["id"], ["s", "n"], ["at"]):
+        cuts = order.splitters(table, keys, 2)
+        parted = order.bucketed(table, keys, cuts)
+        assert len(cuts) > 1000 and parted._jdf.queryExecution().analyzed().toString().count("named_struct") < 50
+        rows = parted.orderBy(*[parted[k].asc_nulls_last() for k in keys]).collect()
+        assert [r[order.BUCKET] for r in rows] == sorted(r[order.BUCKET] for r in rows) and len({r[order.BUCKET] for r in rows}) > 1000
+    f = Frame.from_table(table.select("id", "v"), ["id"])
+    assert f.cumsum(2).collect() == f.cumsum().collect()
+
+
 @pytest.mark.parametrize("last", [True, False])
 @pytest.mark.parametrize("up", [True, False])
 def test_sort_keys_of_every_kind(spark, up, last):

@@ -9,6 +9,8 @@ needs of those before it comes from one row per bucket.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,7 @@ from pyspark.sql import types as T
 BUCKET_ROWS, MAX_BUCKETS, SAMPLE = 1_000_000, 4096, 32
 #: Splitters that are searched by generated code.
 CASES = 64
-POS, BUCKET = "__pos", "__bucket"
+POS, BUCKET, PLACE = "__pos", "__bucket", "__place"
 
 
 def ascending(c: Column, kind: T.DataType, up: bool = True, last: bool = True) -> list[Column]:
@@ -60,15 +62,16 @@ def splitters(df: DataFrame, keys: list[str], bucket_rows: int = BUCKET_ROWS) ->
     return list(dict.fromkeys(cuts))
 
 
-def bucket_of(df: DataFrame, keys: list[str], cuts: list[tuple]) -> Column:
-    """Number of splitters at or before the row's keys (nulls last, as in
-    ``splitters``), by binary search: nested cases for a few splitters, a loop
-    over a constant array for many, as generated code has its limits."""
+def bucketed(df: DataFrame, keys: list[str], cuts: list[tuple]) -> DataFrame:
+    """``df`` with BUCKET, the number of splitters at or before the row's keys
+    (nulls last, as in ``splitters``), by binary search: nested cases for a few
+    splitters, a projection a step for many, as plans and generated code have
+    their limits."""
     if not cuts:
-        return F.lit(0)
+        return df.withColumn(BUCKET, F.lit(0))
     kinds = [df.schema[k].dataType for k in keys]
     if len(cuts) > CASES:
-        return _searched(keys, kinds, cuts)
+        return _searched(df, keys, kinds, cuts)
 
     def at_or_after(cut: tuple) -> Column:
         out = F.lit(True)
@@ -86,21 +89,32 @@ def bucket_of(df: DataFrame, keys: list[str], cuts: list[tuple]) -> Column:
         mid = (lo + hi) // 2
         return F.when(at_or_after(cuts[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
 
-    return search(0, len(cuts))
+    return df.withColumn(BUCKET, search(0, len(cuts)))
 
 
-def _searched(keys: list[str], kinds: list, cuts: list[tuple]) -> Column:
+def _searched(df: DataFrame, keys: list[str], kinds: list, cuts: list[tuple]) -> DataFrame:
     # A key is (is null, value), so that structs compare with nulls last.
-    place = F.struct(*[x.alias(f"{n}{i}") for i, k in enumerate(keys) for n, x in (("n", F.col(k).isNull()), ("v", F.col(k)))])
-    table = F.array(*[F.struct(*[x.alias(f"{n}{i}") for i, (v, kind) in enumerate(zip(cut, kinds, strict=True)) for n, x in (("n", F.lit(v is None)), ("v", F.lit(v).cast(kind)))]) for cut in cuts])
-
-    def step(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        after, open_ = place >= F.get(table, mid), s["lo"] < s["hi"]
-        return F.struct(F.when(open_ & after, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~after, mid).otherwise(s["hi"]).alias("hi"))
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, step, lambda s: s["lo"])
+    out = df.withColumns({PLACE: F.struct(*[x.alias(f"{n}{i}") for i, k in enumerate(keys) for n, x in (("n", F.col(k).isNull()), ("v", F.col(k)))]), BUCKET: F.lit(0)})
+    for level in reversed(range(len(cuts).bit_length())):
+        # The bucket is a multiple of twice the step, so a step has its own short table.
+        step, at = 1 << level, F.col(BUCKET)
+        mine = F.get(_table(cuts[step - 1 :: 2 * step], kinds), F.shiftright(at, level + 1))
+        out = out.withColumn(BUCKET, F.when(F.col(PLACE) >= mine, at + step).otherwise(at))
+    # Each step reads the one before three times; a generator keeps the optimizer from
+    # putting one into the other, as it does to follow a join key to its source.
+    return out.select(*df.columns, F.stack(F.lit(1), F.col(BUCKET)).alias(BUCKET))
+
+
+def _table(cuts: list[tuple], kinds: list) -> Column:
+    """The splitters as an array of (is null, value) structs: one JSON literal,
+    as a tree of a node a value takes longer to plan than to run; its texts are
+    cast, which is exact. Other kinds of values are literals one by one."""
+    if not all(isinstance(k, (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampNTZType)) for k in kinds):
+        return F.array(*[F.struct(*[x.alias(f"{n}{i}") for i, (v, kind) in enumerate(zip(cut, kinds, strict=True)) for n, x in (("n", F.lit(v is None)), ("v", F.lit(v).cast(kind)))]) for cut in cuts])
+    text = lambda v: v if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+    rows = json.dumps([{f"{n}{i}": x for i, v in enumerate(cut) for n, x in (("n", v is None), ("v", text(v)))} for cut in cuts])
+    shape = lambda kind_of: T.ArrayType(T.StructType([f for i, k in enumerate(kinds) for f in (T.StructField(f"n{i}", T.BooleanType()), T.StructField(f"v{i}", kind_of(k)))]))
+    return F.from_json(F.lit(rows), shape(lambda _: T.StringType())).cast(shape(lambda k: k))
 
 
 def _order(keys: list[str], backwards: bool = False):
@@ -112,7 +126,7 @@ def with_position(df: DataFrame, keys: list[str], name: str = POS, bucket_rows:
     cuts = splitters(df, keys, bucket_rows)
     if not cuts:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*_order(keys))) - 1).cast("bigint"))
-    parted = df.withColumn(BUCKET, bucket_of(df, keys, cuts))
+    parted = bucketed(df, keys, cuts)
     # One row per bucket: at most MAX_BUCKETS + 1 in all, so this broadcast is bounded.
     sizes = parted.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select(BUCKET, (F.sum("n").over(Window.orderBy(BUCKET)) - F.col("n")).alias("__before"))
@@ -141,7 +155,7 @@ def running(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, str]], b
     if not cuts:
         w = Window.orderBy(*_order(keys, backwards)).rowsBetween(*frame)
         return df.select("*", *[_OVER[kind](F.col(c)).over(w).alias(out) for out, (kind, c) in specs.items()])
-    parted = df.withColumn(BUCKET, bucket_of(df, keys, cuts))
+    parted = bucketed(df, keys, cuts)
     pick = F.min_by if backwards else F.max_by
     place = F.struct(*keys)
     whole = parted.groupBy(BUCKET).agg(*[
