@@ -145,6 +145,27 @@ def test_bucketed_windows_equal_plain_ones(spark, monkeypatch, size, cases):
     assert [r.k for r in with_position(table, ["s", "k"], "p", size).orderBy("p").collect()] == [r[0] for r in two.collect()]
 
 
+@pytest.mark.parametrize("accuracy", [10_000, 40, 1])
+def test_quantiles_without_all_values_in_a_task(spark, monkeypatch, accuracy):
+    """As ``percentile`` gives them, with ties, nulls, NaN, no value and one; brackets that are wide, or miss, too."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import statistics
+
+    monkeypatch.setattr(statistics, "ACCURACY", accuracy)
+    table = spark.range(3001).repartition(5).selectExpr("hash(id) AS a", "pmod(hash(id), 3) AS b", "IF(id % 3 = 0, NULL, id * 0.37D) AS c", "IF(id % 4 = 0, double('NaN'), -id / 3D) AS d", "CAST(NULL AS DOUBLE) AS e", "IF(id = 7, 2.5D, NULL) AS f", "IF(id < 2990, 0D, id * 1D) AS g").localCheckpoint()
+    f, at = Frame.from_table(table), [0.25, 0.5, 0.75]
+    out = statistics.quantiles(f, f.columns, at)
+    assert "percentile(" not in f.describe().sdf._jdf.queryExecution().toString()
+    want = table.agg(*[F.percentile(F.col(c).cast("double"), at) for c in table.columns]).first()
+    got = out.first().asDict()
+    show = lambda v: v if v is None else repr(v)
+    for i in range(len(table.columns)):
+        assert [show(got[f"q{i}_{j}"]) for j in range(3)] == [None if want[i] is None else show(want[i][j]) for j in range(3)], table.columns[i]
+    empty = statistics.quantiles(f.where("a IS NULL"), ["a"], at).first()
+    assert list(empty) == [None, None, None]
+
+
 def test_thousands_of_splitters_stay_a_small_plan(spark):
     """A plan node a splitter made planning take minutes at some thousand buckets."""
     from tidemark.plans import order
